@@ -7,14 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from .packing import pack_documents
 from .quality_rules import clean_lines
 from .shared import table
 from .simhash import near_duplicates
+from .suffix_dedup import suffix_dedup
+from .token_files import read_token_files, write_token_files
 from .url_filter import judge_urls
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, files = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(spark, folder, files, with_ids=False).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -29,8 +44,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_simhash_near_dedup, op5_quality_rules, op8_url_filter)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_token_files, op4_simhash_near_dedup, op5_quality_rules, op8_url_filter, op10_packing)
 }
 
 ORACLE: dict[str, str] = {}

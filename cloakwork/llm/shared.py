@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -75,3 +76,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """The rows dealt evenly over at least as many tasks as shuffles have; by the hash of `keys`, so that a retried task sees the same rows."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs whose results were written: it does so as the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
