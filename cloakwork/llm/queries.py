@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from .ann import nearest
+from .bpe_transducer import bpe_decode, bpe_encode
 from .packing import pack_documents
 from .quality_rules import clean_lines
 from .shared import table
@@ -16,6 +18,7 @@ from .simhash import near_duplicates
 from .suffix_dedup import suffix_dedup
 from .token_files import read_token_files, write_token_files
 from .url_filter import judge_urls
+from .warc import read_warc, write_warc
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -30,6 +33,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, files, with_ids=False).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, _ = write_warc(table(spark, sf_dir, "pages"))
+    records = read_warc(spark, folder).where("kind in ('response', 'revisit')")
+    return records.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -39,17 +48,30 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = nearest(rows, "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_token_files, op4_simhash_near_dedup, op5_quality_rules, op8_url_filter, op10_packing)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_token_files, op3_warc, op4_simhash_near_dedup, op5_quality_rules, op6_byte_bpe, op8_url_filter, op9_nearest_neighbours, op10_packing)
 }
 
 ORACLE: dict[str, str] = {}

@@ -13,13 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialise, new_folder, release, ship
+from .shared import materialise, new_folder, put, release, ship
 from .tokens import encoder
 
 MAGIC = b"HTOK1\n"
@@ -129,16 +128,6 @@ def read_file(raw: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]
     return shard, seq, docs[0], docs[1], ids
 
 
-def put(folder: str, name: str, data: bytes, attempt: int) -> str:
-    """A whole file or none: written under another name first; attempts of a task write the same bytes."""
-    files, root = FileSystem.from_uri(folder)
-    files.create_dir(root, recursive=True)
-    with files.open_output_stream(f"{root}/.{name}.{attempt}") as out:
-        out.write(data)
-    files.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
-    return f"{folder}/{name}"
-
-
 def encoded_rows(df: DataFrame, path: str, id_col: str, text: str, end: int) -> DataFrame:
     """(shard, seq, id, ids binary) in ascending id order: shards are ranges of ids, seq counts the rows of a shard."""
     ship(df.sparkSession)
