@@ -87,7 +87,8 @@ def line_fails(line: Column) -> Column:
 
     Punctuation: over MOST_MARKS symbols of #*$%&|<>~^={}\\ or doubled ! or ? for each 100 letters and digits, or neither at all.
     Navigation: three or more free-standing bars, guillemets, arrows or bullets, as in link rows.
-    Boilerplate: a fixed phrase of page furniture, in a line of at most 30 words.
+    Boilerplate: a fixed phrase of page furniture, in a line of at most 30 words; or filler, the same word
+    four times or more in a row.
     """
     n = lambda c: F.char_length(c)
     marks = n(F.regexp_replace(line, r"[^#*$%&|<>~^={}\\]+", "")) + F.regexp_count(line, F.lit(r"[!?]{2,}"))
@@ -95,7 +96,8 @@ def line_fails(line: Column) -> Column:
     bars = F.regexp_count(line, F.lit(r"\s[|»›>→•·]\s"))
     words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     phrase = line.rlike(r"(?i)\b(?:" + "|".join(BOILERPLATE) + r")\b")
-    return (letters == 0) | (marks * 100 > letters * MOST_MARKS) | (bars >= 3) | (phrase & (words <= 30))
+    filler = line.rlike(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D])){3,}")
+    return (letters == 0) | (marks * 100 > letters * MOST_MARKS) | (bars >= 3) | (phrase & (words <= 30)) | filler
 
 
 def clean_lines(df: DataFrame, text: str = "text", most_lost: float = 0.3, least_words: int = 20, most_repeated: int = 30) -> DataFrame:
