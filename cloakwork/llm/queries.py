@@ -12,6 +12,7 @@ import public_tokenizers
 from .ann import nearest
 from .bpe_transducer import bpe_decode, bpe_encode
 from .packing import pack_documents
+from .quality_mil import held_out, score, train
 from .quality_rules import clean_lines
 from .shared import table
 from .simhash import near_duplicates
@@ -55,6 +56,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -71,7 +78,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_token_files, op3_warc, op4_simhash_near_dedup, op5_quality_rules, op6_byte_bpe, op8_url_filter, op9_nearest_neighbours, op10_packing)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_token_files, op3_warc, op4_simhash_near_dedup, op5_quality_rules, op6_byte_bpe, op7_quality_classifier, op8_url_filter, op9_nearest_neighbours, op10_packing)
 }
 
 ORACLE: dict[str, str] = {}
