@@ -101,7 +101,7 @@ def line_fails(line: Column) -> Column:
 
 
 def clean_lines(df: DataFrame, text: str = "text", most_lost: float = 0.3, least_words: int = 20, most_repeated: int = 30) -> DataFrame:
-    """Adds the counts, base_failed, clean_text (the lines that pass), lost_chars, total_chars and kept to `df`.
+    """Adds the counts, base_failed, clean_text (the text without the lines that fail), lost_chars, total_chars and kept to `df`.
 
     base_failed: fewer than `least_words` words, or over `most_repeated` percent of the words in repeated
     8-word windows. kept: not base_failed, and at most the share `most_lost` of the characters of lines
@@ -110,8 +110,19 @@ def clean_lines(df: DataFrame, text: str = "text", most_lost: float = 0.3, least
     """
     df = text_counts(df, text)
     df = df.withColumn("_good", F.filter("lines", lambda x: ~line_fails(x)))
+    every = F.filter(F.split(whole_text(text), "\n"), lambda x: ~x.rlike(WORD_START) | ~line_fails(x))
+    whole = F.when(F.size("_good") == F.size("lines"), whole_text(text)).otherwise(F.array_join(every, "\n"))
     size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x))
-    df = df.withColumns({"clean_text": F.array_join("_good", "\n"), "total_chars": size("lines"), "lost_chars": size("lines") - size("_good")})
+    df = df.withColumns({"clean_text": whole, "total_chars": size("lines"), "lost_chars": size("lines") - size("_good")})
     df = df.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
     lost = F.col("lost_chars") > F.col("total_chars") * F.lit(most_lost)
     return df.withColumn("kept", ~F.col("base_failed") & ~lost).drop("_good", "lines")
+
+
+def kept_only(judged: DataFrame) -> DataFrame:
+    """The rows of clean_lines() that are kept.
+
+    The row number stops Spark from moving the filter below the counts, where their expressions would be
+    written out many times over.
+    """
+    return judged.withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0").drop("_row")

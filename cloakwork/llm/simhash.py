@@ -14,6 +14,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,3 +117,83 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     named = known.join(least, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+
+
+#: For similar_groups: bits of a signature, and one word in so many ends a passage.
+SIGNATURE = 256
+PASSAGE_WORDS = 14
+_MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+
+
+def signature(text: str | None, n: int = 5) -> tuple[list[int], list[int]]:
+    """The 256-bit SimHash of a whole text as four signed longs, and the 64-bit SimHashes of its passages.
+
+    Passages end after words chosen by their hash, so that an edit changes no more than the passages at it;
+    a passage's fingerprint is that of the shingles beginning in it.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return [0] * 4, [0]
+    joined, n = b" ".join(words), min(n, len(words))
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts, stops = (ends - sizes)[: len(words) - n + 1], ends[n - 1 :]
+    total, parts = np.zeros(SIGNATURE, dtype=np.int64), []
+    for at in range(0, len(starts), 20_000):
+        a, b = starts[at : at + 20_000].tolist(), stops[at : at + 20_000].tolist()
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, a, b)), repeat(SEED)), dtype="<u8", count=len(a))
+        wide = np.empty((len(a), 4), dtype="<u8")
+        wide[:, 0] = hashes
+        for k, m in enumerate(_MIXERS, 1):
+            x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(m)
+            wide[:, k] = (x ^ (x >> np.uint64(29))) * np.uint64(_MIXERS[k % 3])
+            wide[:, k] ^= wide[:, k] >> np.uint64(32)
+        bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
+        total += bits.sum(axis=0, dtype=np.int64)
+        ending = np.fromiter((xxhash.xxh32_intdigest(w) % PASSAGE_WORDS == 0 for w in words[at : at + len(a)]), dtype=bool, count=len(a))
+        lead = np.append(0, np.flatnonzero(ending[:-1]) + 1)
+        sums = np.add.reduceat(bits[:, :64], lead, axis=0, dtype=np.int32)
+        count = np.diff(np.append(lead, len(a)))
+        parts.append(np.packbits((2 * sums > count[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel())
+    whole = np.packbits((2 * total > len(starts)).astype(np.uint8), bitorder="little").view("<i8")
+    return whole.tolist(), np.unique(np.concatenate(parts)).tolist()
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_col, group): documents joined by signatures that differ in no more bits than shingle sets of that similarity do.
+
+    A Jaccard similarity J of the sets is a cosine of 2J / (1 + J), and that an angle and a share of
+    differing bits. Documents meet at passages with equal fingerprints; at each, all are compared with the two
+    that a hash of document and passage puts first, so a passage of many documents costs two comparisons for
+    each, and documents with much in common meet at many passages with other partners. Copies fall together
+    first. group is the least id; null and empty texts are one group.
+    """
+    ship(df.sparkSession)
+    most = int(np.ceil(SIGNATURE * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [signature(t, words) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([a for a, _ in both], pa.list_(pa.int64())), pa.array([b for _, b in both], pa.list_(pa.int64()))], names=["id", "sign", "parts"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(sign, f"id {kind}, sign array<long>, parts array<long>")
+    rows = materialise(rows, "signatures")
+    # equal signatures are one node, named by a hash of the signature
+    node = F.xxhash64(*(F.get("sign", F.lit(k)) for k in range(4)))
+    rows = rows.withColumn("node", node)
+    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("sign", "parts")).alias("x")).select("node", "least", "x.sign", "x.parts"), "nodes")
+    meets = nodes.select("node", F.explode("parts").alias("part"))
+    order = F.struct(F.xxhash64("node", "part"), "node")
+    hubs = meets.groupBy("part").agg(F.count("*").alias("n"), F.min(order)["node"].alias("first"), F.max(order)["node"].alias("last")).where("n > 1")
+    hubs = materialise(hubs, "hubs")  # so that Spark can split a passage of many documents
+    pairs = meets.join(hubs, "part").select("node", F.explode(F.array("first", "last")).alias("other")).where("node <> other")
+    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    signs = nodes.select("node", "sign")
+    near = pairs.join(signs.toDF("a", "x"), "a").join(signs.toDF("b", "y"), "b")
+    differ = sum((F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(1, 4)), F.bit_count(F.get("x", F.lit(0)).bitwiseXOR(F.get("y", F.lit(0)))))
+    member = connected_components(near.where(differ <= most).select("a", "b"))
+    rooted = nodes.select("node", "least").join(member, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
+    rooted = materialise(rooted, "simhash-roots")
+    named = rooted.groupBy("root").agg(F.min("least").alias("group"))
+    return rows.join(rooted.join(named, "root").select("node", "group"), "node").select(F.col("id").alias(id_col), "group")

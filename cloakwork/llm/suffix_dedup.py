@@ -231,19 +231,21 @@ def _spans(ats: np.ndarray | None, length: int) -> list[tuple[int, int]]:
     return list(zip(first[new].tolist(), end[np.append(new[1:], len(end)) - 1].tolist(), strict=True))
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200, seed: int = 50) -> DataFrame:
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200, seed: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte of each text that is covered by a `length`-byte string starting anywhere else too.
 
     Returns, for each input row, the id, n_bytes, spans (maximal removed runs, array of (start, stop) in bytes),
-    n_removed and kept (the remaining bytes, binary). Matches never cross texts; strings are judged on the
+    n_removed, kept (the remaining bytes, binary), kept_text (the same as text, without characters that a cut
+    went through) and the columns `keep`. Matches never cross texts; strings are judged on the
     input. A null text counts as empty; a text shorter than `length` keeps all. Repeated rows are copies of
-    each other, so all that reach `length` lose everything. Other columns of the input are not returned.
+    each other, so all that reach `length` lose everything. Further columns of the input are not
+    read.
     """
     if not 1 < seed <= length or length - seed >= (1 << BITS) or length <= PART:
         raise ValueError("seed must lie in 2..length, length above 16 and less than 2048 more than the seed")
     ship(df.sparkSession)
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(0), text).alias("key"), data.alias("data"))
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(0), text).alias("key"), data.alias("data"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     lists = repeated_runs(docs.select("key", "data"), length, seed)
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -257,12 +259,14 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
                 for a, b in spans:
                     kept.append(raw[at:a])
                     at = b
-                rows.append((len(raw), [{"start": a, "stop": b} for a, b in spans], sum(b - a for a, b in spans), b"".join([*kept, raw[at:]])))
-            n, spans, gone, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
+                kept.append(raw[at:])
+                rows.append((len(raw), [{"start": a, "stop": b} for a, b in spans], sum(b - a for a, b in spans), b"".join(kept), "".join(x.decode("utf-8", "ignore") for x in kept)))
+            n, spans, gone, kept, cut = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())],
-                names=[id_col, "n_bytes", "spans", "n_removed", "kept"],
+                [batch["id"], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array(cut, pa.string()), *(batch[f"keep_{c}"] for c in keep)],
+                names=[id_col, "n_bytes", "spans", "n_removed", "kept", "kept_text", *keep],
             )
 
-    joined = docs.join(lists, "key", "left").select("id", "data", "ats")
-    return joined.mapInArrow(remove, f"`{id_col}` {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, n_removed long, kept binary")
+    joined = docs.join(lists, "key", "left").select("id", "data", "ats", *(f"keep_{c}" for c in keep))
+    kinds = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return joined.mapInArrow(remove, f"`{id_col}` {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, n_removed long, kept binary, kept_text string{kinds}")
