@@ -44,10 +44,14 @@ def report_changes(reports: DataFrame, assigned: DataFrame, policy: Policy = Pol
     pseudo, blanks = effective_tags(policy)
     joined = reports.join(assigned.select("patient_key", "pseudo_id"), "patient_key", "left")
     text, found = F.col("text"), []
+
+    def changed(text: Column, tag: str, new: Column) -> Column:
+        was = F.filter(tag_values(text, tag), lambda v: v != new)
+        return F.transform(was, lambda v: F.struct(F.lit(tag).alias("label"), v.alias("before"), new.alias("after")))
+
     for tag in [*pseudo, *blanks]:
         new = F.col("pseudo_id") if tag in pseudo else F.lit("")
-        was = F.filter(tag_values(text, tag), lambda v, new=new: v != new)
-        found.append(F.transform(was, lambda v, tag=tag, new=new: F.struct(F.lit(tag).alias("label"), v.alias("before"), new.alias("after"))))
+        found.append(changed(text, tag, new))
         # tags do not nest in each other unless one was listed by the user; only then does the order matter
         if len(blanks) > len(BLANK_TAGS):
             text = set_tag(text, tag, new)

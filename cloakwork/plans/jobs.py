@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import materialise
 from ..functions.text import salted_uid
 from ..operators.crosswalk import all_tokens, assign_pseudo_ids, build_crosswalk, harvest, tokens_per_patient
 from ..operators.elements import burned_in_flags, deid_elements
@@ -19,7 +20,7 @@ from ..sources.tree import guard_output, write_outputs
 
 @dataclass
 class Run:
-    """The tables of a run; nothing is computed before it is asked for."""
+    """The tables of a run; the larger ones are written between the steps."""
 
     assigned: DataFrame
     crosswalk: DataFrame
@@ -40,14 +41,16 @@ def deidentify(files: DataFrame, elements: DataFrame, reports: DataFrame, failur
     spark = files.sparkSession
     failures = failures if failures is not None else spark.createDataFrame([], "file_id string, kind string, error string")
     assigned = assign_pseudo_ids(files)
-    crosswalk = build_crosswalk(assigned, harvest(files, reports, elements))
+    crosswalk = materialise(build_crosswalk(assigned, harvest(files, reports, elements)), "crosswalk")
     own = tokens_per_patient(crosswalk)
-    clean_elements = deid_elements(elements, own, policy, keep_dates=keep_dates, uid_fn=salted_uid(salt))
-    clean_reports = deid_reports(reports, own, policy)
+    clean_elements = materialise(deid_elements(elements, own, policy, keep_dates=keep_dates, uid_fn=salted_uid(salt)), "elements")
+    clean_reports = materialise(deid_reports(reports, own, policy), "reports")
     flags = burned_in_flags(elements)
     known = all_tokens(crosswalk)
     unreadable = verify_unreadable(failures.where("kind = 'dicom'").withColumn("parse_error", F.col("error")))
+    known = materialise(known, "tokens")
     leaks = verify_elements(clean_elements, known).union(verify_reports(clean_reports, known)).union(unreadable)
+    leaks, flags = materialise(leaks, "leaks"), materialise(flags, "flags")
     return Run(assigned, crosswalk, own, clean_elements, clean_reports, flags, leaks, run_summary(files, failures, flags, leaks))
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..functions.tables import materialise, shared_dir
 from ..operators import crosswalk as cw
 from ..operators import discover, naming, preview, summary, verify
 from ..operators import elements as el
@@ -39,15 +41,11 @@ class Bed(Testbed):
 
     @property
     def harvested(self) -> DataFrame:
-        return cw.harvest(self.files, self.reports_stemmed, self.elements)
+        return cw.harvest(self.files, self.reports, self.elements)
 
-    @property
-    def reports_stemmed(self) -> DataFrame:
-        return self.reports
-
-    @property
+    @cached_property
     def crosswalk(self) -> DataFrame:
-        return cw.build_crosswalk(self.assigned, self.harvested)
+        return materialise(cw.build_crosswalk(self.assigned, self.harvested), "crosswalk")
 
     @property
     def tokens(self) -> DataFrame:
@@ -57,9 +55,9 @@ class Bed(Testbed):
     def deid(self) -> DataFrame:
         return el.deid_elements(self.elements, self.tokens, uid_fn=SALTED)
 
-    @property
+    @cached_property
     def clean_reports(self) -> DataFrame:
-        return rp.deid_reports(self.reports, self.tokens)
+        return materialise(rp.deid_reports(self.reports, self.tokens), "reports")
 
     @property
     def fields(self) -> DataFrame:
@@ -139,7 +137,7 @@ def policy_json(bed: Bed) -> DataFrame:
 
 @query(None)
 def write_deid_elements(bed: Bed) -> DataFrame:
-    out = f"{_shared(bed.spark)}/deid-{uuid.uuid4().hex}"
+    out = f"{shared_dir(bed.spark)}/deid-{uuid.uuid4().hex}"
     tree.guard_output(bed.sf_dir, f"{out}/shareable", f"{out}/private", bed.spark)
     bed.deid.withColumn("bucket", F.pmod(F.xxhash64("pseudo_id"), F.lit(16))).repartition("bucket").write.partitionBy("bucket").parquet(f"{out}/shareable/elements")
     bed.crosswalk.write.parquet(f"{out}/private/crosswalk")
@@ -147,13 +145,6 @@ def write_deid_elements(bed: Bed) -> DataFrame:
     return kept.groupBy("pseudo_id").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("n_files"))
 
 
-def _shared(spark: SparkSession) -> str:
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-
-
 @query(None)
 def run_report_md(bed: Bed) -> DataFrame:
     run = deidentify(bed.files, bed.elements, bed.reports)
@@ -614,7 +605,7 @@ def file_failures(bed: Bed) -> DataFrame:
 
 @query(f"SELECT {PLACE_SQL}, pseudo_id, array_to_string(values_after, '\\') AS value FROM deid")
 def stream_deid_elements(bed: Bed) -> DataFrame:
-    root = f"{_shared(bed.spark)}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(bed.spark)}/stream-{uuid.uuid4().hex}"
     bed.elements.write.parquet(f"{root}/arriving")
     bed.tokens.write.parquet(f"{root}/tokens")
     arriving = bed.spark.readStream.schema(bed.elements.schema).parquet(f"{root}/arriving")
@@ -624,7 +615,7 @@ def stream_deid_elements(bed: Bed) -> DataFrame:
 
 @query("SELECT patient_key, printf('Patient_%04d', row_number() OVER (ORDER BY patient_key)) AS pseudo_id FROM (SELECT DISTINCT 'User' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS patient_key FROM events)")
 def stream_assign_patients(bed: Bed) -> DataFrame:
-    root = f"{_shared(bed.spark)}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(bed.spark)}/stream-{uuid.uuid4().hex}"
     events = bed.table("events")
     arriving = bed.spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{bed.sf_dir}/events.parquet*")
     keyed = arriving.select(F.concat(F.lit("User"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("patient_key"))
