@@ -1,6 +1,6 @@
 """SimHash near-duplicates by segment popcounts.
 
-A fingerprint's 16 segments of four bits are replaced by their bit counts. The Manhattan distance of two
+A fingerprint's 22 segments of three bits are replaced by their bit counts. The Manhattan distance of two
 such vectors is a lower bound of the Hamming distance of the fingerprints, so a range join on a grid of
 these vectors keeps every pair in range. Two grid points at distance two or less share a point at distance
 one or less from both; meeting at those points makes the range join an equi-join, and grouping there keeps
@@ -66,16 +66,18 @@ def _signed(x: int) -> Column:
 
 
 def segment_counts(fp: Column) -> Column:
-    """Bit counts of the 16 four-bit segments, each in four bits of a long."""
-    ones = [F.shiftrightunsigned(fp, k).bitwiseAND(_signed(0x1111111111111111)) for k in range(4)]
-    return ones[0] + ones[1] + ones[2] + ones[3]
+    """Bit counts of the 22 segments of three bits (the last has one), each in its three bits of a long."""
+    ones = [F.shiftrightunsigned(fp, k).bitwiseAND(_signed(0x9249249249249249)) for k in range(3)]
+    return ones[0] + ones[1] + ones[2]
 
 
 def _grid_points(cell: Column) -> Column:
     """The grid points at Manhattan distance one or less."""
-    steps = [1 << (4 * j) for j in range(16)]
-    down = [F.when(F.shiftrightunsigned(cell, 4 * j).bitwiseAND(F.lit(15)) > 0, cell - _signed(s)) for j, s in enumerate(steps)]
-    return F.array_compact(F.array(cell, *[cell + _signed(s) for s in steps], *down))
+    steps = [1 << (3 * j) for j in range(21)]
+    up = [cell + F.lit(s) for s in steps]
+    down = [F.when(F.shiftrightunsigned(cell, 3 * j).bitwiseAND(F.lit(7)) > 0, cell - F.lit(s)) for j, s in enumerate(steps)]
+    last = cell.bitwiseXOR(_signed(1 << 63))  # one up or one down, as it is a single bit
+    return F.array_compact(F.array(cell, last, *up, *down))
 
 
 def _flips(fp: Column) -> Column:
