@@ -201,7 +201,10 @@ def shorter_runs(length: int, part: int) -> Callable:
 def _rerank(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One round: (key, at) of settled runs, and of one run for each reach whose core has several."""
     cores = runs.groupBy("core").agg(F.count("*").alias("n"), F.min("reach").alias("a"), F.max("reach").alias("b"))
-    alive = materialise(runs.join(cores.where("n > 1").select("core", F.expr("a = b").alias("whole")), "core"), "runs")
+    # written first: with two plain sides, Spark splits a core that very many runs share over several tasks
+    cores = materialise(cores.where("n > 1").select("core", F.expr("a = b").alias("whole")), "cores")
+    release(runs.sparkSession)
+    alive = materialise(runs.join(cores, "core"), "runs")
     release(runs.sparkSession)
     reaches = alive.where("not whole").groupBy("core", "reach").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
     reaches = materialise(reaches, "reaches")
