@@ -109,14 +109,14 @@ def clean_lines(df: DataFrame, text: str = "text", most_lost: float = 0.3, least
     fails the base. Ties and repeated rows are judged alike; extra columns are carried along.
     """
     df = text_counts(df, text)
-    df = df.withColumn("_good", F.filter("lines", lambda x: ~line_fails(x)))
-    every = F.filter(F.split(whole_text(text), "\n"), lambda x: ~x.rlike(WORD_START) | ~line_fails(x))
-    whole = F.when(F.size("_good") == F.size("lines"), whole_text(text)).otherwise(F.array_join(every, "\n"))
-    size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x))
-    df = df.withColumns({"clean_text": whole, "total_chars": size("lines"), "lost_chars": size("lines") - size("_good")})
+    judged = F.transform(F.split(whole_text(text), "\n"), lambda x: F.struct(x.alias("line"), x.rlike(WORD_START).alias("word"), (x.rlike(WORD_START) & line_fails(x)).alias("fails")))
+    df = df.withColumn("_judged", judged)
+    size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x["line"]))
+    passing = F.transform(F.filter("_judged", lambda x: ~x["fails"]), lambda x: x["line"])
+    df = df.withColumns({"clean_text": F.array_join(passing, "\n"), "total_chars": size(F.filter("_judged", lambda x: x["word"])), "lost_chars": size(F.filter("_judged", lambda x: x["fails"]))})
     df = df.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
     lost = F.col("lost_chars") > F.col("total_chars") * F.lit(most_lost)
-    return df.withColumn("kept", ~F.col("base_failed") & ~lost).drop("_good", "lines")
+    return df.withColumn("kept", ~F.col("base_failed") & ~lost).drop("_judged", "lines")
 
 
 def kept_only(judged: DataFrame) -> DataFrame:
