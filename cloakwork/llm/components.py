@@ -28,9 +28,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the minima are written first, so that Spark can split a hub's rows in the joins with them
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        lows = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = materialise(large, "large")
+        lows = materialise(large.groupBy("hi").agg(F.min("lo").alias("m")), "lows")
         small = (
             large.join(lows, "hi")
             .where("lo <> m")
@@ -40,7 +42,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         )
         then, now = now, materialise(small, "edges")
         before, state = state, _state(now)
-        discard(then)
+        for old in (then, least, large, lows):
+            discard(old)
         if state == before:
             break
     else:

@@ -6,13 +6,13 @@ import gc
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship as ship
+
 #: White space as the contracts define it: blank and \t \n \v \f \r.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,20 +50,6 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each Spark context."""
-    context = spark.sparkContext
-    if getattr(context, "_package_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="spark-package-"), "package.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for path in sorted(top.rglob("*.py")):
-            out.write(path, path.relative_to(top.parent).as_posix())
-    context.addPyFile(target)
-    context._package_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

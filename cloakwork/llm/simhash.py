@@ -115,7 +115,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     member = connected_components(links).select(F.col("node").alias("fp"), F.col("component"))
     root = F.coalesce("component", "fp")
     known = materialise(distinct.join(member, "fp", "left").select("fp", "least", root.alias("root")), "simhash-roots")
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = materialise(known.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = known.join(least, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
@@ -197,5 +197,5 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", wo
     member = connected_components(near.where(differ <= most).select("a", "b"))
     rooted = nodes.select("node", "least").join(member, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     rooted = materialise(rooted, "simhash-roots")
-    named = rooted.groupBy("root").agg(F.min("least").alias("group"))
+    named = materialise(rooted.groupBy("root").agg(F.min("least").alias("group")), "groups")
     return rows.join(rooted.join(named, "root").select("node", "group"), "node").select(F.col("id").alias(id_col), "group")

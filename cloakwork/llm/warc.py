@@ -150,7 +150,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("body"))
     rows = rows.withColumn("same", F.unhex(F.sha2("body", 256)))
     copies = rows.where(F.length("body") >= least_bytes).groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    rows = rows.join(copies.select("same", "first"), "same", "left").drop("same")
+    copies = materialise(copies.select("same", "first"), "warc-copies")  # so that Spark can split a payload of many rows
+    rows = rows.join(copies, "same", "left").drop("same")
     folder = folder or new_folder(spark, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
