@@ -165,13 +165,15 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", wo
     """(id_col, group): documents joined by signatures that differ in no more bits than shingle sets of that similarity do.
 
     A Jaccard similarity J of the sets is a cosine of 2J / (1 + J), and that an angle and a share of
-    differing bits. Documents meet at passages with equal fingerprints; at each, all are compared with the two
+    differing bits; two standard deviations are added, so that pairs of that similarity are not lost to chance
+    (pairs a tenth below it are then joined about as often as not). Documents meet at passages with equal fingerprints; at each, all are compared with the two
     that a hash of document and passage puts first, so a passage of many documents costs two comparisons for
     each, and documents with much in common meet at many passages with other partners. Copies fall together
     first. group is the least id; null and empty texts are one group.
     """
     ship(df.sparkSession)
-    most = int(np.ceil(SIGNATURE * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    most = int(SIGNATURE * share + 2 * np.sqrt(SIGNATURE * share * (1 - share)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
