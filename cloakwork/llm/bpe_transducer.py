@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .shared import ship
 
-_MOST_STEPS = 1_000_000
-_MOST_PARTS = 500_000
+ROWS = 256
+_MOST_STEPS = 300_000
+_MOST_PARTS = 200_000
 #: A word with the marks after it: two matches of any pattern that splits letters from marks.
 _PLAIN = regex.compile(r"( ?\p{L}+)([.,;:!?*#%&$]*)").fullmatch
 _LOOSE = regex.compile(r"\s[ \n]|[ \n]\s")
@@ -140,7 +141,6 @@ class ByteBpe:
         self.machine = Transducer(read_ranks(path))
         self.split = regex.compile(pattern).findall
         self.dtype = np.dtype("i4")
-        self.table = [self.machine.bytes_of.get(i, b"") for i in range(max(self.machine.bytes_of) + 1)]
         self.plain = self.split(" ab!?") == [" ab", "!?"]
         self.pieces: dict[str, bytes] = {}
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({"": b""}, {})
@@ -188,6 +188,14 @@ class ByteBpe:
             out += [self._look(part, 1) for part in rest] if None in found else found
         return np.frombuffer(b"".join(out), dtype=self.dtype)
 
+
+class Decoder:
+    """Ids to text by a table of the tokens' bytes."""
+
+    def __init__(self, path: str) -> None:
+        bytes_of = {rank: token for token, rank in read_ranks(path).items()}
+        self.table = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
+
     def decode(self, ids: np.ndarray) -> str:
         stream, out = Utf8Stream(), []
         for at in range(0, len(ids), 1 << 16):
@@ -224,14 +232,14 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
-_MACHINES: dict[tuple[str, str], ByteBpe] = {}
+_KEPT: dict[tuple, ByteBpe | Decoder] = {}
 
 
-def machine(path: str, pattern: str) -> ByteBpe:
-    """One for each worker, file and pattern."""
-    if (path, pattern) not in _MACHINES:
-        _MACHINES[path, pattern] = ByteBpe(path, pattern)
-    return _MACHINES[path, pattern]
+def kept(kind: type, *settings: str) -> ByteBpe | Decoder:
+    """One for each worker and settings."""
+    if (kind, *settings) not in _KEPT:
+        _KEPT[kind, *settings] = kind(*settings)
+    return _KEPT[kind, *settings]
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -239,31 +247,38 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *parts]).astype(np.int32)))
 
 
-def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` and ids (array of int) of each whole text; null and empty texts have none. No special tokens."""
+def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), round_trip: bool = False) -> DataFrame:
+    """The columns `keep` and ids (array of int) of each whole text; null and empty texts have none. No special tokens.
+
+    round_trip adds decoded, the text that decoding those ids gives, in the same task.
+    """
     ship(df.sparkSession)
     df = df.select(*keep, F.col(text).alias("_text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = machine(path, pattern)
+        bpe, back = kept(ByteBpe, path, pattern), kept(Decoder, path) if round_trip else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([*(some[c] for c in keep), _lists([bpe.encode(t) for t in some["_text"].to_pylist()])], names=[*keep, "ids"])
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                ids = [bpe.encode(t) for t in some["_text"].to_pylist()]
+                columns = [*(some[c] for c in keep), _lists(ids)]
+                if back:
+                    columns.append(pa.array([back.decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", *["decoded"] * round_trip])
 
-    return df.mapInArrow(encode, ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", ids array<int>")
+    return df.mapInArrow(encode, ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", ids array<int>" + ", decoded string" * round_trip)
 
 
-def bpe_decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
+def bpe_decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """All columns and decoded, the text of `ids`; ids outside the vocabulary fail, broken UTF-8 becomes U+FFFD."""
     ship(df.sparkSession)
     names = df.columns
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = machine(path, pattern)
+        bpe = kept(Decoder, path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
                 texts = [bpe.decode(x.values.to_numpy() if x.is_valid else np.empty(0, np.int32)) for x in some[ids]]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 

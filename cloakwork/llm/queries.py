@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from .ann import nearest
-from .bpe_transducer import bpe_decode, bpe_encode
+from .bpe_transducer import bpe_encode
 from .packing import pack_documents
 from .quality_mil import held_out, score, train
-from .quality_rules import clean_lines
+from .quality_rules import BOILERPLATE, MOST_MARKS, clean_lines
 from .shared import table
 from .simhash import near_duplicates
 from .suffix_dedup import suffix_dedup
@@ -51,7 +51,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    both = bpe_encode(table(spark, sf_dir, "documents"), path, pattern, round_trip=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -81,4 +81,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_array_dedup, op2_token_files, op3_warc, op4_simhash_near_dedup, op5_quality_rules, op6_byte_bpe, op7_quality_classifier, op8_url_filter, op9_nearest_neighbours, op10_packing)
 }
 
-ORACLE: dict[str, str] = {}
+_W = r"[^\x20\x09-\x0D]+"
+_PHRASES = "|".join(BOILERPLATE)
+
+ORACLE: dict[str, str] = {
+    "op3_warc": """
+SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes, (SELECT string_agg('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(substr(bits, CAST(5 * i + 1 AS BIGINT), 5) AS BITSTRING)::INT], '' ORDER BY i) FROM range(32) r(i)) AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS p, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first, CAST(CAST(unhex(sha1(coalesce(html, ''))) AS BITSTRING) AS VARCHAR) AS bits FROM pages)
+""",
+    "op5_quality_rules": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '{_W}') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{_W}')) AS l FROM t),
+c AS (SELECT *, list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) AS g FROM w),
+d AS (SELECT doc_id, list(x) AS again FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(g) AS x FROM c) GROUP BY ALL) WHERE n > 1 GROUP BY 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT doc_id, unnest(g) AS x, generate_subscripts(g, 1) AS i, again FROM c JOIN d USING (doc_id)) WHERE list_contains(again, x)) GROUP BY 1),
+f AS (SELECT doc_id, CAST(sum(length(x)) AS BIGINT) AS total, CAST(sum(CASE WHEN fails THEN length(x) ELSE 0 END) AS BIGINT) AS lost FROM (SELECT doc_id, x, letters = 0 OR marks * 100 > letters * {MOST_MARKS} OR bars >= 3 OR (words <= 30 AND regexp_matches(x, '(?i)\b(?:{_PHRASES})\b')) OR filler AS fails FROM
+  (SELECT doc_id, x, length(regexp_replace(x, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS letters, length(regexp_replace(x, '[^#*$%&|<>~^={{}}\\]+', '', 'g')) + len(regexp_extract_all(x, '[!?]{{2,}}')) AS marks,
+   len(regexp_extract_all(x, '[\x20\x09-\x0D][|»›>→•·][\x20\x09-\x0D]')) AS bars, len(regexp_extract_all(x, '{_W}')) AS words, len(list_filter(range(1, len(ws) - 2), lambda i: ws[i] = ws[i + 1] AND ws[i] = ws[i + 2] AND ws[i] = ws[i + 3])) > 0 AS filler
+   FROM (SELECT doc_id, x, regexp_extract_all(x, '{_W}') AS ws FROM (SELECT doc_id, unnest(l) AS x FROM w)))) GROUP BY 1),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, total, lost FROM w LEFT JOIN r USING (doc_id) LEFT JOIN f USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT lost > total * 0.3 AS kept FROM b
+""",
+    "op8_url_filter": r"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+rules(h, p, a) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(a, length(h || p)) AS a FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(a, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)
+""",
+}
