@@ -84,7 +84,12 @@ def flat(c: str) -> Column:
     return F.array_join(c, "\\")
 
 
-PLACE = ["file_id", "scope", F.array_join(F.transform("ancestors", lambda a: a["keyword"]), "/").alias("path"), F.col("group").alias("grp"), F.col("element").alias("elem"), "keyword", "vr"]
+def place() -> list[str | Column]:
+    """The columns that tell an element's place."""
+    path = F.array_join(F.transform("ancestors", lambda a: a["keyword"]), "/")
+    return ["file_id", "scope", path.alias("path"), F.col("group").alias("grp"), F.col("element").alias("elem"), "keyword", "vr"]
+
+
 PLACE_SQL = "file_id, scope, array_to_string(list_transform(ancestors, lambda a: a.keyword), '/') AS path, \"group\" AS grp, element AS elem, keyword, vr"
 VALUE_SQL = "array_to_string(\"values\", '\\') AS value"
 LIST = "list_sort(%s)"
@@ -157,12 +162,12 @@ def run_report_md(bed: Bed) -> DataFrame:
 
 @query(f"SELECT {PLACE_SQL}, action FROM acted")
 def element_action(bed: Bed) -> DataFrame:
-    return el.element_action(bed.elements).select(*PLACE, "action")
+    return el.element_action(bed.elements).select(*place(), "action")
 
 
 @query(f"SELECT {PLACE_SQL}, pseudo_id, array_to_string(values_after, '\\') AS value FROM deid")
 def deid_elements(bed: Bed) -> DataFrame:
-    return bed.deid.select(*PLACE, "pseudo_id", flat("values_after").alias("value"))
+    return bed.deid.select(*place(), "pseudo_id", flat("values_after").alias("value"))
 
 
 @query('SELECT file_id, "group" AS grp, element AS elem, keyword FROM elements WHERE NOT ("group" BETWEEN 20480 AND 20735 OR "group" BETWEEN 24576 AND 24831)')
@@ -178,17 +183,17 @@ def drop_private(bed: Bed) -> DataFrame:
 
 @query(f"SELECT {PLACE_SQL}, {VALUE_SQL} FROM acted WHERE action = 'blank_person'")
 def blank_person_names(bed: Bed) -> DataFrame:
-    return el.element_action(bed.elements).where("action = 'blank_person'").select(*PLACE, flat("values").alias("value"))
+    return el.element_action(bed.elements).where("action = 'blank_person'").select(*place(), flat("values").alias("value"))
 
 
 @query(f"SELECT {PLACE_SQL} FROM acted WHERE action IN ('drop_sequence', 'drop_nested')")
 def drop_sequences(bed: Bed) -> DataFrame:
-    return el.element_action(bed.elements).where("action in ('drop_sequence', 'drop_nested')").select(*PLACE)
+    return el.element_action(bed.elements).where("action in ('drop_sequence', 'drop_nested')").select(*place())
 
 
 @query(f"SELECT {PLACE_SQL}, action, {VALUE_SQL} FROM acted_undated WHERE vr IN ('DA', 'DT')")
 def blank_dates(bed: Bed) -> DataFrame:
-    return el.element_action(bed.elements, keep_dates=False).where("vr in ('DA', 'DT')").select(*PLACE, "action", flat("values").alias("value"))
+    return el.element_action(bed.elements, keep_dates=False).where("vr in ('DA', 'DT')").select(*place(), "action", flat("values").alias("value"))
 
 
 @query("SELECT v AS uid, v <> '' AND v <> '1.2.840.10008' AND NOT starts_with(v, '1.2.840.10008.') AS remap, count(*) AS n FROM (SELECT unnest(\"values\") AS v FROM elements WHERE vr = 'UI') GROUP BY ALL")
@@ -512,7 +517,7 @@ def scrub_tokens_text(bed: Bed) -> DataFrame:
 
 @query(f"SELECT {PLACE_SQL}, array_to_string(values_after, '\\') AS value FROM deid WHERE action = 'scrub'")
 def scrub_tokens_elements(bed: Bed) -> DataFrame:
-    return bed.deid.where("action = 'scrub'").select(*PLACE, flat("values_after").alias("value"))
+    return bed.deid.where("action = 'scrub'").select(*place(), flat("values_after").alias("value"))
 
 
 @query("SELECT file_id, pseudo_id, text FROM clean_reports")
@@ -610,7 +615,7 @@ def stream_deid_elements(bed: Bed) -> DataFrame:
     bed.tokens.write.parquet(f"{root}/tokens")
     arriving = bed.spark.readStream.schema(bed.elements.schema).parquet(f"{root}/arriving")
     run_available(stream_deid(arriving, bed.spark.read.parquet(f"{root}/tokens"), uid_fn=SALTED), f"{root}/out", f"{root}/state")
-    return bed.spark.read.parquet(f"{root}/out").select(*PLACE, "pseudo_id", flat("values_after").alias("value"))
+    return bed.spark.read.parquet(f"{root}/out").select(*place(), "pseudo_id", flat("values_after").alias("value"))
 
 
 @query("SELECT patient_key, printf('Patient_%04d', row_number() OVER (ORDER BY patient_key)) AS pseudo_id FROM (SELECT DISTINCT 'User' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS patient_key FROM events)")
