@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .shared import ship
 
 ROWS = 256
-_MOST_STEPS = 300_000
-_MOST_PARTS = 200_000
+_MOST_STEPS = 400_000
+_MOST_PARTS = 300_000
 #: A word with the marks after it: two matches of any pattern that splits letters from marks.
 _PLAIN = regex.compile(r"( ?\p{L}+)([.,;:!?*#%&$]*)").fullmatch
 _LOOSE = regex.compile(r"\s[ \n]|[ \n]\s")
