@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialise, ship
+from .shared import materialise, release, ship
 
 SEED = 42
 SLICE = 200_000
@@ -121,83 +121,155 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     return prints.join(named, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-#: For similar_groups: bits of a signature, and one word in so many ends a passage.
-SIGNATURE = 256
-PASSAGE_WORDS = 14
-_MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+#: For similar_groups: one text in so many is sampled for common shingles; found there so often, a shingle is common; so many are told apart.
+SAMPLED = 16
+COMMON = 4
+MOST_COMMON = 200_000
+#: Bits of the map of a set's hashes.
+MAP = 1024
 
 
-def signature(text: str | None, n: int = 5) -> tuple[list[int], list[int]]:
-    """The 256-bit SimHash of a whole text as four signed longs, and the 64-bit SimHashes of its passages.
-
-    Passages end after words chosen by their hash, so that an edit changes no more than the passages at it;
-    a passage's fingerprint is that of the shingles beginning in it.
-    """
+def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
+    """The distinct XXH64 values of a text's shingles of `n` words, in order; words as in fingerprint()."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * 4, [0]
+        return np.empty(0, dtype="<u8")
     joined, n = b" ".join(words), min(n, len(words))
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(sizes + 1) - 1
-    starts, stops = (ends - sizes)[: len(words) - n + 1], ends[n - 1 :]
-    total, parts = np.zeros(SIGNATURE, dtype=np.int64), []
-    for at in range(0, len(starts), 20_000):
-        a, b = starts[at : at + 20_000].tolist(), stops[at : at + 20_000].tolist()
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, a, b)), repeat(SEED)), dtype="<u8", count=len(a))
-        wide = np.empty((len(a), 4), dtype="<u8")
-        wide[:, 0] = hashes
-        for k, m in enumerate(_MIXERS, 1):
-            x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(m)
-            wide[:, k] = (x ^ (x >> np.uint64(29))) * np.uint64(_MIXERS[k % 3])
-            wide[:, k] ^= wide[:, k] >> np.uint64(32)
-        bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
-        ending = np.fromiter((xxhash.xxh32_intdigest(w) % PASSAGE_WORDS == 0 for w in words[at : at + len(a)]), dtype=bool, count=len(a))
-        lead = np.append(0, np.flatnonzero(ending[:-1]) + 1)
-        sums = np.add.reduceat(bits[:, :64], lead, axis=0, dtype=np.int32)
-        count = np.diff(np.append(lead, len(a)))
-        parts.append(np.packbits((2 * sums > count[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel())
-    whole = np.packbits((2 * total > len(starts)).astype(np.uint8), bitorder="little").view("<i8")
-    return whole.tolist(), np.unique(np.concatenate(parts)).tolist()
+    starts, ends = (ends - sizes)[: len(words) - n + 1], ends[n - 1 :]
+    hashes = np.empty(len(starts), dtype="<u8")
+    for at in range(0, len(starts), SLICE):
+        pieces = map(joined.__getitem__, map(slice, starts[at : at + SLICE].tolist(), ends[at : at + SLICE].tolist()))
+        hashes[at : at + SLICE] = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), dtype="<u8", count=len(starts[at : at + SLICE]))
+    return np.unique(hashes)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, "<u8"), *arrays]).view("<i8")))
+
+
+def _node(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED)).astype(np.int64))
+
+
+def _map(shingles: np.ndarray) -> np.ndarray:
+    """Which of MAP bits the hashes fall on, as longs: two maps differ in no more bits than the sets have shingles of their own."""
+    bits = np.zeros(MAP, dtype=np.uint8)
+    bits[(shingles % np.uint64(MAP)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<u8")
+
+
+def _common_shingles(df: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample of the texts, in order, and how often they are. They only say in which order shingles are tried."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch["text"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view("<i8"))], names=["shingle"])
+
+    sample = df.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).mapInArrow(shingles, "shingle long")
+    counts = sample.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    found = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
+    at, n = found["shingle"].to_numpy().view("<u8"), found["n"].to_numpy()
+    order = np.argsort(at)
+    return at[order], n[order]
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Of the pairs (a, b) those whose shingle sets have that Jaccard similarity.
+
+    The maps rule out most others; of those left the sets are made from the texts and compared.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(t, words) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(_node, own)), pa.int64()), _lists(own)], names=["node", "shingles"])
+
+    x, y = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"{k}n"), F.col("copy").alias(f"{k}copy"), F.col("map").alias(f"{k}map")) for k in "ab")
+    differ = sum((F.bit_count(F.get("amap", F.lit(k)).bitwiseXOR(F.get("bmap", F.lit(k)))) for k in range(1, MAP // 64)), F.bit_count(F.get("amap", F.lit(0)).bitwiseXOR(F.get("bmap", F.lit(0)))))
+    own = 1 - 2 * similarity / (1 + similarity) + 1e-9
+    left = pairs.join(x, "a").join(y, "b").where(differ <= F.lit(own) * (F.col("an") + F.col("bn"))).select("a", "b", "acopy", "bcopy")
+    left = materialise(left, "left")
+    release(pairs.sparkSession)
+    # each text once, by its hash; a text that shares the hash by chance has a node of its own
+    wanted = materialise(left.select(F.explode(F.array("acopy", "bcopy")).alias("copy")).distinct(), "wanted")
+    sets = texts.join(wanted, "copy", "left_semi").dropDuplicates(["copy"]).select("text").mapInArrow(shingles, "node long, shingles array<long>")
+    sets = materialise(sets, "sets")
+    release(pairs.sparkSession)
+    x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}set")) for k in "ab")
+    both = left.select("a", "b").join(x, "a").join(y, "b")
+    both = both.select("a", "b", (F.size("aset") + F.size("bset")).alias("n"), F.size(F.array_intersect("aset", "bset")).alias("same"))
+    return both.where(F.col("same") >= F.lit(similarity - 1e-9) * (F.col("n") - F.col("same"))).select("a", "b")
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id_col, group): documents joined by signatures that differ in no more bits than shingle sets of that similarity do.
-
-    A Jaccard similarity J of the sets is a cosine of 2J / (1 + J), and that an angle and a share of
-    differing bits; two standard deviations are added, so that pairs of that similarity are not lost to chance
-    (pairs a tenth below it are then joined about as often as not). Documents meet at passages with equal fingerprints; at each, all are compared with the two
-    that a hash of document and passage puts first, so a passage of many documents costs two comparisons for
-    each, and documents with much in common meet at many passages with other partners. Copies fall together
-    first. group is the least id; null and empty texts are one group.
+    """(id_col, group): documents linked, over any number of steps, by a Jaccard similarity of their shingle sets of at least that.
+
+    Exact, up to collisions of 64-bit hashes. Equal sets fall together first. Shingles have one order, common
+    ones last; of two sets of that similarity J, the first n - ceil(J n) + 1 shingles of each have one in common
+    (prefix filtering), so sets meet at those. At each such shingle all are compared with the two that a hash puts
+    first. Components of these links need no further comparison inside; then all pairs of different
+    components that meet anywhere are compared. So a large group costs links in proportion to its size, and no
+    pair is left out. group is the least id; null and empty texts are one group.
     """
-    ship(df.sparkSession)
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    most = int(SIGNATURE * share + 2 * np.sqrt(SIGNATURE * share * (1 - share)))
+    spark = df.sparkSession
+    ship(spark)
+    common, often = _common_shingles(df, text, words)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [signature(t, words) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([a for a, _ in both], pa.list_(pa.int64())), pa.array([b for _, b in both], pa.list_(pa.int64()))], names=["id", "sign", "parts"])
+            nodes, sizes, maps, firsts = [], [], [], []
+            for t in batch["text"].to_pylist():
+                own = shingle_set(t, words)
+                if len(common) and len(own):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    tried = own[np.argsort(np.where(common[at] == own, often[at], 0), kind="stable")]
+                else:
+                    tried = own
+                nodes.append(_node(own))
+                sizes.append(len(own))
+                maps.append(_map(own))
+                firsts.append(tried[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1].copy())
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["copy"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), _lists(maps), _lists(firsts)], names=["id", "copy", "node", "n", "map", "firsts"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(sign, f"id {kind}, sign array<long>, parts array<long>")
-    rows = materialise(rows, "signatures")
-    # equal signatures are one node, named by a hash of the signature
-    node = F.xxhash64(*(F.get("sign", F.lit(k)) for k in range(4)))
-    rows = rows.withColumn("node", node)
-    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("sign", "parts")).alias("x")).select("node", "least", "x.sign", "x.parts"), "nodes")
-    meets = nodes.select("node", F.explode("parts").alias("part"))
-    order = F.struct(F.xxhash64("node", "part"), "node")
-    hubs = meets.groupBy("part").agg(F.count("*").alias("n"), F.min(order)["node"].alias("first"), F.max(order)["node"].alias("last")).where("n > 1")
-    hubs = materialise(hubs, "hubs")  # so that Spark can split a passage of many documents
-    pairs = meets.join(hubs, "part").select("node", F.explode(F.array("first", "last")).alias("other")).where("node <> other")
-    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    signs = nodes.select("node", "sign")
-    near = pairs.join(signs.toDF("a", "x"), "a").join(signs.toDF("b", "y"), "b")
-    differ = sum((F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(1, 4)), F.bit_count(F.get("x", F.lit(0)).bitwiseXOR(F.get("y", F.lit(0)))))
-    member = connected_components(near.where(differ <= most).select("a", "b"))
+    texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
+    rows = materialise(texts.mapInArrow(sign, f"id {kind}, copy long, node long, n int, map array<long>, firsts array<long>"), "shingles")
+    nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.min("copy").alias("copy"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("firsts").alias("firsts"))
+    nodes = materialise(nodes, "nodes")
+    release(spark)
+    # left: the shingles of a set from this one on, the most that two sets share which meet at it first
+    meets = nodes.select("node", "n", F.posexplode("firsts").alias("at", "shingle")).select("node", "n", (F.col("n") - F.col("at")).alias("left"), "shingle")
+    shared = materialise(nodes.select(F.explode("firsts").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1"), "shared")
+    release(spark)
+    meets = materialise(meets.join(shared, "shingle"), "meets")
+    release(spark)
+    order = F.struct(F.xxhash64("node", "shingle"), "node", "n", "left")
+    hubs = meets.groupBy("shingle").agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    hubs = materialise(hubs, "hubs")  # so that Spark can split a shingle of many documents
+    need = similarity / (1 + similarity) - 1e-9
+    in_range = lambda x, y: F.least(f"{x}left", f"{y}left") >= F.lit(need) * (F.col(f"{x}n") + F.col(f"{y}n"))
+    pairs = meets.join(hubs, "shingle").select("node", "n", "left", F.explode(F.array("first", "last")).alias("o"))
+    pairs = pairs.select("node", "n", "left", F.col("o.node").alias("other"), F.col("o.n").alias("o_n"), F.col("o.left").alias("o_left"))
+    pairs = pairs.where((F.col("node") != F.col("other")) & in_range("", "o_"))
+    pairs = materialise(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+    member = materialise(connected_components(_alike(pairs, nodes, texts, similarity, words)), "members")
+    release(spark)
+    # with up to three sets, all have met
+    rest = meets.where("k > 3").join(hubs, "shingle").where("node <> first.node and node <> last.node").join(member, "node", "left")
+    rest = materialise(rest.select("shingle", "node", "n", "left", F.coalesce("component", "node").alias("c")), "rest")
+    mixed = materialise(rest.groupBy("shingle").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("shingle"), "mixed")
+    rest = materialise(rest.join(mixed, "shingle"), "rest")
+    x, y = (rest.select("shingle", *(F.col(c).alias(f"{k}{c}") for c in ("node", "n", "left", "c"))) for k in "xy")
+    more = x.join(y, "shingle").where((F.col("xc") < F.col("yc")) & in_range("x", "y"))
+    more = more.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
+    more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    links = _alike(more, nodes, texts, similarity, words).union(member.select("node", "component"))
+    member = connected_components(links)
     rooted = nodes.select("node", "least").join(member, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     rooted = materialise(rooted, "simhash-roots")
     named = materialise(rooted.groupBy("root").agg(F.min("least").alias("group")), "groups")
-    return rows.join(rooted.join(named, "root").select("node", "group"), "node").select(F.col("id").alias(id_col), "group")
+    return rows.select("id", "node").join(rooted.join(named, "root").select("node", "group"), "node").select(F.col("id").alias(id_col), "group")
