@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloakwork.llm.packing import pack_documents
@@ -24,7 +23,7 @@ def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail go; documents that lose too much or fail the base rules go, null and empty texts among them."""
-    kept = kept_only(clean_lines(docs)).withColumn("text", F.col("clean_text"))
+    kept = kept_only(clean_lines(docs, by_share=True)).withColumn("text", F.col("clean_text"))
     return _columns(kept, docs)
 
 
@@ -35,10 +34,15 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays; of repeated rows one; null ids are one document."""
-    kept = similar_groups(docs).where("doc_id <=> group").select("doc_id").distinct()
-    some = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return some.withColumn("_again", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("_again = 1").select(*docs.columns)
+    """Of each group of near copies the row with the least id stays, of several the one whose text has the least hash; of repeated rows one.
+
+    Rows are told apart by id and text, so that null or shared ids take no other text with them.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("hash"))
+    keyed = docs.withColumn("_key", key)
+    leads = similar_groups(keyed, id_col="_key").where("_key = group").select("_key").distinct()
+    once = keyed.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return once.join(leads, "_key", "left_semi").select("_row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +54,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each with its sequence and place in it."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False, special=True)
 
 
 STAGES = [
