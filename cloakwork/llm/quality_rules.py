@@ -82,13 +82,18 @@ def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
 WORD_START = r"[^\x20\x09-\x0D]"
 
 
-def line_fails(line: Column) -> Column:
+#: The same word four times in a row. {3,} would recurse for each further word and overflow the stack on a long line.
+FILLER = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D])){3}"
+
+
+def line_fails(line: Column, by_share: bool = False) -> Column:
     r"""True for a line that the punctuation, navigation or boilerplate rule removes.
 
     Punctuation: over MOST_MARKS symbols of #*$%&|<>~^={}\\ or doubled ! or ? for each 100 letters and digits, or neither at all.
     Navigation: three or more free-standing bars, guillemets, arrows or bullets, as in link rows.
     Boilerplate: a fixed phrase of page furniture, in a line of at most 30 words; or filler, the same word
-    four times or more in a row.
+    four times or more in a row. With `by_share`, bars must be one to ten words at least, and a fifth of the words
+    lie in such fours: a long clean line is not removed for one stutter.
     """
     n = lambda c: F.char_length(c)
     marks = n(F.regexp_replace(line, r"[^#*$%&|<>~^={}\\]+", "")) + F.regexp_count(line, F.lit(r"[!?]{2,}"))
@@ -96,11 +101,14 @@ def line_fails(line: Column) -> Column:
     bars = F.regexp_count(line, F.lit(r"\s[|»›>→•·]\s"))
     words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     phrase = line.rlike(r"(?i)\b(?:" + "|".join(BOILERPLATE) + r")\b")
-    filler = line.rlike(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D])){3,}")
-    return (letters == 0) | (marks * 100 > letters * MOST_MARKS) | (bars >= 3) | (phrase & (words <= 30)) | filler
+    filler, links = line.rlike(FILLER), bars >= 3
+    if by_share:
+        filler &= F.regexp_count(line, F.lit(FILLER)) * (4 * 5) >= words
+        links &= bars * 10 >= words
+    return (letters == 0) | (marks * 100 > letters * MOST_MARKS) | links | (phrase & (words <= 30)) | filler
 
 
-def clean_lines(df: DataFrame, text: str = "text", most_lost: float = 0.3, least_words: int = 20, most_repeated: int = 30) -> DataFrame:
+def clean_lines(df: DataFrame, text: str = "text", most_lost: float = 0.3, least_words: int = 20, most_repeated: int = 30, by_share: bool = False) -> DataFrame:
     """Adds the counts, base_failed, clean_text (the text without the lines that fail), lost_chars, total_chars and kept to `df`.
 
     base_failed: fewer than `least_words` words, or over `most_repeated` percent of the words in repeated
@@ -109,7 +117,7 @@ def clean_lines(df: DataFrame, text: str = "text", most_lost: float = 0.3, least
     fails the base. Ties and repeated rows are judged alike; extra columns are carried along.
     """
     df = text_counts(df, text)
-    judged = F.transform(F.split(whole_text(text), "\n"), lambda x: F.struct(x.alias("line"), x.rlike(WORD_START).alias("word"), (x.rlike(WORD_START) & line_fails(x)).alias("fails")))
+    judged = F.transform(F.split(whole_text(text), "\n"), lambda x: F.struct(x.alias("line"), x.rlike(WORD_START).alias("word"), (x.rlike(WORD_START) & line_fails(x, by_share)).alias("fails")))
     df = df.withColumn("_judged", judged)
     size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x["line"]))
     passing = F.transform(F.filter("_judged", lambda x: ~x["fails"]), lambda x: x["line"])
