@@ -42,7 +42,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def cut_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", end: int = 2, capacity: int = 4096, with_ids: bool = True) -> DataFrame:
+def cut_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", end: int = 2, capacity: int = 4096, with_ids: bool = True, special: bool = False) -> DataFrame:
     """Encode every text, append `end`, and cut it after every `capacity` ids: a row (id, start, length, ids_crc32, doc_tokens, lot, ids) a piece.
 
     lot is a random-looking number that stays the same when a task is run again.
@@ -51,7 +51,7 @@ def cut_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "te
     kind = df.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path)
+        words = encoder(path, special)
         lots = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             rows, parts = [], []
@@ -91,11 +91,11 @@ def pack(pieces: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFra
     return pieces.withColumn("_group", F.pmod("lot", F.lit(groups))).groupBy("_group").applyInPandas(place, schema)
 
 
-def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", end: int = 2, capacity: int = 4096, with_ids: bool = True) -> DataFrame:
+def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", end: int = 2, capacity: int = 4096, with_ids: bool = True, special: bool = False) -> DataFrame:
     """Pack all texts into sequences of at most `capacity` ids; one row a piece: (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids).
 
     Every id of every document lies in exactly one piece; offsets in a sequence have no gap. Null and empty
-    texts are the end id alone. Repeated rows are packed like different ones. Extra columns are not read.
+    texts are the end id alone. Repeated rows are packed like different ones. Extra columns are not read. special: as of Encoder.
     """
-    pieces = materialise(cut_pieces(df, path, id_col, text, end, capacity, with_ids), "pieces")
+    pieces = materialise(cut_pieces(df, path, id_col, text, end, capacity, with_ids, special), "pieces")
     return pack(pieces, capacity).drop("lot").withColumnRenamed("id", id_col)

@@ -128,7 +128,7 @@ def read_file(raw: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]
     return shard, seq, docs[0], docs[1], ids
 
 
-def encoded_rows(df: DataFrame, path: str, id_col: str, text: str, end: int) -> DataFrame:
+def encoded_rows(df: DataFrame, path: str, id_col: str, text: str, end: int, special: bool = False) -> DataFrame:
     """(shard, seq, id, ids binary) in ascending id order: shards are ranges of ids, seq counts the rows of a shard."""
     ship(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -137,7 +137,7 @@ def encoded_rows(df: DataFrame, path: str, id_col: str, text: str, end: int) ->
     rows = rows.repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie").drop("tie")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shard, seq = encoder(path), TaskContext.get().partitionId(), 0
+        words, shard, seq = encoder(path, special), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = [words.ids(t, end).tobytes() for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), pa.int64()), pa.array(range(seq, seq + len(ids)), pa.int64()), batch["id"], pa.array(ids, pa.binary())], names=["shard", "seq", "id", "ids"])
@@ -165,18 +165,18 @@ def id_counts(rows: DataFrame, size: int, dtype: str) -> np.ndarray:
     return counts
 
 
-def write_token_files(df: DataFrame, path: str, folder: str | None = None, id_col: str = "doc_id", text: str = "text", end: int = 2) -> tuple[str, DataFrame]:
+def write_token_files(df: DataFrame, path: str, folder: str | None = None, id_col: str = "doc_id", text: str = "text", end: int = 2, special: bool = False) -> tuple[str, DataFrame]:
     """Encode every text with the tokenizers file at `path`, append `end`, and write token files.
 
     Returns the folder and a table of its files (shard, seq, docs, tokens). Files sort by (shard, seq) as
     their documents do by id; null ids come first, ties in the order of a hash of the text. Null and empty
-    texts have the end id only. The ids are kept once in the shared folder between counting and coding.
+    texts have the end id only. special: as of Encoder. The ids are kept once in the shared folder between counting and coding.
     """
     spark = df.sparkSession
-    words = encoder(path)
+    words = encoder(path, special)
     size, dtype = max(words.size, end + 1), words.dtype.str
     longest = 16 if size <= 1 << 15 else 17
-    rows = materialise(encoded_rows(df, path, id_col, text, end), "token-rows")
+    rows = materialise(encoded_rows(df, path, id_col, text, end, special), "token-rows")
     release(spark)
     lengths = code_lengths(id_counts(rows, size, dtype), longest)
     folder = folder or new_folder(spark, "token-files")

@@ -24,14 +24,17 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """encode(text) gives the ids, without special tokens, as little-endian bytes of `dtype`."""
+    """encode(text) gives the ids, with no special tokens added, as little-endian bytes of `dtype`.
 
-    def __init__(self, path: str) -> None:
+    special: a special token spelled out in the text gets its own id, the library's default; else it is text like other.
+    """
+
+    def __init__(self, path: str, special: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -72,11 +75,11 @@ class Encoder:
         return np.frombuffer(raw if end is None else raw + np.array([end], dtype=self.dtype).tobytes(), dtype=self.dtype)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, special: bool = False) -> Encoder:
+    """One for each worker, file and setting."""
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = Encoder(path, special)
+    return _ENCODERS[path, special]
