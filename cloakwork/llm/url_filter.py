@@ -50,8 +50,28 @@ def match_rules(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "ur
     return _inline(df, rules) if len(rules) <= INLINE_RULES else _joined(df, rules)
 
 
+def resolved(target: Column, base: Column) -> Column:
+    """A link's target as a full url, by the page's own url where it has no scheme; null if the page's url has none either."""
+    root = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    own = url_path(base)
+    path, rest = F.regexp_extract(target, r"(?s)^[^?#]*", 0), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.regexp_extract(F.concat(F.lit("/"), F.regexp_replace(own, "^/", "")), r"(?s)^.*/", 0), path))
+    parts = F.split(whole, "/")
+    none = F.array().cast("array<string>")
+    up = lambda a: F.when(F.size(a) > 1, F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a)
+    walked = F.aggregate(parts, none, lambda a, x: F.when(x == ".", a).when(x == "..", up(a)).otherwise(F.concat(a, F.array(x))))
+    walked = F.concat(F.array_join(walked, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+    full = (
+        F.when(F.startswith(target, F.lit("//")), F.concat(F.regexp_extract(base, r"(?s)^(.*?)://", 1), F.lit(":"), target))
+        .when(path != "", F.concat(root, walked, rest))
+        .when(F.startswith(target, F.lit("?")), F.concat(root, own, target))
+        .otherwise(base)
+    )
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), target).when(root != "", full)
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): each page's url and the targets of its canonical link and of its immediate refresh."""
+    """(a, b): each page's url and the targets of its canonical link and of its immediate refresh, relative ones resolved."""
     tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     canonical = F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b"))
     refresh = F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"))
@@ -60,7 +80,8 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)),
     )
     linked = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("a"), F.explode(targets).alias("b"))
-    return linked.where("a is not null and b like '%://%'")
+    linked = linked.where("a is not null and b <> ''").withColumn("b", resolved(F.col("b"), F.col("a")))
+    return linked.where("b like '%://%'")
 
 
 def url_key(url: Column) -> Column:
