@@ -54,12 +54,12 @@ class Damaged(ValueError):
     pass
 
 
-def parse_record(data: memoryview | bytes, at: int = 0) -> tuple[dict, bytes, int]:
-    """Fields (names in lower case), block and end of the record at `at`; Damaged if any check fails."""
+def parse_record(data: memoryview | bytes, at: int = 0, digests: bool = False) -> tuple[dict, bytes, int]:
+    """Fields (names in lower case), block and end of the record at `at`; Damaged if any check fails, or if `digests` and it has none."""
     data = bytes(data) if isinstance(data, memoryview) else data
     if not _VERSION_LINE.match(data, at):
         raise Damaged("no version line")
-    stop = data.find(END, at, at + (1 << 16))
+    stop = data.find(END, at)
     if stop < 0:
         raise Damaged("no end of the header")
     fields = {}
@@ -78,60 +78,94 @@ def parse_record(data: memoryview | bytes, at: int = 0) -> tuple[dict, bytes, in
     told = fields.get("warc-block-digest", "")
     if told.startswith("sha1:") and told[5:] != digest(block):
         raise Damaged("block digest")
+    if digests and not told.startswith("sha1:"):
+        raise Damaged("no block digest")
     return fields, block, end + 4
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The content and the end of the gzip member at `at`."""
+def _member(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """The content of the gzip member at `at`, its end and ''; of a damaged one what comes before the damage, its place and the reason."""
     inflate, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not inflate.eof and pos < len(data):
-            out.append(inflate.decompress(data[pos : pos + (1 << 16)]))
-            pos += 1 << 16
-    except zlib.error as x:
-        raise Damaged("member") from x
+    while not inflate.eof and pos < len(data):
+        piece, before = data[pos : pos + (1 << 16)], inflate.copy()
+        try:
+            out.append(inflate.decompress(piece))
+        except zlib.error:
+            try:
+                for k in range(len(piece)):
+                    out.append(before.decompress(piece[k : k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), pos + k, "member"
+        pos += 1 << 16
     if not inflate.eof:
-        raise Damaged("member cut off")
-    return b"".join(out), min(pos, len(data)) - len(inflate.unused_data)
+        return b"".join(out), len(data), "member cut off"
+    return b"".join(out), min(pos, len(data)) - len(inflate.unused_data), ""
 
 
-def _records_at(raw: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int]:
+def _inside(content: bytes, digests: bool) -> Iterator[tuple[dict | None, bytes | str]]:
+    """(fields, block) of each sound record of a member's content, and (None, reason) of each gap."""
+    at, reason = 0, ""
+    while 0 <= at < len(content):
+        try:
+            fields, block, end = parse_record(content, at, digests)
+        except Damaged as x:
+            reason = reason or str(x)
+            line = _VERSION_LINE.search(content, at + 1)
+            at = line.start() if line else -1
+            continue
+        if reason:
+            yield None, reason
+        yield fields, block
+        at, reason = end, ""
+    if reason:
+        yield None, reason
+
+
+def _records_at(raw: bytes, at: int) -> tuple[list[tuple[dict | None, bytes | str]], int, str]:
+    """Records and gaps at `at`, at least one sound, the end and ''; of a damaged member the sound records, the place of the damage and the reason."""
     if raw[at : at + 3] == _MEMBER:
-        content, end = _member(memoryview(raw), at)
-        found, pos = [], 0
-        while pos < len(content):
-            fields, block, pos = parse_record(content, pos)
-            found.append((fields, block))
-        if not found:
-            raise Damaged("empty member")
-        return found, end
+        content, end, hurt = _member(memoryview(raw), at)
+        # where the checksum or the stream is wrong, only a digest shows that a record is sound
+        found = list(_inside(content, hurt == "member"))
+        if not any(fields for fields, _ in found):
+            raise Damaged(hurt or (found[0][1] if found else "empty member"))
+        return [x for x in found if x[0] or not hurt], end, hurt
     fields, block, end = parse_record(raw, at)
-    return [(fields, block)], end
+    return [(fields, block)], end, ""
+
+
+def _next_start(raw: bytes, at: int, known: int = 0) -> int:
+    """Where the next member, or version line not before `known`, with a sound record begins, or the end."""
+    while True:
+        line, member = _VERSION_LINE.search(raw, max(at, known)), raw.find(_MEMBER, at)
+        starts = [p for p in (line.start() if line else -1, member) if p >= 0]
+        if not starts:
+            return len(raw)
+        at = min(starts)
+        try:
+            _records_at(raw, at)
+            return at
+        except Damaged:
+            at += 1
 
 
 def salvage(raw: bytes) -> Iterator[tuple[int, int, dict | None, bytes | str]]:
-    """(start, end, fields, block) of each sound record, and (start, end, None, reason) of each gap, in file order."""
+    """(start, end, fields, block) of each sound record, and (start, end, None, reason) of each gap, in file order.
+
+    Records and gaps inside a member have the place of the member. A damaged member gives the sound records
+    before the damage and one gap.
+    """
     at = 0
     while at < len(raw):
         try:
-            found, end = _records_at(raw, at)
+            found, end, hurt = _records_at(raw, at)
         except Damaged as x:
-            reason, pos = str(x), at + 1
-            while True:
-                line = _VERSION_LINE.search(raw, pos)
-                member = raw.find(_MEMBER, pos)
-                starts = [p for p in (line.start() if line else -1, member) if p >= 0]
-                if not starts:
-                    yield at, len(raw), None, reason
-                    return
-                pos = min(starts)
-                try:
-                    found, end = _records_at(raw, pos)
-                    break
-                except Damaged:
-                    pos += 1
-            yield at, pos, None, reason
-            at = pos
+            found, end, hurt = [], 0, str(x)
+        if hurt:
+            # lines before the damage were read as the member's, even where they are stored without compression
+            end = _next_start(raw, at + 1, end)
+            found = [*found, (None, hurt)]
         for fields, block in found:
             yield at, end, fields, block
         at = end
