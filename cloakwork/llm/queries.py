@@ -108,5 +108,10 @@ WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#
 rules(h, p, a) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(a, length(h || p)) AS a FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(a, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)
+""",
+    "op9_nearest_neighbours": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT * FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, u.vec_id, sqrt(list_sum(list_transform(list_zip(q.v, u.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score FROM u AS q JOIN u ON q.vec_id <> u.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM p QUALIFY rank <= 10
 """,
 }
