@@ -50,6 +50,12 @@ def _remap(v: str) -> str:
     return f"({v} <> '' AND {v} <> '1.2.840.10008' AND NOT starts_with({v}, '1.2.840.10008.'))"
 
 
+def _meets(texts: str, key: str) -> str:
+    """Which tokens' last characters a text has somewhere: all tokens that it can contain, without comparing all pairs."""
+    parts = f"SELECT DISTINCT k, q, substr(text, i, q) AS tail FROM (SELECT k, text, unnest(generate_series(1, length(text))) AS i FROM (SELECT DISTINCT {key} AS k, text FROM {texts})), (SELECT DISTINCT q FROM token_tails)"
+    return f"SELECT DISTINCT k AS {key}, token FROM ({parts}) JOIN token_tails USING (tail, q)"
+
+
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 _OVER = "(({0}.\"group\" BETWEEN 20480 AND 20735) OR ({0}.\"group\" BETWEEN 24576 AND 24831))"
 _BLANK = f"coalesce({{0}}.keyword IN {_in(BLANK_KEYWORDS)}, false)"
@@ -102,6 +108,7 @@ VIEWS = {
     "own_list": "SELECT DISTINCT patient_key, token FROM harvest WHERE length(token) >= 2",
     "own": "SELECT patient_key, pseudo_id, tokens FROM assigned LEFT JOIN (SELECT patient_key, list(token ORDER BY length(token) DESC, token) AS tokens FROM own_list GROUP BY 1) USING (patient_key)",
     "all_tokens": "SELECT token, arg_max(pseudo_id, patient_no) AS pseudo_id FROM own_list JOIN assigned USING (patient_key) GROUP BY 1",
+    "token_tails": "SELECT token, right(token, 6) AS tail, length(right(token, 6)) AS q FROM all_tokens",
     "acted": f"SELECT e.*, {_action()} AS action FROM elements e",
     "acted_undated": f"SELECT e.*, {_action('false')} AS action FROM elements e",
     "deid": f"SELECT a.* EXCLUDE (patient_key), a.patient_key, pseudo_id, {_AFTER} AS values_after FROM acted a LEFT JOIN own USING (patient_key) WHERE NOT starts_with(action, 'drop')",
@@ -119,16 +126,18 @@ VIEWS = {
     "flags": """SELECT file_id, CASE WHEN upper(b) = 'YES' THEN 'BurnedInAnnotation=YES' WHEN upper(m) IN ('SC', 'OT') THEN 'Modality=' || upper(m) WHEN starts_with(s, '1.2.840.10008.5.1.4.1.1.7') THEN 'Secondary Capture'
         WHEN starts_with(s, '1.2.840.10008.5.1.4.1.1.104') THEN 'EncapsulatedDocument' END AS reason FROM (SELECT file_id, max("values"[1]) FILTER (keyword = 'BurnedInAnnotation') AS b, max("values"[1]) FILTER (keyword = 'Modality') AS m,
         max("values"[1]) FILTER (keyword = 'SOPClassUID') AS s FROM elements WHERE scope = 'dataset' AND len(ancestors) = 0 GROUP BY 1) WHERE reason IS NOT NULL""",
+    "report_meets": _meets("clean_reports", "file_id"),
     "token_leaks": f"""SELECT file_id, 'token' AS kind, token, {CTX.format(at="place", n="length(token)")} AS detail FROM (SELECT file_id, text, token, CASE WHEN regexp_full_match(token, '[0-9]+') THEN
         CASE WHEN regexp_matches(text, '(^|[^0-9])' || token || '([^0-9]|$)') THEN length(regexp_extract(text, '^(.*?)(^|[^0-9])' || token || '([^0-9]|$)', 1, 's')) + length(regexp_extract(text, '^(.*?)(^|[^0-9])' || token || '([^0-9]|$)', 2, 's')) + 1 ELSE 0 END
-        ELSE strpos(text, token) END AS place FROM clean_reports JOIN all_tokens ON contains(text, token)) WHERE place > 0""",
+        ELSE strpos(text, token) END AS place FROM clean_reports JOIN report_meets USING (file_id) WHERE contains(text, token)) WHERE place > 0""",
     "pattern_leaks": " UNION ALL ".join(
         f"""SELECT file_id, 'pattern' AS kind, '{label}' AS token, {CTX.format(at="place", n="length(hit)")} AS detail FROM (SELECT file_id, text, regexp_extract(text, '{p}', 2) AS hit,
         length(regexp_extract(text, '^(.*?){p}', 1, 's')) + length(regexp_extract(text, '^(.*?){p}', 2, 's')) + 1 AS place FROM clean_reports WHERE regexp_matches(text, '{p}'))"""
         for label, p in (("身份证号", IDCARD), ("手机号", PHONE))
     ),
     "element_texts": f"""SELECT file_id, printf('(%04x,%04x)', "group", element) AS detail, array_to_string(values_after, '\\') AS text FROM deid WHERE scope = 'dataset' AND vr NOT IN {_in(BINARY_VRS)}""",
-    "element_leaks": f"""SELECT file_id, 'token' AS kind, token, detail FROM element_texts JOIN (SELECT DISTINCT text, token FROM (SELECT DISTINCT text FROM element_texts) JOIN all_tokens ON contains(text, token)
+    "element_meets": f"SELECT text, token FROM ({_meets('element_texts', 'text')}) WHERE contains(text, token)",
+    "element_leaks": f"""SELECT file_id, 'token' AS kind, token, detail FROM element_texts JOIN (SELECT text, token FROM element_meets
         WHERE NOT regexp_full_match(token, '[0-9]+') OR regexp_matches(text, '(^|[^0-9])' || token || '([^0-9]|$)')) USING (text)
       UNION ALL SELECT file_id, 'pattern', '身份证号', detail FROM element_texts WHERE regexp_matches(text, '{IDCARD}') UNION ALL SELECT file_id, 'pattern', '手机号', detail FROM element_texts WHERE regexp_matches(text, '{PHONE}')""",
     "leaks": "SELECT * FROM token_leaks UNION ALL SELECT * FROM pattern_leaks UNION ALL SELECT file_id, kind, token, detail FROM element_leaks",
