@@ -67,6 +67,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's operator on redirects between neighbours in the table of pages, as the given pages have no links."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    steps = pages.where("page_id % 8 <> 7 and page_id % 5 <> 0")
+    redirects = steps.select(F.col("url").alias("a"), (F.col("page_id") + 1).alias("page_id")).join(pages.withColumnRenamed("url", "b").hint("merge"), "page_id").select("a", "b")
+    return judge_urls(pages, URL_RULES, redirects, html=None).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     found = nearest(rows, "vec_id", "embedding", F.col("vec_id") % 100 == 0)
@@ -78,7 +86,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_token_files, op3_warc, op4_simhash_near_dedup, op5_quality_rules, op6_byte_bpe, op7_quality_classifier, op8_url_filter, op9_nearest_neighbours, op10_packing)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_token_files, op3_warc, op4_simhash_near_dedup, op5_quality_rules, op6_byte_bpe, op7_quality_classifier, op8_url_filter, url_aliases, op9_nearest_neighbours, op10_packing)
 }
 
 _W = r"[^\x20\x09-\x0D]+"
@@ -108,6 +116,17 @@ WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#
 rules(h, p, a) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(a, length(h || p)) AS a FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(a, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)
+""",
+    "url_aliases": r"""
+WITH RECURSIVE u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+k AS (SELECT *, lower(regexp_extract(url, '^(.*?)://', 1, 's')) || '://' || host || regexp_extract(url, '^.*?://[^/?#]*([^#]*)', 1, 's') AS key FROM u),
+rules(h, p, a) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(a, length(h || p)) AS a FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1),
+steps AS (SELECT x.key AS a, y.key AS b FROM k AS x JOIN k AS y ON y.page_id = x.page_id + 1 WHERE x.page_id % 8 <> 7 AND x.page_id % 5 <> 0),
+edges AS (SELECT a, b FROM steps UNION SELECT b, a FROM steps),
+reach(a, b) AS (SELECT DISTINCT a, a FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+passed AS (SELECT r.a AS key, bool_or(m.a = 'block') AS blocked, bool_or(m.a = 'allow') AS allowed FROM reach r JOIN k ON k.key = r.b JOIN m USING (page_id) GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(a, CASE WHEN blocked AND NOT allowed THEN 'block' END, 'allow') AS verdict FROM k LEFT JOIN m USING (page_id) LEFT JOIN passed USING (key)
 """,
     "op9_nearest_neighbours": """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT * FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),

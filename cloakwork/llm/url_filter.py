@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .shared import materialise
 
 #: Rule lists up to this length are matched inside the row; longer ones by an equi-join on host suffixes.
 INLINE_RULES = 200
+#: Bytes of blocks passed on to aliases up to which they are broadcast; beyond, urls are shuffled.
+MOST_BROADCAST = 8 << 20
 
 
 def url_host(url: Column) -> Column:
@@ -27,25 +30,30 @@ def url_path(url: Column) -> Column:
 
 
 def _inline(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    entries = [F.struct(F.lit(h).alias("h"), F.lit(p).alias("p"), F.lit(a).alias("a")) for h, p, a in sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))]
+    entries = [F.struct(F.lit(h).alias("h"), F.lit(p).alias("p"), F.lit(a).alias("a")) for h, p, a in sorted(rules, key=lambda r: (-len(r[0] + r[1]), r[2] != "allow", r))]
     fits = F.filter(F.array(*entries), lambda r: ((F.col("host") == r["h"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["h"]))) & F.startswith(F.col("path"), r["p"]))
     best = F.get(fits, F.lit(0)) if entries else F.lit(None).cast("struct<h:string,p:string,a:string>")
     return df.withColumn("_best", best).withColumns({"rule": F.concat("_best.h", "_best.p"), "_action": F.col("_best.a")}).drop("_best")
 
 
 def _joined(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Distinct (host, path) pairs meet the rules on each suffix of the host; the longest that fits wins."""
+    """Distinct (host, path) pairs meet the rules on each suffix of the host, in the same order of precedence."""
     table = df.sparkSession.createDataFrame(rules, "h string, p string, a string")
     labels = F.split("host", r"\.")
     suffixes = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
     urls = df.select("host", "path").distinct()
     hits = urls.select("host", "path", F.explode(suffixes).alias("h")).join(table, "h").where(F.startswith("path", F.col("p")))
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(F.concat("h", "p")).alias("n"), F.concat("h", "p").alias("rule"), "a")).alias("b"))
-    return df.join(best.select("host", "path", F.col("b.rule").alias("rule"), F.col("b.a").alias("_action")), ["host", "path"], "left")
+    order = F.struct((-F.length(F.concat("h", "p"))).alias("n"), (F.col("a") != "allow").alias("blocks"), "h", "p", "a")
+    best = hits.groupBy("host", "path").agg(F.min(order).alias("b"))
+    best = best.select("host", "path", F.concat("b.h", "b.p").alias("rule"), F.col("b.a").alias("_action"))
+    return df.join(best.hint("merge"), ["host", "path"], "left")
 
 
 def match_rules(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
-    """Adds host, path, rule and _action. rules: (host, path prefix, 'block' or 'allow'); the longest that fits wins."""
+    """Adds host, path, rule and _action. rules: (host, path prefix, 'block' or 'allow'); the longest that fits wins.
+
+    Of equally long ones an allow wins, then the first by host and path, however many rules there are.
+    """
     df = df.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
     return _inline(df, rules) if len(rules) <= INLINE_RULES else _joined(df, rules)
 
@@ -70,18 +78,35 @@ def resolved(target: Column, base: Column) -> Column:
     return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), target).when(root != "", full)
 
 
+def unescaped(attribute: Column) -> Column:
+    """An attribute's value with the character references that urls hold replaced."""
+    for written, meant in ENTITIES.items():
+        attribute = F.regexp_replace(attribute, F.lit(written), F.lit(meant))
+    return attribute
+
+
+#: References to the characters that are written so in attributes; the ampersand last.
+ENTITIES = {"(?i)&(?:quot|#34|#x22);": '"', "(?i)&(?:apos|#39|#x27);": "'", "(?i)&(?:lt|#60|#x3c);": "<", "(?i)&(?:gt|#62|#x3e);": ">", "(?i)&(?:#47|#x2f|sol);": "/", "(?i)&(?:#58|#x3a|colon);": ":", "(?i)&(?:amp|#38|#x26);": "&"}
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): each page's url and the targets of its canonical link and of its immediate refresh, relative ones resolved."""
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    """(a, b): each page's url and the targets of its canonical link and of its immediate refresh.
+
+    Relative targets are resolved by the page's base element, if it has one, or else its url.
+    """
+    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(?:link|meta|base)\b[^>]*>"), F.lit(0))
+    bases = F.filter(tags, lambda t: t.rlike(r"(?is)^<base\b.*\bhref\s*="))
+    base = F.regexp_extract(F.get(bases, F.lit(0)), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     canonical = F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b"))
     refresh = F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"))
     targets = F.concat(
         F.transform(canonical, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)),
         F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)),
     )
-    linked = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("a"), F.explode(targets).alias("b"))
-    linked = linked.where("a is not null and b <> ''").withColumn("b", resolved(F.col("b"), F.col("a")))
-    return linked.where("b like '%://%'")
+    linked = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("a"), F.coalesce(base, F.lit("")).alias("base"), F.explode(targets).alias("b"))
+    linked = linked.where("a is not null and b <> ''").withColumns({"b": unescaped(F.col("b")), "base": unescaped(F.col("base"))})
+    linked = linked.withColumn("base", F.when(F.col("base") == "", F.col("a")).otherwise(F.coalesce(resolved(F.col("base"), F.col("a")), F.col("a"))))
+    return linked.select("a", resolved(F.col("b"), F.col("base")).alias("b")).where("b like '%://%'")
 
 
 def url_key(url: Column) -> Column:
@@ -97,7 +122,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: D
     Edges come from canonical links and refresh tags in `html` (None: not read) and from `redirects`
     (a, b). A rule decides its own urls. Any other url is blocked if an alias is blocked by a rule and no
     alias is explicitly allowed: within a component an explicit allow takes precedence over blocks that
-    would be passed on. All else is allowed. A null or malformed url has an empty host and path, fits no rule
+    would be passed on. All else is allowed. Of equally long rules an allow wins, then the first by host and path. A null or malformed url has an empty host and path, fits no rule
     and has no aliases. Rows are neither merged nor lost; columns of the same names are replaced.
     """
     pages = pages.drop(*[c for c in ("host", "path", "rule", "verdict", "_action", "_key") if c in pages.columns])
@@ -111,6 +136,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: D
     member = connected_components(links.select(url_key(F.col("a")).alias("a"), url_key(F.col("b")).alias("b")))
     decided = match_rules(member, rules, "node").where("_action is not null")
     groups = decided.groupBy("component").agg(F.bool_or(F.col("_action") == "block").alias("b"), F.bool_or(F.col("_action") == "allow").alias("a"))
-    passed = member.join(groups.where("b and not a"), "component").select(F.col("node").alias("_key"), F.lit("block").alias("_passed"))
+    passed = member.join(groups.where("b and not a").hint("merge"), "component").select(F.col("node").alias("_key"), F.lit("block").alias("_passed"))
+    passed = materialise(passed, "passed-on")
+    size = passed.agg(F.coalesce(F.sum(F.octet_length("_key") + 64), F.lit(0))).first()[0]
+    # broadcast only if all of it is small
+    passed = F.broadcast(passed) if size <= MOST_BROADCAST else passed.hint("merge")
     judged = judged.withColumn("_key", url_key(F.col(url))).join(passed, "_key", "left")
     return judged.withColumn("verdict", F.coalesce("_action", "_passed", F.lit("allow"))).drop("_action", "_key", "_passed")
