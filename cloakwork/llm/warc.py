@@ -27,6 +27,7 @@ FILE_BYTES = 16 << 20
 RECORD = "path string, at long, length long, kind string, reason string, row_id long, target_uri string, refers_to long, payload_digest string, payload_bytes long"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_NUMBER = re.compile(r"-?[0-9]{1,18}").fullmatch
 
 
 def digest(data: bytes) -> str:
@@ -50,6 +51,10 @@ def record_bytes(kind: str, row_id: int | None, uri: str, payload: bytes, sha1:
     return b"".join([VERSION, b"\r\n", head.encode(), f"\r\nContent-Length: {len(block)}".encode(), END, block, END])
 
 
+#: Extension fields that hold numbers.
+NUMBERS = ("x-row-id", "x-refers-to-row-id", "x-payload-length")
+
+
 class Damaged(ValueError):
     pass
 
@@ -69,8 +74,10 @@ def parse_record(data: memoryview | bytes, at: int = 0, digests: bool = False) -
             raise Damaged("broken header")
         fields[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     length = fields.get("content-length", "")
-    if not length.isdigit():
+    if not _NUMBER(length) or length.startswith("-"):
         raise Damaged("no content length")
+    if any(not _NUMBER(fields[k]) for k in NUMBERS if k in fields):
+        raise Damaged("broken number")
     begin, end = stop + 4, stop + 4 + int(length)
     if data[end : end + 4] != END:
         raise Damaged("no end mark")
