@@ -24,7 +24,10 @@ from .shared import ship
 ROWS = 256
 _MOST_STEPS = 400_000
 _MOST_PARTS = 300_000
-#: A word with the marks after it: two matches of any pattern that splits letters from marks.
+#: Fixed value: the pattern of which is known that no match crosses a lone blank or newline from left to right, and that it
+#: takes a word and the marks after it apart. Texts are split by other patterns as a whole.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A word with the marks after it: two matches.
 _PLAIN = regex.compile(r"( ?\p{L}+)([.,;:!?*#%&$]*)").fullmatch
 _LOOSE = regex.compile(r"\s[ \n]|[ \n]\s")
 
@@ -141,7 +144,7 @@ class ByteBpe:
         self.machine = Transducer(read_ranks(path))
         self.split = regex.compile(pattern).findall
         self.dtype = np.dtype("i4")
-        self.plain = self.split(" ab!?") == [" ab", "!?"]
+        self.by_parts = pattern == PATTERN
         self.pieces: dict[str, bytes] = {}
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({"": b""}, {})
 
@@ -162,7 +165,7 @@ class ByteBpe:
             if len(self.known[spaced]) > _MOST_PARTS:
                 self.known[spaced].clear()
             whole = " " + part if spaced else part
-            if self.plain and (split := _PLAIN(whole)):
+            if split := _PLAIN(whole):
                 word, marks = split.groups()
                 found = self._piece(word) + self._piece(marks) if marks else self._piece(word)
             else:
@@ -171,10 +174,10 @@ class ByteBpe:
         return found
 
     def encode(self, text: str | None) -> np.ndarray:
-        """No match of the pattern crosses a lone blank or newline from left to right, so parts can be looked up."""
+        """Parts between lone blanks and newlines are looked up."""
         if not text:
             return np.empty(0, dtype=self.dtype)
-        if _LOOSE.search(text):
+        if not self.by_parts or _LOOSE.search(text):
             return np.frombuffer(self._ids(text), dtype=self.dtype)
         out, feed = [], None
         for line in text.split("\n"):
@@ -185,7 +188,9 @@ class ByteBpe:
             first, *rest = line.split(" ")
             out.append(self.known[0].get(first) or self._look(first, 0))
             found = list(map(self.known[1].get, rest))
-            out += [self._look(part, 1) for part in rest] if None in found else found
+            if None in found:
+                found = [self._look(part, 1) if ids is None else ids for part, ids in zip(rest, found, strict=True)]
+            out += found
         return np.frombuffer(b"".join(out), dtype=self.dtype)
 
 
@@ -203,32 +208,48 @@ class Decoder:
         return "".join([*out, stream.finish()])
 
 
+#: Of each byte that begins a character of several bytes: how many follow, and which the next may be (Unicode's table of
+#: well-formed sequences).
+_LEADS = {lead: (n, low, high) for leads, n, low, high in (
+    (range(0xC2, 0xE0), 1, 0x80, 0xBF), ((0xE0,), 2, 0xA0, 0xBF), ((*range(0xE1, 0xED), 0xEE, 0xEF), 2, 0x80, 0xBF), ((0xED,), 2, 0x80, 0x9F),
+    ((0xF0,), 3, 0x90, 0xBF), (range(0xF1, 0xF4), 3, 0x80, 0xBF), ((0xF4,), 3, 0x80, 0x8F)) for lead in leads}
+
+
 class Utf8Stream:
-    """UTF-8 from pieces that may end inside a character: the state is the bytes of the open one."""
+    """UTF-8 from pieces that may end inside a character: a state machine over the bytes.
+
+    The state is how many bytes the open character still needs and which the next may be, (0, 0, 0) between
+    characters. A byte that may not follow makes what was open one U+FFFD and is read anew. Only from the last byte that
+    can begin a character on does it matter in which state a piece ends, so the machine steps over those bytes, and
+    what lies before is turned into text at once.
+    """
 
     def __init__(self) -> None:
-        self.held = b""
-
-    @staticmethod
-    def _open(data: bytes) -> int:
-        """How many bytes at the end begin a character that is not finished."""
-        for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if byte >= 0xC0:
-                need = 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4
-                return back if need > back else 0
-            if byte < 0x80:
-                return 0
-        return 0
+        self.state, self.held = (0, 0, 0), b""
+
+    def _step(self, byte: int) -> bool:
+        """Whether a character ends with this byte, as a whole or broken."""
+        need, low, high = self.state
+        if need and low <= byte <= high:
+            self.state = (need - 1, 0x80, 0xBF) if need > 1 else (0, 0, 0)
+        else:
+            self.state = _LEADS.get(byte, (0, 0, 0))
+        return self.state == (0, 0, 0)
 
     def feed(self, piece: bytes) -> str:
         data = self.held + piece
-        n = len(data) - self._open(data)
-        self.held = data[n:]
-        return data[:n].decode("utf-8", "replace")
+        begin = next((len(data) - back for back in range(1, min(3, len(data)) + 1) if data[-back] in _LEADS), len(data))
+        self.state, whole = (0, 0, 0), begin
+        for at in range(begin, len(data)):
+            if self._step(data[at]):
+                whole = at + 1
+            elif self.state == _LEADS.get(data[at]):
+                whole = at  # what was open before is broken
+        self.held = data[whole:]
+        return data[:whole].decode("utf-8", "replace")
 
     def finish(self) -> str:
-        rest, self.held = self.held, b""
+        rest, self.held, self.state = self.held, b"", (0, 0, 0)
         return rest.decode("utf-8", "replace")
 
 
