@@ -7,6 +7,7 @@ mean of the passages is scored. Every passage of every text takes part.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,7 +80,9 @@ def _encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     kinds = _CLASS[data[np.repeat(starts - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())]]
     table = np.bincount(of * (len(_CLASSES) + 1) + kinds, minlength=m * (len(_CLASSES) + 1)).reshape(m, -1)[:, : len(_CLASSES)]
     again = np.append(False, (hashes[1:] == hashes[:-1]) & (passage[1:] == passage[:-1]))
-    pair = hashes * np.uint64(3) + np.append(np.uint64(0), hashes[:-1])
+    before = np.append(np.uint64(0), hashes[:-1])
+    before[np.append(True, passage[1:] != passage[:-1])] = 0  # a passage's features depend on its own words only
+    pair = hashes * np.uint64(3) + before
     lines = np.bincount(passage, weights=data[ends] == 10, minlength=m)
     more = [chars / count / 10, lines / count, np.bincount(passage, weights=again, minlength=m) / count, _distinct(passage, hashes, m) / count, _distinct(passage, pair, m) / count, count / PASSAGE]
     out = np.column_stack([table / chars[:, None], *more])
@@ -96,19 +99,53 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return np.add.reduceat(letters * factors[place], np.cumsum(length) - length)
 
 
+def _cut(raw: bytes) -> Iterator[bytes]:
+    """A text in pieces of some CHUNK bytes that hold whole passages, and the rest."""
+    if len(raw) > CHUNK:
+        raw = _LONG_WORD.sub(rb"\1 ", raw)
+    at = 0
+    while len(raw) - at > CHUNK:
+        size, whole = CHUNK, 0
+        while not whole and size < 2 * (len(raw) - at):
+            inside = ~_BLANK[np.frombuffer(raw[at : at + size], dtype=np.uint8)]
+            starts = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+            whole, size = max(0, len(starts) - 1) // PASSAGE * PASSAGE, size * 2  # the last word may go on
+        if not whole:
+            break
+        yield raw[at : at + int(starts[whole])]
+        at += int(starts[whole])
+    yield raw[at:]
+
+
+#: Words of more than 65,536 bytes count as several words.
+_LONG_WORD = re.compile(rb"([^\x20\x09-\x0D]{65536})(?=[^\x20\x09-\x0D])")
+
+
 def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of features for each passage of up to PASSAGE words, and the number of its text; a text without words has one of zeros."""
-    rows, owners, held, size, base = [], [], [], 0, 0
-    for text in [*texts, None]:
-        raw = (text or "").encode("utf-8", "replace")
-        if held and (size + len(raw) > CHUNK or base + len(held) == len(texts)):
-            x, owner = _encode(held)
+    """A row of features for each passage of up to PASSAGE words, and the number of its text; a text without words has one of zeros.
+
+    Long texts are taken in pieces, so that memory does not grow with a text beyond its passages' rows.
+    """
+    rows, owners, held, of, size = [np.zeros((0, FEATURES))], [np.zeros(0, dtype=np.int64)], [], [], 0
+
+    def flush() -> None:
+        if held:
+            x, piece = _encode(held)
             rows.append(x)
-            owners.append(owner + base)
-            base, held, size = base + len(held), [], 0
-        held.append(raw)
-        size += len(raw)
-    return (np.concatenate(rows), np.concatenate(owners)) if rows else (np.zeros((0, FEATURES)), np.zeros(0, dtype=np.int64))
+            owners.append(np.array(of)[piece])
+            held.clear()
+            of.clear()
+
+    for k, text in enumerate(texts):
+        for raw in _cut((text or "").encode("utf-8", "replace")):
+            if size + len(raw) > CHUNK:
+                flush()
+                size = 0
+            held.append(raw)
+            of.append(k)
+            size += len(raw)
+    flush()
+    return np.concatenate(rows), np.concatenate(owners)
 
 
 class Attention:
@@ -135,21 +172,26 @@ class Attention:
     def scores(self, x: np.ndarray, owner: np.ndarray) -> np.ndarray:
         return self._forward((x - self.mean) / self.std, owner)[-1]
 
+    def _gradients(self, x: np.ndarray, owner: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy, by each parameter."""
+        p = self.p
+        starts, bag, h, t, g, a, z, y = self._forward(x, owner)
+        dy = (y - label) / len(label)
+        dz = dy[:, None] * p["c"]
+        da = (dz[bag] * h).sum(axis=1)
+        de = a * (da - np.add.reduceat(a * da, starts)[bag])
+        dt, dg = de[:, None] * p["w"] * g * (1 - t**2), de[:, None] * p["w"] * t * g * (1 - g)
+        dh = a[:, None] * dz[bag] + dt @ p["V"].T + dg @ p["U"].T
+        dx = dh * (1 - h**2)
+        return {"A": x.T @ dx, "a": dx.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ dy, "d": dy.sum(keepdims=True)}
+
     def fit(self, x: np.ndarray, owner: np.ndarray, label: np.ndarray, rounds: int = 250, rate: float = 0.02, decay: float = 1e-4) -> Attention:
         """owner ascending; label of each bag in that order."""
         self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-6
         x, p = (x - self.mean) / self.std, self.p
         first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
         for step in range(1, rounds + 1):
-            starts, bag, h, t, g, a, z, y = self._forward(x, owner)
-            dy = (y - label) / len(label)
-            dz = dy[:, None] * p["c"]
-            da = (dz[bag] * h).sum(axis=1)
-            de = a * (da - np.add.reduceat(a * da, starts)[bag])
-            dt, dg = de[:, None] * p["w"] * g * (1 - t**2), de[:, None] * p["w"] * t * g * (1 - g)
-            dh = a[:, None] * dz[bag] + dt @ p["V"].T + dg @ p["U"].T
-            dx = dh * (1 - h**2)
-            grads = {"A": x.T @ dx, "a": dx.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ dy, "d": dy.sum(keepdims=True)}
+            grads = self._gradients(x, owner, label)
             for k, v in p.items():
                 grad = grads[k] + decay * v
                 first[k] = 0.9 * first[k] + 0.1 * grad
@@ -191,7 +233,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, model: Attention | float, text: str = "text", into: str = "score") -> DataFrame:
-    """Adds the score (0 to 1, higher: better) of every whole text; null and empty texts are a bag of one empty passage."""
+    """Adds the score (0 to 1, higher: better) of every whole text; null and empty texts are a bag of one empty passage.
+
+    Equal texts have equal scores. Other columns are carried along; one that is named like `into` is replaced.
+    """
     ship(docs.sparkSession)
 
     @F.pandas_udf("double")
@@ -203,4 +248,4 @@ def score(docs: DataFrame, model: Attention | float, text: str = "text", into: s
             parts = [passages(batch.iloc[at : at + 1000].tolist()) for at in range(0, len(batch), 1000)]
             yield pd.Series(np.concatenate([model.scores(x, owner) for x, owner in parts]))
 
-    return docs.withColumn(into, scored(F.col(text)))
+    return docs.withColumn("_scored", scored(F.col(text))).drop(into).withColumnRenamed("_scored", into)
