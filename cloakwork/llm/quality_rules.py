@@ -7,6 +7,8 @@ shuffle, so hot sources and groups of copies cost no more than other rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 MOST_MARKS = 5
 
-#: Fixed phrases of page furniture, matched without case at word boundaries.
+#: Phrases of page furniture in the corpus's languages, matched without case at word boundaries.
 BOILERPLATE = (
     "all rights reserved",
     "privacy policy",
@@ -31,9 +33,49 @@ BOILERPLATE = (
     "lorem ipsum",
     "powered by",
     "skip to content",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "cookies akzeptieren",
+    "javascript aktivieren",
+    "hier klicken",
+    "jetzt anmelden",
+    "newsletter abonnieren",
+    "zum inhalt springen",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "conditions d'utilisation",
+    "accepter les cookies",
+    "activer javascript",
+    "cliquez ici",
+    "inscrivez-vous maintenant",
+    "abonnez-vous à notre newsletter",
+    "aller au contenu",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "términos de uso",
+    "condiciones de uso",
+    "aceptar cookies",
+    "activar javascript",
+    "haga clic aquí",
+    "regístrese ahora",
+    "suscríbase a nuestro boletín",
+    "saltar al contenido",
 )
 
 
+def phrases(words: tuple[str, ...], at: int = 0) -> str:
+    """A pattern for any of some phrases that tells them apart letter by letter, as a list of alternatives would be tried one by one."""
+    branches = []
+    for letter in sorted({w[at] for w in words if len(w) > at}):
+        branches.append(re.escape(letter) + phrases(tuple(w for w in words if w[at : at + 1] == letter), at + 1))
+    ends = any(len(w) == at for w in words)
+    if not branches:
+        return ""
+    one = branches[0] if len(branches) == 1 and not ends else "(?:" + "|".join(branches) + ")"
+    return one + "?" if ends else one
+
+
 def _trimmed(text: Column) -> Column:
     return F.trim(text, F.lit(" \t\n\x0b\x0c\r"))
 
@@ -82,6 +124,8 @@ def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
 WORD_START = r"[^\x20\x09-\x0D]"
 
 
+#: A phrase begins and ends where no ASCII letter, digit or underscore goes on.
+PHRASE_EDGE = r"(?<![0-9A-Za-z_])"
 #: The same word four times in a row. {3,} would recurse for each further word and overflow the stack on a long line.
 FILLER = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D])){3}"
 
@@ -100,7 +144,7 @@ def line_fails(line: Column, by_share: bool = False) -> Column:
     letters = n(F.regexp_replace(line, r"[^\p{L}\p{N}]+", ""))
     bars = F.regexp_count(line, F.lit(r"\s[|»›>→•·]\s"))
     words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-    phrase = line.rlike(r"(?i)\b(?:" + "|".join(BOILERPLATE) + r")\b")
+    phrase = line.rlike(rf"(?iu){PHRASE_EDGE}{phrases(BOILERPLATE)}(?![0-9A-Za-z_])")
     filler, links = line.rlike(FILLER), bars >= 3
     if by_share:
         filler &= F.regexp_count(line, F.lit(FILLER)) * (4 * 5) >= words

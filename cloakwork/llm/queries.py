@@ -90,7 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _W = r"[^\x20\x09-\x0D]+"
-_PHRASES = "|".join(BOILERPLATE)
+_PHRASES = "|".join(BOILERPLATE).replace("'", "''")
 
 ORACLE: dict[str, str] = {
     "op3_warc": """
@@ -103,7 +103,7 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT
 c AS (SELECT *, list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) AS g FROM w),
 d AS (SELECT doc_id, list(x) AS again FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(g) AS x FROM c) GROUP BY ALL) WHERE n > 1 GROUP BY 1),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT doc_id, unnest(g) AS x, generate_subscripts(g, 1) AS i, again FROM c JOIN d USING (doc_id)) WHERE list_contains(again, x)) GROUP BY 1),
-f AS (SELECT doc_id, CAST(sum(length(x)) AS BIGINT) AS total, CAST(sum(CASE WHEN fails THEN length(x) ELSE 0 END) AS BIGINT) AS lost FROM (SELECT doc_id, x, letters = 0 OR marks * 100 > letters * {MOST_MARKS} OR bars >= 3 OR (words <= 30 AND regexp_matches(x, '(?i)\b(?:{_PHRASES})\b')) OR filler AS fails FROM
+f AS (SELECT doc_id, CAST(sum(length(x)) AS BIGINT) AS total, CAST(sum(CASE WHEN fails THEN length(x) ELSE 0 END) AS BIGINT) AS lost FROM (SELECT doc_id, x, letters = 0 OR marks * 100 > letters * {MOST_MARKS} OR bars >= 3 OR (words <= 30 AND regexp_matches(x, '(?i)(^|[^0-9A-Za-z_])(?:{_PHRASES})($|[^0-9A-Za-z_])')) OR filler AS fails FROM
   (SELECT doc_id, x, length(regexp_replace(x, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS letters, length(regexp_replace(x, '[^#*$%&|<>~^={{}}\\]+', '', 'g')) + len(regexp_extract_all(x, '[!?]{{2,}}')) AS marks,
    len(regexp_extract_all(x, '[\x20\x09-\x0D][|»›>→•·][\x20\x09-\x0D]')) AS bars, len(regexp_extract_all(x, '{_W}')) AS words, len(list_filter(range(1, len(ws) - 2), lambda i: ws[i] = ws[i + 1] AND ws[i] = ws[i + 2] AND ws[i] = ws[i + 3])) > 0 AS filler
    FROM (SELECT doc_id, x, regexp_extract_all(x, '{_W}') AS ws FROM (SELECT doc_id, unnest(l) AS x FROM w)))) GROUP BY 1),
