@@ -11,9 +11,11 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,13 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES = 16 << 20
 RECORD = "path string, at long, length long, kind string, reason string, row_id long, target_uri string, refers_to long, payload_digest string, payload_bytes long"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+VERSION_BYTES = 10
+_END = re.compile(re.escape(END))
 _MEMBER = b"\x1f\x8b\x08"
+_MEMBERS = re.compile(re.escape(_MEMBER))
+WINDOW, PIECE = 4 << 20, 1 << 16
+#: Stores that tasks open themselves, to read archives in ranges; of others Spark hands over whole files.
+OPENED = ("", "file", "hdfs", "s3", "gs")
 _NUMBER = re.compile(r"-?[0-9]{1,18}").fullmatch
 
 
@@ -59,16 +67,104 @@ class Damaged(ValueError):
     pass
 
 
-def parse_record(data: memoryview | bytes, at: int = 0, digests: bool = False) -> tuple[dict, bytes, int]:
-    """Fields (names in lower case), block and end of the record at `at`; Damaged if any check fails, or if `digests` and it has none."""
-    data = bytes(data) if isinstance(data, memoryview) else data
-    if not _VERSION_LINE.match(data, at):
+class Ranged:
+    """Bytes that are read in ranges; one window of them is held."""
+
+    def __init__(self, read: Callable[[int, int], bytes], size: int) -> None:
+        self.read, self.size, self.base, self.data = read, size, 0, b""
+
+    @classmethod
+    def of(cls, raw: bytes) -> Ranged:
+        return cls(lambda at, n: raw[at : at + n], len(raw))
+
+    def get(self, at: int, n: int) -> bytes:
+        n = min(n, max(0, self.size - at))
+        if not self.base <= at <= at + n <= self.base + len(self.data):
+            self.base, self.data = at, self.read(at, min(max(n, WINDOW), self.size - at))
+        return self.data[at - self.base : at - self.base + n]
+
+    def search(self, pattern: re.Pattern, at: int, width: int) -> int:
+        """Where a match of `width` bytes begins, or -1."""
+        while at < self.size:
+            piece = self.get(at, WINDOW)
+            if found := pattern.search(piece):
+                return at + found.start()
+            if at + len(piece) >= self.size:
+                break
+            at += len(piece) - width + 1
+        return -1
+
+    def ended(self, at: int) -> bool:
+        return at >= self.size
+
+    def forget(self, at: int) -> None:
+        pass
+
+
+class Inflated:
+    """The content of the gzip member at `at`, inflated as far as it is asked for; what was read may be forgotten.
+
+    At the end, hurt says what was wrong with the member, and pos is where it ended or the damage was met.
+    """
+
+    def __init__(self, raw: Ranged, at: int) -> None:
+        self.raw, self.pos, self.inflate, self.data, self.base, self.hurt, self.over = raw, at, zlib.decompressobj(31), bytearray(), 0, "", False
+
+    def _more(self) -> bool:
+        if self.over:
+            return False
+        piece, before = self.raw.get(self.pos, PIECE), self.inflate.copy()
+        if not piece:
+            self.over, self.hurt = True, "member cut off"
+            return False
+        try:
+            self.data += self.inflate.decompress(piece)
+            self.pos += len(piece) - len(self.inflate.unused_data)
+            self.over = self.inflate.eof
+        except zlib.error:
+            self.over, self.hurt = True, "member"
+            try:  # what comes before the damage
+                for k in range(len(piece)):
+                    self.data += before.decompress(piece[k : k + 1])
+                    self.pos += 1
+            except zlib.error:
+                pass
+        return True
+
+    def _reach(self, end: int) -> None:
+        while self.base + len(self.data) < end and self._more():
+            pass
+
+    def get(self, at: int, n: int) -> bytes:
+        self._reach(at + n)
+        return bytes(self.data[at - self.base : at - self.base + n])
+
+    def search(self, pattern: re.Pattern, at: int, width: int) -> int:
+        while True:
+            if found := pattern.search(self.data, at - self.base):
+                return self.base + found.start()
+            at = max(at, self.base + len(self.data) - width + 1)
+            if not self._more():
+                return -1
+
+    def ended(self, at: int) -> bool:
+        self._reach(at + 1)
+        return self.base + len(self.data) <= at
+
+    def forget(self, at: int) -> None:
+        del self.data[: at - self.base]
+        self.base = at
+
+
+def parse_record(source: Ranged | Inflated, at: int) -> tuple[dict, bytes, int]:
+    """Fields (names in lower case), block and end of the record at `at`; Damaged if any check fails."""
+    if not _VERSION_LINE.match(source.get(at, VERSION_BYTES)):
         raise Damaged("no version line")
-    stop = data.find(END, at)
+    stop = source.search(_END, at, len(END))
     if stop < 0:
         raise Damaged("no end of the header")
     fields = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
+    for line in source.get(at, stop - at).split(b"\r\n")[1:]:
         key, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("broken header")
@@ -79,102 +175,111 @@ def parse_record(data: memoryview | bytes, at: int = 0, digests: bool = False) -
     if any(not _NUMBER(fields[k]) for k in NUMBERS if k in fields):
         raise Damaged("broken number")
     begin, end = stop + 4, stop + 4 + int(length)
-    if data[end : end + 4] != END:
+    # the end mark first: a wrong length reads nothing else of an archive
+    if source.get(end, 4) != END:
         raise Damaged("no end mark")
-    block = data[begin:end]
-    told = fields.get("warc-block-digest", "")
-    if told.startswith("sha1:") and told[5:] != digest(block):
+    block = source.get(begin, end - begin)
+    if has_digest(fields) and fields["warc-block-digest"][5:] != digest(block):
         raise Damaged("block digest")
-    if digests and not told.startswith("sha1:"):
-        raise Damaged("no block digest")
     return fields, block, end + 4
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int, str]:
-    """The content of the gzip member at `at`, its end and ''; of a damaged one what comes before the damage, its place and the reason."""
-    inflate, out, pos = zlib.decompressobj(31), [], at
-    while not inflate.eof and pos < len(data):
-        piece, before = data[pos : pos + (1 << 16)], inflate.copy()
-        try:
-            out.append(inflate.decompress(piece))
-        except zlib.error:
-            try:
-                for k in range(len(piece)):
-                    out.append(before.decompress(piece[k : k + 1]))
-            except zlib.error:
-                pass
-            return b"".join(out), pos + k, "member"
-        pos += 1 << 16
-    if not inflate.eof:
-        return b"".join(out), len(data), "member cut off"
-    return b"".join(out), min(pos, len(data)) - len(inflate.unused_data), ""
+def has_digest(fields: dict) -> bool:
+    return fields.get("warc-block-digest", "").startswith("sha1:")
+
 
+def _inside(source: Inflated) -> Iterator[tuple[dict | None, bytes | str]]:
+    """(fields, block) of each sound record of a member, and (None, reason) of each gap in its content.
 
-def _inside(content: bytes, digests: bool) -> Iterator[tuple[dict | None, bytes | str]]:
-    """(fields, block) of each sound record of a member's content, and (None, reason) of each gap."""
-    at, reason = 0, ""
-    while 0 <= at < len(content):
+    Where the member's own checks fail, only a digest shows that a record is sound; records without one
+    therefore wait for its end.
+    """
+    at, reason, waiting = 0, "", []
+    while not source.ended(at):
         try:
-            fields, block, end = parse_record(content, at, digests)
+            fields, block, end = parse_record(source, at)
         except Damaged as x:
             reason = reason or str(x)
-            line = _VERSION_LINE.search(content, at + 1)
-            at = line.start() if line else -1
+            at = source.search(_VERSION_LINE, at + 1, VERSION_BYTES)
+            if at < 0:
+                break
+            source.forget(at)
             continue
-        if reason:
-            yield None, reason
-        yield fields, block
+        found = [(None, reason)] * bool(reason) + [(fields, block)]
+        if waiting or not has_digest(fields):
+            waiting += found
+        else:
+            yield from found
         at, reason = end, ""
+        source.forget(at)
+    yield from (x for x in waiting if source.hurt != "member" or x[0] and has_digest(x[0]))
     if reason:
         yield None, reason
 
 
-def _records_at(raw: bytes, at: int) -> tuple[list[tuple[dict | None, bytes | str]], int, str]:
-    """Records and gaps at `at`, at least one sound, the end and ''; of a damaged member the sound records, the place of the damage and the reason."""
-    if raw[at : at + 3] == _MEMBER:
-        content, end, hurt = _member(memoryview(raw), at)
-        # where the checksum or the stream is wrong, only a digest shows that a record is sound
-        found = list(_inside(content, hurt == "member"))
-        if not any(fields for fields, _ in found):
-            raise Damaged(hurt or (found[0][1] if found else "empty member"))
-        return [x for x in found if x[0] or not hurt], end, hurt
-    fields, block, end = parse_record(raw, at)
-    return [(fields, block)], end, ""
+def _begins(source: Ranged, at: int) -> bool:
+    """Whether a sound record, or a member with one, begins at `at`."""
+    if source.get(at, len(_MEMBER)) == _MEMBER:
+        return any(fields for fields, _ in _inside(Inflated(source, at)))
+    try:
+        parse_record(source, at)
+    except Damaged:
+        return False
+    return True
 
 
-def _next_start(raw: bytes, at: int, known: int = 0) -> int:
+def _next_start(source: Ranged, at: int, known: int = 0) -> int:
     """Where the next member, or version line not before `known`, with a sound record begins, or the end."""
+    line = member = at - 1
     while True:
-        line, member = _VERSION_LINE.search(raw, max(at, known)), raw.find(_MEMBER, at)
-        starts = [p for p in (line.start() if line else -1, member) if p >= 0]
+        # each kind is sought again only once the place found last is passed
+        if line is not None and line < at:
+            found = source.search(_VERSION_LINE, max(at, known), VERSION_BYTES)
+            line = found if found >= 0 else None
+        if member is not None and member < at:
+            found = source.search(_MEMBERS, at, len(_MEMBER))
+            member = found if found >= 0 else None
+        starts = [x for x in (line, member) if x is not None]
         if not starts:
-            return len(raw)
+            return source.size
         at = min(starts)
-        try:
-            _records_at(raw, at)
+        if _begins(source, at):
             return at
-        except Damaged:
-            at += 1
+        at += 1
 
 
-def salvage(raw: bytes) -> Iterator[tuple[int, int, dict | None, bytes | str]]:
+def salvage(raw: bytes | Ranged) -> Iterator[tuple[int, int, dict | None, bytes | str]]:
     """(start, end, fields, block) of each sound record, and (start, end, None, reason) of each gap, in file order.
 
-    Records and gaps inside a member have the place of the member. A damaged member gives the sound records
-    before the damage and one gap.
+    Records and gaps inside a member have its place; if it has several, those before the last end where the
+    archive had been read to. A damaged member gives its sound records and one gap. No more of the archive is held than a window and a record.
     """
+    source = raw if isinstance(raw, Ranged) else Ranged.of(raw)
     at = 0
-    while at < len(raw):
-        try:
-            found, end, hurt = _records_at(raw, at)
-        except Damaged as x:
-            found, end, hurt = [], 0, str(x)
-        if hurt:
+    while at < source.size:
+        if source.get(at, len(_MEMBER)) != _MEMBER:
+            try:
+                fields, block, end = parse_record(source, at)
+                yield at, end, fields, block
+            except Damaged as x:
+                end = _next_start(source, at + 1)
+                yield at, end, None, str(x)
+            at = end
+            continue
+        content, last, sound = Inflated(source, at), None, 0
+        for found in _inside(content):
+            if last:
+                yield at, content.pos, *last
+            last, sound = found, sound + (found[0] is not None)
+        if sound and not content.hurt:
+            end = content.pos
+            yield at, end, *last
+        else:
             # lines before the damage were read as the member's, even where they are stored without compression
-            end = _next_start(raw, at + 1, end)
-            found = [*found, (None, hurt)]
-        for fields, block in found:
-            yield at, end, fields, block
+            end = _next_start(source, at + 1, content.pos if sound else 0)
+            if sound and last[0] is not None:
+                yield at, content.pos, *last
+            yield at, end, None, content.hurt or (last[1] if last else "empty member")
         at = end
 
 
@@ -222,18 +327,19 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
 def read_warc(spark: SparkSession, folder: str, with_payload: bool = False, glob: str = "*.warc*") -> DataFrame:
     """A row for each sound record and each gap of the archives in `folder` (kind: the record's type, or gap).
 
-    A payload whose digest does not match its field makes the record a gap with that reason. Archives are
-    read by Spark, one whole file a row: files should stay well below the memory of a task, as those written
-    here do. An archive cut off in the middle gives a gap at its end; an empty one gives no row.
+    A payload whose digest does not match its field makes the record a gap with that reason. Spark lists the
+    archives; each is read by one task, in ranges, which holds a window of it and one record. An archive cut off in the middle
+    gives a gap at its end; an empty one gives no row.
     """
     ship(spark)
+    opened = urlsplit(folder).scheme in OPENED
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in RECORD.split(", ")]
         for batch in batches:
-            for path, raw in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+            for k, path in enumerate(batch["path"].to_pylist()):
                 rows, held = [], 0
-                for start, end, fields, block in salvage(raw.as_py()):
+                for start, end, fields, block in salvage(_open(path) if opened else batch["content"][k].as_py()):
                     if fields is None:
                         row, body = (path, start, end - start, "gap", block, None, None, None, None, None), None
                     else:
@@ -254,10 +360,21 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = False, glob
                 if rows:
                     yield _rows(rows, names, with_payload)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", *["content"] * (not opened))
     return files.mapInArrow(read, RECORD + ", payload binary" * with_payload)
 
 
+def _open(path: str) -> Ranged:
+    files, name = FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+    file = files.open_input_file(name)
+
+    def read(at: int, n: int) -> bytes:
+        file.seek(at)
+        return file.read(n)
+
+    return Ranged(read, file.size())
+
+
 def _rows(rows: list[tuple], names: list[str], with_payload: bool) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "string": pa.string()}
     types = [kinds[f.split()[1]] for f in RECORD.split(", ")] + [pa.binary()] * with_payload

@@ -58,3 +58,24 @@ def test_cut_off_single_member():
     assert found(raw[:-4]) == {str(i) for i in range(200)}
     stream = zlib.compressobj(6, zlib.DEFLATED, 31)
     assert found(stream.compress(b"".join(one[:3])) + stream.flush() + raw) >= {"0", "1", "2"}
+
+
+def test_archives_read_in_small_ranges(monkeypatch):
+    from cloakwork.llm import warc
+
+    one = records(30)
+    raw = b"".join(gzip.compress(x) for x in one[:10]) + gzip.compress(b"".join(one[10:20])) + b"junk\r\nWARC/1.1\r\n" + b"".join(one[20:])
+    whole = [(a, f["x-row-id"] if f else None) for a, _, f, _ in salvage(raw)]
+    monkeypatch.setattr(warc, "WINDOW", 64)
+    monkeypatch.setattr(warc, "PIECE", 17)
+    held = []
+
+    class Watched(warc.Ranged):
+        def get(self, at, n):
+            out = super().get(at, n)
+            held.append(len(self.data))
+            return out
+
+    got = [(a, f["x-row-id"] if f else None) for a, _, f, _ in salvage(Watched(lambda at, n: raw[at : at + n], len(raw)))]
+    assert got == whole and [x for _, x in got if x] == [str(i) for i in range(30)]
+    assert max(held) <= 2 * max(map(len, one))
