@@ -108,13 +108,13 @@ def classify_files(bed: Bed) -> DataFrame:
     return bed.files.select("file_id", "ext", "kind")
 
 
-@query(None)
+@query("SELECT file_id, text, encoding FROM reports")
 def read_reports(bed: Bed) -> DataFrame:
     raw = bed.reports.select("file_id", F.col("text").cast("binary").alias("content"))
     return tree.read_reports(raw)
 
 
-@query(None)
+@query("SELECT file_id, pseudo_id, sha256(text) AS sha256, CAST(length(text) AS INTEGER) AS length FROM clean_reports")
 def write_reports(bed: Bed) -> DataFrame:
     return tree.report_bytes(bed.clean_reports).select("file_id", "pseudo_id", F.sha2("content", 256).alias("sha256"), F.length("content").alias("length"))
 
@@ -140,21 +140,53 @@ def policy_json(bed: Bed) -> DataFrame:
     return back.select(F.get("keep_xml", F.lit(0)).alias("patient_key"), F.array_join("keep", ",").alias("keep"), "keep_dates")
 
 
-@query(None)
+@query("SELECT pseudo_id, count(*) AS n, count(DISTINCT file_id) AS n_files FROM deid GROUP BY 1")
 def write_deid_elements(bed: Bed) -> DataFrame:
     out = f"{shared_dir(bed.spark)}/deid-{uuid.uuid4().hex}"
-    tree.guard_output(bed.sf_dir, f"{out}/shareable", f"{out}/private", bed.spark)
-    bed.deid.withColumn("bucket", F.pmod(F.xxhash64("pseudo_id"), F.lit(16))).repartition("bucket").write.partitionBy("bucket").parquet(f"{out}/shareable/elements")
-    bed.crosswalk.write.parquet(f"{out}/private/crosswalk")
+    tree.guard_output(f"{out}/source", f"{out}/shareable", f"{out}/private", bed.spark)
+    tree.write_outputs(bed.deid, bed.clean_reports, bed.crosswalk, f"{out}/shareable", f"{out}/private")
     kept = bed.spark.read.parquet(f"{out}/shareable/elements")
     return kept.groupBy("pseudo_id").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("n_files"))
 
 
+_FOLDERS = """SELECT c_custkey, '/data/' || c_mktsegment || '/in' AS source, CASE c_custkey % 6 WHEN 0 THEN 'file:///data/' || c_mktsegment WHEN 1 THEN 'file:/data/' || c_mktsegment || '/in/out/' WHEN 2 THEN '/data//' || c_mktsegment || '/./in'
+  WHEN 3 THEN 's3://data/' || c_mktsegment || '/in' ELSE '/share/' || c_mktsegment END AS shareable, CASE c_custkey % 5 WHEN 0 THEN '/share' WHEN 1 THEN 's3://data/' || c_mktsegment WHEN 2 THEN '/data/' || c_mktsegment || '/info' ELSE '/private' END AS private FROM {customer}"""
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace({}, '^file:/*', '/') || '/', '([^:])/(\\./)+', '\\1/', 'g'), '([^:])//+', '\\1/', 'g')"
+
+
+@query(f"""SELECT c_custkey, starts_with(a, b) OR starts_with(b, a) OR starts_with(a, c) OR starts_with(c, a) OR starts_with(b, c) OR starts_with(c, b) AS refused FROM
+  (SELECT c_custkey, {_PLAIN.format("source")} AS a, {_PLAIN.format("shareable")} AS b, {_PLAIN.format("private")} AS c FROM ({_FOLDERS.replace("{customer}", "customer")}))""")
+def guard_output(bed: Bed) -> DataFrame:
+    folders = bed.view(_FOLDERS)
+    return folders.select("c_custkey", tree.nested_outputs(F.col("source"), F.col("shareable"), F.col("private")).alias("refused"))
+
+
+_COUNTS = ["n_patients", "n_dicom", "n_xml", "n_pdf_dropped", "n_image_dropped", "n_dicom_failed", "n_xml_failed", "n_burned_in", "n_leaks"]
+
+
+def _section(title: str, table: str, columns: list[str]) -> str:
+    """SQL of a section's lines: none if the table is empty."""
+    cells = " || ' | ' || ".join(f"replace(replace(coalesce({c}, ''), '|', '\\|'), chr(10), ' ')" for c in columns)
+    rows = f"SELECT '| ' || {cells} || ' |' AS line, row_number() OVER (ORDER BY {', '.join(columns)}) AS k FROM {table} ORDER BY {', '.join(columns)} LIMIT 200"
+    return f"(SELECT CASE WHEN count(*) = 0 THEN [] ELSE ['## {title}', '', '| {' | '.join(columns)} |', '|{'---|' * len(columns)}'] || list(line ORDER BY k) || [''] END FROM ({rows}))"
+
+
+REPORT_SQL = (
+    "SELECT CAST(unnest(generate_series(1, len(l))) AS INTEGER) AS line_no, unnest(l) AS line FROM (SELECT ['# De-identification run: ' || CASE WHEN n_leaks > 0 THEN '❌ FAIL' WHEN n_burned_in > 0 THEN '⚠️ WARN' ELSE '✅ PASS' END, ''] || ["
+    + ", ".join(f"'- {c}: ' || {c}" for c in _COUNTS)
+    + "] || [''] || CASE WHEN n_leaks > 0 THEN [] ELSE ['0 leaks found.', ''] END || "
+    + _section("Leaks", "leaks", ["file_id", "kind", "token", "detail"]) + " || " + _section("Burned-in text suspected", "flags", ["file_id", "reason"])
+    + " AS l FROM (SUMMARY))"
+)
+
+
 @query(None)
 def run_report_md(bed: Bed) -> DataFrame:
     run = deidentify(bed.files, bed.elements, bed.reports)
     none = bed.spark.createDataFrame([], "file_id string, kind string, error string")
-    return bed.spark.createDataFrame([(summary.run_report_md(run.summary, run.leaks, run.burned_in, none),)], "report string")
+    text = summary.run_report_md(run.summary, run.leaks, run.burned_in, none)
+    lines = bed.spark.createDataFrame([(text,)], "report string").select(F.posexplode(F.split("report", "\n")).alias("k", "line"))
+    return lines.select((F.col("k") + 1).alias("line_no"), "line")
 
 
 # Element rules
@@ -375,6 +407,9 @@ _SUMMARY = """SELECT (SELECT count(DISTINCT patient_key) FROM files) AS n_patien
   (SELECT count(*) FROM flags) AS n_burned_in, (SELECT count(*) FROM leaks) AS n_leaks"""
 
 
+ORACLE["run_report_md"] = with_views(REPORT_SQL.replace("SUMMARY", _SUMMARY))
+
+
 @query(f"SELECT *, CASE WHEN n_leaks > 0 THEN 'FAIL' WHEN n_burned_in > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM ({_SUMMARY})")
 def run_summary(bed: Bed) -> DataFrame:
     return deidentify(bed.files, bed.elements, bed.reports).summary
@@ -599,9 +634,9 @@ def verify_unreadable(bed: Bed) -> DataFrame:
     return verify.verify_unreadable(parsed)
 
 
-@query(None)
+@query("SELECT file_id, 'xml' AS kind, 'no code page fits' AS error FROM reports WHERE CAST(substr(file_id, 2) AS BIGINT) % 50 = 15")
 def file_failures(bed: Bed) -> DataFrame:
-    raw = bed.reports.select("file_id", F.when(F.pmod(F.xxhash64("file_id"), F.lit(50)) == 0, None).otherwise(F.col("text").cast("binary")).alias("content"))
+    raw = bed.reports.select("file_id", F.when(F.substring("file_id", 2, 20).cast("long") % 50 == 15, None).otherwise(F.col("text").cast("binary")).alias("content"))
     return tree.split_failures(tree.read_reports(raw))[1]
 
 

@@ -49,9 +49,11 @@ def classify_files(inventory: DataFrame, magic: Column | None = None) -> DataFra
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """The classified files below `root`. Contents are read for files without an extension only."""
-    base = root.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     read = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    rel = F.regexp_replace(F.col("path"), "^(file:)?/*" + base.replace("file:", "").lstrip("/").replace(".", "\\.") + "/", "")
+    rel = F.substring(plain_path(F.col("path")), F.char_length(plain_path(F.lit(base))) + 1, F.char_length("path"))
+    rel = F.regexp_replace(rel, "/$", "")
     listing = read().select(F.col("path").alias("file_id"), rel.alias("rel_path"), "length")
     files = file_inventory(listing)
     bare = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"[^.](\.[^.]+)$", 1) == ""
@@ -110,22 +112,40 @@ def policy_from_json(texts: DataFrame) -> DataFrame:
     return p.select(*lists, F.coalesce("p.keep_dates", F.lit(True)).alias("keep_dates"))
 
 
+def plain_path(path: Column) -> Column:
+    """One way of writing a folder: local ones without their scheme, no doubled or closing slash but one at the end."""
+    local = F.regexp_replace(path, "^file:/*", "/")
+    scheme = F.regexp_extract(local, "^[A-Za-z][A-Za-z0-9+.-]*://", 0)
+    rest = F.regexp_replace(F.concat(F.substring(local, F.char_length(scheme) + 1, F.char_length(local)), F.lit("/")), "/(\\./)+|//+", "/")
+    return F.concat(scheme, F.regexp_replace(rest, "//+", "/"))
+
+
+def nested_outputs(source: Column, shareable: Column, private: Column) -> Column:
+    """Whether any two of the three folders are the same or one lies in the other."""
+    a, b, c = plain_path(source), plain_path(shareable), plain_path(private)
+    meet = lambda x, y: F.startswith(x, y) | F.startswith(y, x)
+    return meet(a, b) | meet(a, c) | meet(b, c)
+
+
 def guard_output(source: str, shareable: str, private: str, spark: SparkSession) -> None:
     """Refuse outputs that are or nest the input or each other, and a shareable one that already has something."""
-    norm = lambda p: p.split(":", 1)[-1].rstrip("/") + "/" if "://" not in p else p.rstrip("/") + "/"
-    paths = [norm(p) for p in (source, shareable, private)]
-    for i, a in enumerate(paths):
-        for b in paths[i + 1 :]:
-            if a.startswith(b) or b.startswith(a):
-                raise ValueError("input, shareable and private output must not be or contain one another")
-    there = spark._jvm.org.apache.hadoop.fs.Path(shareable)
-    files = there.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(there) and len(files.listStatus(there)):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = lambda p: hadoop(p).getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = [F.lit(files(p).makeQualified(hadoop(p)).toString()) for p in (source, shareable, private)]
+    if spark.range(1).select(nested_outputs(*whole)).first()[0]:
+        raise ValueError("input, shareable and private output must not be or contain one another")
+    there = hadoop(shareable)
+    if files(shareable).exists(there) and len(files(shareable).listStatus(there)):
         raise ValueError("the shareable output is not empty")
 
 
 def write_outputs(elements: DataFrame, reports: DataFrame, crosswalk: DataFrame, shareable: str, private: str) -> None:
-    """Shareable tables by pseudonym, the crosswalk in its own private place; nothing is overwritten."""
+    """Shareable tables in ranges of pseudonyms, the crosswalk in its own private place; nothing is overwritten.
+
+    A patient's rows lie together, so that a reader of one pseudonym skips all other files by their statistics; a patient
+    with very many is split over several files.
+    """
     for df, name in ((elements, "elements"), (reports, "reports")):
-        df.repartition("pseudo_id").write.mode("errorifexists").partitionBy("pseudo_id").parquet(f"{shareable}/{name}")
+        ranged = df.repartitionByRange("pseudo_id", "file_id").sortWithinPartitions("pseudo_id", "file_id")
+        ranged.write.mode("errorifexists").parquet(f"{shareable}/{name}")
     crosswalk.write.mode("errorifexists").parquet(f"{private}/crosswalk")
