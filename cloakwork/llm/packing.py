@@ -55,8 +55,10 @@ def cut_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "te
         lots = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             rows, parts = [], []
-            for i, t in enumerate(batch["text"].to_pylist()):
-                ids = words.ids(t, end).astype("<u4")
+            every, at = words.encode_all(batch["text"], end)
+            every, at = every.astype("<u4"), at.tolist()
+            for i in range(batch.num_rows):
+                ids = every[at[i] : at[i + 1]]
                 for a in range(0, len(ids), capacity):
                     part = ids[a : a + capacity]
                     rows.append((i, a, len(part), zlib.crc32(part), len(ids)))

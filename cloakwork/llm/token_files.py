@@ -24,7 +24,8 @@ from .tokens import encoder
 MAGIC = b"HTOK1\n"
 HEADER = struct.Struct("<6sBIIQQQQIIIQ")  # magic, longest code, symbols, block, shard, seq, documents, tokens, three packed sizes, bits
 BLOCK = 512
-FILE_TOKENS = 1 << 22
+FILE_TOKENS = 1 << 21
+SLICE = 1 << 18
 NULL_ID = -(1 << 63)
 
 
@@ -80,29 +81,40 @@ def decode_table(lengths: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndar
 
 
 def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int) -> tuple[bytes, np.ndarray, int]:
-    """The bits, the bit offset of every block, and the number of bits. No code may exceed 17 bits."""
-    sizes = lengths[ids].astype(np.int64)
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    starts = ends - sizes
-    word = codes[ids].astype(np.int64) << (24 - sizes - (starts & 7))
-    byte = starts >> 3
-    out = np.zeros(total // 8 + 4, dtype=np.float64)
-    for k in range(3):  # codes do not overlap, so adding their bytes is joining them
-        out += np.bincount(byte + k, weights=(word >> (16 - 8 * k)) & 255, minlength=len(out))[: len(out)]
-    return out.astype(np.uint8).tobytes(), starts[::block], total
+    """The bits, the bit offset of every block, and the number of bits; some blocks at a time. No code may exceed 17 bits."""
+    out, offsets, total = [], [np.empty(0, dtype=np.int64)], 0
+    rest = 0  # what the slices so far have put into the byte that they did not fill
+    step = max(1, SLICE // block) * block
+    for at in range(0, len(ids), step):
+        some = ids[at : at + step]
+        sizes = lengths[some].astype(np.int64)
+        first = total & 7
+        ends = np.cumsum(sizes) + first
+        starts = ends - sizes
+        word = codes[some].astype(np.int64) << (24 - sizes - (starts & 7))
+        byte = starts >> 3
+        n = int(ends[-1])
+        joined = np.zeros(n // 8 + 4)
+        joined[0] = rest
+        for k in range(3):  # codes do not overlap, so adding their bytes is joining them
+            joined += np.bincount(byte + k, weights=(word >> (16 - 8 * k)) & 255, minlength=len(joined))[: len(joined)]
+        offsets.append(starts[::block] + (total - first))
+        out.append(joined[: n // 8].astype(np.uint8).tobytes())
+        rest = int(joined[n // 8])
+        total += n - first
+    return b"".join([*out, bytes([rest, 0, 0, 0])]), np.concatenate(offsets), total
 
 
 def unpack_bits(bits: bytes, offsets: np.ndarray, n: int, block: int, table: tuple[np.ndarray, np.ndarray], longest: int) -> np.ndarray:
     """All n ids; the blocks advance side by side, one token a step."""
-    data = np.frombuffer(bits + bytes(4), dtype=np.uint8).astype(np.int64)
+    data = np.frombuffer(bits + bytes(4), dtype=np.uint8)
     ids, sizes = table
     at = offsets.astype(np.int64)
     out = np.empty((len(at), block), dtype=np.uint32)
     last, mask = len(data) - 3, (1 << longest) - 1
     for k in range(block):
         byte = np.minimum(at >> 3, last)
-        ahead = ((data[byte] << 16 | data[byte + 1] << 8 | data[byte + 2]) >> (24 - longest - (at & 7))) & mask
+        ahead = ((data[byte].astype(np.int64) << 16 | data[byte + 1].astype(np.int64) << 8 | data[byte + 2]) >> (24 - longest - (at & 7))) & mask
         out[:, k] = ids[ahead]
         at = at + sizes[ahead]
     return out.ravel()[:n]
@@ -139,7 +151,9 @@ def encoded_rows(df: DataFrame, path: str, id_col: str, text: str, end: int, spe
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, shard, seq = encoder(path, special), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [words.ids(t, end).tobytes() for t in batch["text"].to_pylist()]
+            every, at = words.encode_all(batch["text"], end)
+            every, at = memoryview(every.tobytes()), (at * words.dtype.itemsize).tolist()
+            ids = [every[a:b] for a, b in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), pa.int64()), pa.array(range(seq, seq + len(ids)), pa.int64()), batch["id"], pa.array(ids, pa.binary())], names=["shard", "seq", "id", "ids"])
             seq += len(ids)
 
