@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 #: Words that normalisation only lower-cases, with the marks after them: each is one piece that needs the merges alone.
 _PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!\"#$%&()*+,\-./:;=?@]*)$"
 #: Words remembered; most of what a corpus has beyond them occurs once.
-_MOST = 300_000
+_MOST = 150_000
 #: Bytes of text taken at a time; a longer text is cut at a blank.
 BATCH = 8 << 20
 
@@ -52,7 +52,11 @@ def _by_parts(path: str) -> bool:
 def _gather(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The stretches of a table that begin at `starts`, one after the other."""
     ends = np.cumsum(sizes)
-    return table[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(n, len(table)) < 1 << 31 else np.int64
+    at = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    at += np.arange(n, dtype=kind)
+    return table[at]
 
 
 class Encoder:
