@@ -9,18 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a new local one only where the session names none."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Only a session in one process may name none: then it is a new local one, since nothing else reads it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    kept = getattr(spark.sparkContext, "_own_shared_dir", None)
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    kept = getattr(context, "_own_shared_dir", None)
     if kept is None:
-        kept = spark.sparkContext._own_shared_dir = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        kept = context._own_shared_dir = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
     return kept
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, what: str = "table") -> DataFrame:
-    """The same rows, written to the shared folder and read again: a barrier that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    """The same rows, written to the shared folder and read again: cuts the lineage, survives lost executors."""
+    path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    again = df.sparkSession.read.schema(df.schema).parquet(path)
+    again._written_to = path
+    return again
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by materialise() that nothing reads any more."""
+    spark, path = df.sparkSession, df._written_to
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

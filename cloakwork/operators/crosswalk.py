@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import materialise
 from ..functions.text import is_digits, longest_first, strip, tag_values
 from ..rules import ID_TAGS, LEAST_NUMBER, LEAST_TOKEN, NAME_TAGS, TEXT_TAGS
 
@@ -19,17 +20,33 @@ def pseudo_name(number: Column, width: int = 4) -> Column:
 def _numbered(keys: DataFrame, start: Column | int = 0) -> DataFrame:
     """Distinct keys with consecutive numbers in code-point order.
 
-    Range partitions are numbered each by itself and then shifted by the counts of those before: no
+    Range partitions are written, numbered each by itself and then shifted by the counts of those before: no
     task sees more than its range. Only the counts, one a partition, meet in one place.
     """
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keys.repartitionByRange(n, "patient_key").withColumn("_part", F.spark_partition_id())
+    # written, as two readings could sample other bounds
+    ranged = materialise(keys.repartitionByRange(n, "patient_key").withColumn("_part", F.spark_partition_id()), "ranges")
     inside = ranged.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy("patient_key")))
     counts = ranged.groupBy("_part").count()
     before = counts.select("_part", (F.sum("count").over(W.orderBy("_part")) - F.col("count")).alias("_before"))
     return inside.join(F.broadcast(before), "_part").select("patient_key", (F.col("_in") + F.col("_before") + start).cast("long").alias("patient_no"))
 
 
+def placed(df: DataFrame, group: str, *order: str, into: str) -> DataFrame:
+    """Adds each row's place in its group, from 0, by the columns `order`.
+
+    Like the numbering of patients: a group with very many rows lies in several ranges, each numbered by itself and shifted
+    by the group's counts in those before.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialise(df.repartitionByRange(n, group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = ranged.withColumn("_in", F.row_number().over(W.partitionBy("_part", group).orderBy(*order)))
+    counts = ranged.groupBy(group, "_part").count()
+    before = counts.select(group, "_part", (F.sum("count").over(W.partitionBy(group).orderBy("_part")) - F.col("count")).alias("_before"))
+    same = inside[group].eqNullSafe(before[group]) & (inside["_part"] == before["_part"])
+    return inside.join(before.hint("merge"), same).select(*(inside[c] for c in df.columns), (F.col("_in") + F.col("_before") - 1).cast("long").alias(into))
+
+
 def assign_pseudo_ids(files: DataFrame, width: int = 4) -> DataFrame:
     """(patient_key, patient_no, pseudo_id): patients numbered from 1 in code-point order of their keys."""
     keys = files.select("patient_key").where("patient_key is not null").distinct()

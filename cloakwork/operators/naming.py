@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import scrub
+from .crosswalk import placed
 
 
 def report_output_names(files: DataFrame, assigned: DataFrame) -> DataFrame:
     """(file_id, target): the pseudonym and the file's place among its patient's reports, from 0."""
     own = files.where("kind = 'xml'").join(assigned.select("patient_key", "pseudo_id"), "patient_key")
-    j = F.row_number().over(W.partitionBy("pseudo_id").orderBy("rel_path")) - 1
-    return own.select("file_id", F.concat("pseudo_id", F.lit("_"), j, F.lit(".xml")).alias("target"))
+    own = placed(own.select("file_id", "pseudo_id", "rel_path"), "pseudo_id", "rel_path", "file_id", into="_j")
+    return own.select("file_id", F.concat("pseudo_id", F.lit("_"), F.col("_j"), F.lit(".xml")).alias("target"))
 
 
 def sanitize_paths(files: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -30,14 +30,14 @@ def image_output_names(files: DataFrame, assigned: DataFrame, instance: DataFram
     """
     images = files.where("kind = 'dicom'").join(assigned.select("patient_key", "pseudo_id"), "patient_key").join(instance, "file_id", "left")
     folder = sanitize_paths(files.withColumn("rel_path", F.regexp_replace("parent", "^[^/]*/?", "")), tokens).select("file_id", F.col("sanitized").alias("folder"))
-    i = F.row_number().over(W.partitionBy("pseudo_id").orderBy("rel_path")) - 1
-    name = F.coalesce(F.when(F.col("new_uid") != "", F.col("new_uid")), F.concat("pseudo_id", F.lit("_"), F.format_string("%05d", i)))
+    images = placed(images.select("file_id", "pseudo_id", "rel_path", "new_uid"), "pseudo_id", "rel_path", "file_id", into="_i")
+    name = F.coalesce(F.when(F.col("new_uid") != "", F.col("new_uid")), F.concat("pseudo_id", F.lit("_"), F.format_string("%05d", "_i")))
     return images.withColumn("_name", name).join(folder, "file_id").select("file_id", F.concat_ws("/", "pseudo_id", F.when(F.col("folder") != "", F.col("folder")), F.concat("_name", F.lit(".dcm"))).alias("target"))
 
 
 def unique_paths(targets: DataFrame) -> DataFrame:
     """(file_id, target, rel_path) -> adds unique_target: the first of equal targets keeps it, others get _1, _2, … before the suffix."""
-    k = F.row_number().over(W.partitionBy("target").orderBy("rel_path")) - 1
     numbered = F.regexp_replace("target", r"(\.[^./]*)?$", "")
     suffix = F.regexp_extract("target", r"(\.[^./]*)$", 1)
-    return targets.withColumn("_k", k).withColumn("unique_target", F.when(F.col("_k") == 0, F.col("target")).otherwise(F.concat(numbered, F.lit("_"), "_k", suffix))).drop("_k")
+    order = [c for c in ("rel_path", "file_id") if c in targets.columns]
+    return placed(targets, "target", *order, into="_k").withColumn("unique_target", F.when(F.col("_k") == 0, F.col("target")).otherwise(F.concat(numbered, F.lit("_"), "_k", suffix))).drop("_k")
