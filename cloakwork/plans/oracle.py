@@ -59,20 +59,23 @@ def _meets(texts: str, key: str) -> str:
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 _OVER = "(({0}.\"group\" BETWEEN 20480 AND 20735) OR ({0}.\"group\" BETWEEN 24576 AND 24831))"
 _BLANK = f"coalesce({{0}}.keyword IN {_in(BLANK_KEYWORDS)}, false)"
-_GOES = f"({_OVER} OR {{0}}.\"group\" % 2 = 1 OR ({{0}}.vr = 'SQ' AND {_BLANK}))"
+#: The same under the registered policy: ProtocolName removed too, AccessionNumber and StationName kept, and in reports StudyDate and PatientBirthday.
+_POLICY_BLANK = f"coalesce(({{0}}.keyword IN {_in(BLANK_KEYWORDS)} OR lower({{0}}.keyword) = 'protocolname') AND lower({{0}}.keyword) NOT IN ('accessionnumber', 'stationname'), false)"
+_POLICY_TAGS = [t for t in BLANK_TAGS if t != "PatientBirthday"] + ["StudyDate"]
 MASK = "CASE WHEN length({0}) <= 2 THEN repeat('•', length({0})) ELSE {0}[1] || repeat('•', CAST(least(length({0}) - 2, 8) AS BIGINT)) || {0}[-1] END"
 JOINED = "array_to_string(\"values\", '\\')"
 CTX = "substr(text, CAST(greatest(1, {at} - 20) AS BIGINT), CAST({at} + {n} + 20 - greatest(1, {at} - 20) AS BIGINT))"
 PHONE, IDCARD = "(^|[^0-9A-Za-z])(1[3-9]\\d{9})([^0-9A-Za-z]|$)", "(^|[^0-9A-Za-z])(\\d{17}[\\dXx])([^0-9A-Za-z]|$)"
 
 
-def _action(dates: str = "true") -> str:
+def _action(dates: str = "true", blank: str = _BLANK) -> str:
+    goes = f"({_OVER.format('a')} OR a.\"group\" % 2 = 1 OR (a.vr = 'SQ' AND {blank.format('a')}))"
     uids = f"(vr = 'UI' AND len(list_filter(\"values\", lambda v: {_remap('v')})) > 0)"
     return f"""CASE WHEN scope = 'meta' THEN CASE WHEN {uids} THEN 'remap' ELSE 'keep' END
-      WHEN len(list_filter(ancestors, lambda a: {_GOES.format("a")})) > 0 THEN 'drop_nested'
+      WHEN len(list_filter(ancestors, lambda a: {goes})) > 0 THEN 'drop_nested'
       WHEN {_OVER.format("e")} THEN 'drop_overlay' WHEN "group" % 2 = 1 THEN 'drop_private'
       WHEN "group" = 16 AND element IN (16, 32) THEN 'pseudonymise'
-      WHEN {_BLANK.format("e")} THEN CASE WHEN vr = 'SQ' THEN 'drop_sequence' ELSE 'blank' END
+      WHEN {blank.format("e")} THEN CASE WHEN vr = 'SQ' THEN 'drop_sequence' ELSE 'blank' END
       WHEN vr = 'PN' THEN 'blank_person'
       WHEN vr IN ('DA', 'DT') AND {JOINED} <> '' AND NOT {dates} THEN 'blank_date'
       WHEN {uids} THEN 'remap' WHEN vr IN {_in(SCRUB_VRS)} AND len("values") = 1 THEN 'scrub' ELSE 'keep' END"""
@@ -112,7 +115,10 @@ VIEWS = {
     "acted": f"SELECT e.*, {_action()} AS action FROM elements e",
     "acted_undated": f"SELECT e.*, {_action('false')} AS action FROM elements e",
     "deid": f"SELECT a.* EXCLUDE (patient_key), a.patient_key, pseudo_id, {_AFTER} AS values_after FROM acted a LEFT JOIN own USING (patient_key) WHERE NOT starts_with(action, 'drop')",
+    "acted_policy": f"SELECT e.*, {_action(blank=_POLICY_BLANK)} AS action FROM elements e",
+    "deid_policy": f"SELECT a.* EXCLUDE (patient_key), a.patient_key, pseudo_id, {_AFTER} AS values_after FROM acted_policy a LEFT JOIN own USING (patient_key) WHERE NOT starts_with(action, 'drop')",
     "clean_reports": f"SELECT file_id, patient_key, pseudo_id, {_scrubbed('t', 'pseudo_id')} AS text FROM (SELECT *, {_set(_set('text', PSEUDO_TAGS, 'pseudo_id'), BLANK_TAGS, chr(39) * 2)} AS t FROM reports LEFT JOIN own USING (patient_key))",
+    "clean_reports_policy": f"SELECT file_id, patient_key, pseudo_id, {_scrubbed('t', 'pseudo_id')} AS text FROM (SELECT *, {_set(_set('text', PSEUDO_TAGS, 'pseudo_id'), _POLICY_TAGS, chr(39) * 2)} AS t FROM reports LEFT JOIN own USING (patient_key))",
     "leaf_hits": r"""SELECT rel_path, unnest(regexp_extract_all(text, '<[A-Za-z_][\w.\-]*>[^<]*</[A-Za-z_][\w.\-]*>', 0)) AS hit, generate_subscripts(regexp_extract_all(text, '<[A-Za-z_][\w.\-]*>[^<]*</[A-Za-z_][\w.\-]*>', 0), 1) AS pos FROM reports""",
     "leaves": r"""SELECT rel_path, pos, regexp_extract(hit, '^<([^>]*)>', 1) AS tag, regexp_replace(regexp_extract(hit, '>([^<]*)<', 1), '^\s+|\s+$', '', 'g') AS value FROM leaf_hits
       WHERE regexp_extract(hit, '^<([^>]*)>', 1) = regexp_extract(hit, '</([^>]*)>$', 1)""",

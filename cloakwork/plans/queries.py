@@ -202,6 +202,11 @@ def deid_elements(bed: Bed) -> DataFrame:
     return bed.deid.select(*place(), "pseudo_id", flat("values_after").alias("value"))
 
 
+@query(f"SELECT {PLACE_SQL}, pseudo_id, action, array_to_string(values_after, '\\') AS value FROM deid_policy")
+def deid_elements_policy(bed: Bed) -> DataFrame:
+    return el.deid_elements(bed.elements, bed.tokens, POLICY, uid_fn=SALTED).select(*place(), "pseudo_id", "action", flat("values_after").alias("value"))
+
+
 @query('SELECT file_id, "group" AS grp, element AS elem, keyword FROM elements WHERE NOT ("group" BETWEEN 20480 AND 20735 OR "group" BETWEEN 24576 AND 24831)')
 def drop_overlay_curve(bed: Bed) -> DataFrame:
     return bed.elements.where(~el.is_overlay(F.col("group"))).select("file_id", F.col("group").alias("grp"), F.col("element").alias("elem"), "keyword")
@@ -555,6 +560,11 @@ def scrub_tokens_elements(bed: Bed) -> DataFrame:
     return bed.deid.where("action = 'scrub'").select(*place(), flat("values_after").alias("value"))
 
 
+@query("SELECT file_id, pseudo_id, text FROM clean_reports_policy")
+def deid_reports_policy(bed: Bed) -> DataFrame:
+    return rp.deid_reports(bed.reports, bed.tokens, POLICY).select("file_id", "pseudo_id", F.col("text_after").alias("text"))
+
+
 @query("SELECT file_id, pseudo_id, text FROM clean_reports")
 def deid_reports(bed: Bed) -> DataFrame:
     return bed.clean_reports.select("file_id", "pseudo_id", F.col("text_after").alias("text"))
