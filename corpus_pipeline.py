@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumn("_key", key)
     leads = similar_groups(keyed, id_col="_key").where("_key = group").select("_key").distinct()
     once = keyed.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return once.join(leads, "_key", "left_semi").select("_row.*")
+    return once.join(leads.hint("merge"), "_key", "left_semi").select("_row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
