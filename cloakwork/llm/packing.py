@@ -79,7 +79,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFra
 
     Pieces are dealt at random into groups of about `group`, each packed by itself: the work is in
     proportion to the pieces, a group is small whatever the table holds, and groups share no sequence. A
-    table without rows gives none.
+    table without rows gives none. Pieces of equal length keep the order of their lots; repeated rows and null ids are pieces
+    like others, and other columns are carried along.
     """
     groups = max(1, -(-pieces.count() // group))
     columns = pieces.columns

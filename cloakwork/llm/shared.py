@@ -3,53 +3,22 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
-import uuid
 
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship as ship
+from ..functions.tables import discard as discard
+from ..functions.tables import materialise as materialise
+from ..functions.tables import new_folder as new_folder
+from ..functions.tables import shared_dir as shared_dir
 
 #: White space as the contracts define it: blank and \t \n \v \f \r.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a new local one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    kept = getattr(spark.sparkContext, "_own_shared_dir", None)
-    if kept is None:
-        kept = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.sparkContext._own_shared_dir = kept
-    return kept
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, what: str = "table") -> DataFrame:
-    """The same rows, written to the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    again = df.sparkSession.read.schema(df.schema).parquet(path)
-    again._written_to = path
-    return again
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by materialise() that nothing reads any more."""
-    spark, path = df.sparkSession, df._written_to
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,12 +28,6 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows dealt evenly over at least as many tasks as shuffles have; by the hash of `keys`, so that a retried task sees the same rows."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs whose results were written: it does so as the driver's garbage is collected."""
     gc.collect()
@@ -77,5 +40,10 @@ def put(folder: str, name: str, data: bytes, attempt: int) -> str:
     files.create_dir(root, recursive=True)
     with files.open_output_stream(f"{root}/.{name}.{attempt}") as out:
         out.write(data)
-    files.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
+    try:
+        files.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
+    except OSError:
+        if files.get_file_info(f"{root}/{name}").type != FileType.File:
+            raise
+        files.delete_file(f"{root}/.{name}.{attempt}")  # an earlier attempt has put the same there
     return f"{folder}/{name}"

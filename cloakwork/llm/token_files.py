@@ -222,7 +222,10 @@ def write_token_files(df: DataFrame, path: str, folder: str | None = None, id_co
 
 
 def read_token_files(spark, folder: str, files: DataFrame, with_ids: bool = True) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32, ids array if asked for) of every document in the files; start counts all ids before it."""
+    """(id, start, n_tokens, ids_crc32, ids array if asked for) of every document in the files; start counts all ids before it.
+
+    Null ids come back as null, repeated rows as rows of their own, in the files' order; a table without files gives no rows.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
