@@ -93,6 +93,15 @@ _W = r"[^\x20\x09-\x0D]+"
 _PHRASES = "|".join(BOILERPLATE).replace("'", "''")
 
 ORACLE: dict[str, str] = {
+    "op1_suffix_array_dedup": """
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+p AS (SELECT doc_id, i, md5(array_slice(b, i + 1, i + 200)) AS h FROM (SELECT doc_id, b, unnest(range(0, n - 199)) AS i FROM t)),
+g AS (SELECT doc_id, i FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM (SELECT doc_id, i, sum(CASE WHEN i - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g)) GROUP BY doc_id, k),
+l AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY 1),
+e AS (SELECT doc_id, b, n, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, list_prepend(CAST(0 AS BIGINT), coalesce(z, [])) AS starts, list_append(coalesce(a, []), n) AS ends FROM t LEFT JOIN l USING (doc_id))
+SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(list_reduce(list_prepend(CAST('' AS BLOB), list_transform(list_zip(starts, ends), lambda x: CASE WHEN x[2] > x[1] THEN array_slice(b, x[1] + 1, x[2]) ELSE CAST('' AS BLOB) END)), lambda x, y: x || y)) AS kept_sha256 FROM e
+""",
     "op3_warc": """
 SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes, (SELECT string_agg('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(substr(bits, CAST(5 * i + 1 AS BIGINT), 5) AS BITSTRING)::INT], '' ORDER BY i) FROM range(32) r(i)) AS payload_digest,
   CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to

@@ -46,3 +46,21 @@ def test_periodic_texts_of_two_letters(spark):
             if seen[t[i : i + 200]] > 1:
                 gone[i : i + 200] = True
         assert got[k] == gone.sum()
+
+
+def test_query_as_the_sql_says(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from cloakwork.llm.queries import ORACLE, op1_suffix_array_dedup
+
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abé日") for _ in range(n))
+    shared = [word(150) for _ in range(4)]
+    texts = [word(r.randint(0, 80)) + r.choice(shared) + word(r.randint(0, 80)) + r.choice(shared) for _ in range(30)] + [None, "", "é" * 150, shared[0] + shared[1], shared[0] + shared[1]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLE["op1_suffix_array_dedup"]).fetchall())
+    assert sorted(map(tuple, op1_suffix_array_dedup(spark, str(tmp_path)).collect())) == want and sum(x[2] for x in want) > 1000
