@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, release, ship
+from .shared import discard, materialise, release, ship
 
 CHUNK = 1 << 18
 PART = 16
@@ -236,11 +236,17 @@ def _rerank(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cores = materialise(cores.where("n > 1").select("core", F.expr("a = b").alias("whole")), "cores")
     release(runs.sparkSession)
     alive = materialise(runs.join(cores, "core"), "runs")
+    discard(cores)
     release(runs.sparkSession)
     reaches = alive.where("not whole").groupBy("core", "reach").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
     reaches = materialise(reaches, "reaches")
     again = alive.where("not whole").join(reaches.where("n > 1").select("core", "reach"), ["core", "reach"])
-    return alive.where("whole").select("key", "at").union(again.select("key", "at")), reaches.select("one.key", "one.at")
+    settled = materialise(alive.where("whole").select("key", "at").union(again.select("key", "at")), "settled")
+    unsettled = materialise(reaches.select("one.key", "one.at"), "unsettled")
+    for old in (alive, reaches):
+        discard(old)
+    release(runs.sparkSession)
+    return settled, unsettled
 
 
 def repeated_runs(docs: DataFrame, length: int, seed: int) -> DataFrame:
@@ -249,9 +255,10 @@ def repeated_runs(docs: DataFrame, length: int, seed: int) -> DataFrame:
     found, unsettled = _rerank(docs.mapInArrow(first_runs(length, seed), RUN))
     for part in (PART, 1):
         # each text comes with its runs; those are at most as many as it has bytes
-        runs = docs.join(listed(unsettled), "key").mapInArrow(shorter_runs(length, part), RUN)
-        settled, unsettled = _rerank(materialise(runs, "shorter"))
+        runs = materialise(docs.join(listed(unsettled), "key").mapInArrow(shorter_runs(length, part), RUN), "shorter")
         release(docs.sparkSession)
+        settled, unsettled = _rerank(runs)
+        discard(runs)
         found = found.union(settled)
     return listed(found)
 
