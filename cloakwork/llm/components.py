@@ -30,11 +30,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         # the minima are written first, so that Spark can split a hub's rows in the joins with them
         least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = materialise(large, "large")
         lows = materialise(large.groupBy("hi").agg(F.min("lo").alias("m")), "lows")
         small = (
-            large.join(lows, "hi")
+            large.join(lows.hint("merge"), "hi")
             .where("lo <> m")
             .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .union(lows.select("hi", "m"))

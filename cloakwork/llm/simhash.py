@@ -4,7 +4,8 @@ A fingerprint's 22 segments of three bits are replaced by their bit counts. The
 such vectors is a lower bound of the Hamming distance of the fingerprints, so a range join on a grid of
 these vectors keeps every pair in range. Two grid points at distance two or less share a point at distance
 one or less from both; meeting at those points makes the range join an equi-join, and grouping there keeps
-it linear. The pairs themselves are settled the same way on the fingerprints, which is exact.
+it linear. The pairs that the grid leaves are settled the same way on the fingerprints themselves (a second
+meeting at values one bit away), which is exact. Sides that grow with the input are never broadcast.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialise, release, ship
+from .shared import discard, materialise, release, ship
 
 SEED = 42
 SLICE = 200_000
@@ -43,10 +44,22 @@ def fingerprint(text: str | None, n: int = 3) -> int:
     for at in range(0, len(starts), SLICE):
         pieces = map(joined.__getitem__, map(slice, starts[at : at + SLICE].tolist(), ends[at : at + SLICE].tolist()))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), dtype="<u8", count=len(starts[at : at + SLICE]))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
-    out = np.packbits((2 * total > len(starts)).astype(np.uint8), bitorder="little")
-    return int(out.view("<i8")[0])
+        total += _bit_sums(hashes)
+    return _majority(total, len(starts))
+
+
+def _bit_sums(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(total: np.ndarray, n: int) -> int:
+    return int(np.packbits((2 * total > n).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
+def fingerprint_of_set(shingles: np.ndarray) -> int:
+    """SimHash of distinct shingle hashes, each counted once."""
+    total = sum((_bit_sums(shingles[at : at + SLICE]) for at in range(0, len(shingles), SLICE)), np.zeros(64, dtype=np.int64))
+    return _majority(total, len(shingles)) if len(shingles) else 0
 
 
 def fingerprints(df: DataFrame, text: str = "text", words: int = 3) -> Column:
@@ -90,16 +103,16 @@ def near_links(prints: DataFrame) -> DataFrame:
 
     The grid keeps the fingerprints with any other in Manhattan range. Of those that then meet at one value
     (each at Hamming distance one or less from it) all are in range of each other; each is linked to the least.
-    So a group of k takes k edges, never k * k pairs.
+    So a group of k takes k edges, never k * k pairs. A null fingerprint has no edge; other columns are not read.
     """
     cells = prints.groupBy(segment_counts(F.col("fp")).alias("cell")).agg(F.count("*").alias("n"))
     points = cells.select("cell", "n", F.explode(_grid_points(F.col("cell"))).alias("point"))
     shared = points.groupBy("point").agg(F.sum("n").alias("n")).where("n > 1").select("point")
-    near = points.join(shared, "point").select("cell").distinct()
-    kept = prints.withColumn("cell", segment_counts(F.col("fp"))).join(near, "cell").select("fp")
+    near = points.join(shared.hint("merge"), "point").select("cell").distinct()
+    kept = prints.withColumn("cell", segment_counts(F.col("fp"))).join(near.hint("merge"), "cell").select("fp")
     meets = materialise(kept, "simhash-near").select("fp", F.explode(_flips(F.col("fp"))).alias("at"))
     hubs = meets.groupBy("at").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").select("at", "hub")
-    return meets.join(hubs, "at").where("fp <> hub and bit_count(fp ^ hub) <= 2").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    return meets.join(hubs.hint("merge"), "at").where("fp <> hub and bit_count(fp ^ hub) <= 2").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -114,17 +127,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     links = near_links(distinct.select("fp"))
     member = connected_components(links).select(F.col("node").alias("fp"), F.col("component"))
     root = F.coalesce("component", "fp")
-    known = materialise(distinct.join(member, "fp", "left").select("fp", "least", root.alias("root")), "simhash-roots")
+    known = materialise(distinct.join(member.hint("merge"), "fp", "left").select("fp", "least", root.alias("root")), "simhash-roots")
     least = materialise(known.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    named = known.join(least, "root").select("fp", "component_id")
+    named = known.join(least.hint("merge"), "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    return prints.join(named.hint("merge"), "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
 #: For similar_groups: one text in so many is sampled for common shingles; found there so often, a shingle is common; so many are told apart.
 SAMPLED = 16
 COMMON = 4
 MOST_COMMON = 200_000
+#: So many hashes of texts to compare are broadcast; if there are more, all texts are shuffled to meet them.
+MOST_WANTED = 1_000_000
 #: Bits of the map of a set's hashes.
 MAP = 1024
 
@@ -177,6 +192,12 @@ def _common_shingles(df: DataFrame, text: str, words: int) -> tuple[np.ndarray,
     return at[order], n[order]
 
 
+def _differ(x: str, y: str) -> Column:
+    """In how many bits two maps differ."""
+    parts = [F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(MAP // 64)]
+    return sum(parts[1:], parts[0])
+
+
 def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
     """Of the pairs (a, b) those whose shingle sets have that Jaccard similarity.
 
@@ -189,31 +210,50 @@ def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: flo
             yield pa.RecordBatch.from_arrays([pa.array(list(map(_node, own)), pa.int64()), _lists(own)], names=["node", "shingles"])
 
     x, y = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"{k}n"), F.col("copy").alias(f"{k}copy"), F.col("map").alias(f"{k}map")) for k in "ab")
-    differ = sum((F.bit_count(F.get("amap", F.lit(k)).bitwiseXOR(F.get("bmap", F.lit(k)))) for k in range(1, MAP // 64)), F.bit_count(F.get("amap", F.lit(0)).bitwiseXOR(F.get("bmap", F.lit(0)))))
-    own = 1 - 2 * similarity / (1 + similarity) + 1e-9
-    left = pairs.join(x, "a").join(y, "b").where(differ <= F.lit(own) * (F.col("an") + F.col("bn"))).select("a", "b", "acopy", "bcopy")
+    left = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(_differ("amap", "bmap") <= _most_own(similarity) * (F.col("an") + F.col("bn"))).select("a", "b", "acopy", "bcopy")
     left = materialise(left, "left")
-    release(pairs.sparkSession)
     # each text once, by its hash; a text that shares the hash by chance has a node of its own
     wanted = materialise(left.select(F.explode(F.array("acopy", "bcopy")).alias("copy")).distinct(), "wanted")
-    sets = texts.join(wanted, "copy", "left_semi").dropDuplicates(["copy"]).select("text").mapInArrow(shingles, "node long, shingles array<long>")
+    few = F.broadcast(wanted) if wanted.count() <= MOST_WANTED else wanted.hint("merge")
+    sets = texts.join(few, "copy", "left_semi").dropDuplicates(["copy"]).select("text").mapInArrow(shingles, "node long, shingles array<long>")
     sets = materialise(sets, "sets")
     release(pairs.sparkSession)
     x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}set")) for k in "ab")
-    both = left.select("a", "b").join(x, "a").join(y, "b")
+    both = left.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b")
     both = both.select("a", "b", (F.size("aset") + F.size("bset")).alias("n"), F.size(F.array_intersect("aset", "bset")).alias("same"))
-    return both.where(F.col("same") >= F.lit(similarity - 1e-9) * (F.col("n") - F.col("same"))).select("a", "b")
+    found = materialise(both.where(F.col("same") >= F.lit(similarity - 1e-9) * (F.col("n") - F.col("same"))).select("a", "b"), "alike")
+    for old in (left, wanted, sets):
+        discard(old)
+    release(pairs.sparkSession)
+    return found
+
+
+def _most_own(similarity: float) -> Column:
+    """The share of both sets' shingles that sets of that similarity do not share, at most."""
+    return F.lit(1 - 2 * similarity / (1 + similarity) + 1e-9)
+
+
+def _near_prints(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes whose fingerprints near_links() joins, each fingerprint by its least node, and nodes of equal fingerprints with that."""
+    least = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    ends = [least.select(F.col("fp").alias(k), F.col("first").alias(f"{k}_first")) for k in "ab"]
+    links = near_links(least.select("fp")).join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    same = nodes.select("node", "fp").join(least.hint("merge"), "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return links.union(same)
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id_col, group): documents linked, over any number of steps, by a Jaccard similarity of their shingle sets of at least that.
 
-    Exact, up to collisions of 64-bit hashes. Equal sets fall together first. Shingles have one order, common
-    ones last; of two sets of that similarity J, the first n - ceil(J n) + 1 shingles of each have one in common
-    (prefix filtering), so sets meet at those. At each such shingle all are compared with the two that a hash puts
-    first. Components of these links need no further comparison inside; then all pairs of different
-    components that meet anywhere are compared. So a large group costs links in proportion to its size, and no
-    pair is left out. group is the least id; null and empty texts are one group.
+    Exact, up to collisions of 64-bit hashes. Equal sets fall together first. Candidates come from two sides, and
+    every one is compared by its sets. Fingerprints of the sets within two bits meet by their segments' bit counts,
+    as in near_duplicates(): a large group of close copies costs links in proportion to its size. But sets of
+    similarity 0.8 differ in about ten of 64 bits, where no such bound rules anything out. So shingles also have one
+    order, common ones last; of two sets of that similarity J, the first n - ceil(J n) + 1 shingles of each have
+    one in common (prefix filtering), so sets meet at those. At each such shingle all are compared with the two that a hash
+    puts first. Components of these links need no further comparison inside; then the pairs of different
+    components that meet anywhere, and whose sizes, places and maps allow the similarity, are compared. No pair is left out.
+    group is the least id; null and empty texts are one group.
     """
     spark = df.sparkSession
     ship(spark)
@@ -221,7 +261,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", wo
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, maps, firsts = [], [], [], []
+            nodes, sizes, prints, maps, firsts = [], [], [], [], []
             for t in batch["text"].to_pylist():
                 own = shingle_set(t, words)
                 if len(common) and len(own):
@@ -231,45 +271,60 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", wo
                     tried = own
                 nodes.append(_node(own))
                 sizes.append(len(own))
+                prints.append(fingerprint_of_set(own))
                 maps.append(_map(own))
                 firsts.append(tried[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1].copy())
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["copy"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), _lists(maps), _lists(firsts)], names=["id", "copy", "node", "n", "map", "firsts"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["copy"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), _lists(maps), _lists(firsts)], names=["id", "copy", "node", "n", "fp", "map", "firsts"])
 
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
-    rows = materialise(texts.mapInArrow(sign, f"id {kind}, copy long, node long, n int, map array<long>, firsts array<long>"), "shingles")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.min("copy").alias("copy"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("firsts").alias("firsts"))
+    signed = materialise(texts.mapInArrow(sign, f"id {kind}, copy long, node long, n int, fp long, map array<long>, firsts array<long>"), "shingles")
+    rows = materialise(signed.select("id", "node"), "rows")
+    nodes = signed.groupBy("node").agg(F.min("copy").alias("copy"), *(F.first(c).alias(c) for c in ("n", "fp", "map", "firsts")))
     nodes = materialise(nodes, "nodes")
+    discard(signed)
     release(spark)
     # left: the shingles of a set from this one on, the most that two sets share which meet at it first
     meets = nodes.select("node", "n", F.posexplode("firsts").alias("at", "shingle")).select("node", "n", (F.col("n") - F.col("at")).alias("left"), "shingle")
     shared = materialise(nodes.select(F.explode("firsts").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1"), "shared")
     release(spark)
-    meets = materialise(meets.join(shared, "shingle"), "meets")
+    meets = materialise(meets.join(shared.hint("merge"), "shingle"), "meets")
+    slim = materialise(nodes.drop("firsts"), "nodes")
+    for old in (shared, nodes):
+        discard(old)
+    nodes = slim
     release(spark)
-    order = F.struct(F.xxhash64("node", "shingle"), "node", "n", "left")
+    # the same hubs at all shingles of a group, so that few different pairs come of it
+    order = F.struct(F.xxhash64("node"), "node", "n", "left")
     hubs = meets.groupBy("shingle").agg(F.min(order).alias("first"), F.max(order).alias("last"))
     hubs = materialise(hubs, "hubs")  # so that Spark can split a shingle of many documents
     need = similarity / (1 + similarity) - 1e-9
     in_range = lambda x, y: F.least(f"{x}left", f"{y}left") >= F.lit(need) * (F.col(f"{x}n") + F.col(f"{y}n"))
-    pairs = meets.join(hubs, "shingle").select("node", "n", "left", F.explode(F.array("first", "last")).alias("o"))
+    pairs = meets.join(hubs.hint("merge"), "shingle").select("node", "n", "left", F.explode(F.array("first", "last")).alias("o"))
     pairs = pairs.select("node", "n", "left", F.col("o.node").alias("other"), F.col("o.n").alias("o_n"), F.col("o.left").alias("o_left"))
-    pairs = pairs.where((F.col("node") != F.col("other")) & in_range("", "o_"))
-    pairs = materialise(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+    pairs = pairs.where((F.col("node") != F.col("other")) & in_range("", "o_")).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    pairs = pairs.union(_near_prints(nodes)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialise(pairs.distinct(), "pairs")
+    release(spark)
     member = materialise(connected_components(_alike(pairs, nodes, texts, similarity, words)), "members")
     release(spark)
     # with up to three sets, all have met
-    rest = meets.where("k > 3").join(hubs, "shingle").where("node <> first.node and node <> last.node").join(member, "node", "left")
+    rest = meets.where("k > 3").join(hubs.hint("merge"), "shingle").where("node <> first.node and node <> last.node").join(member.hint("merge"), "node", "left")
     rest = materialise(rest.select("shingle", "node", "n", "left", F.coalesce("component", "node").alias("c")), "rest")
+    discard(meets)
     mixed = materialise(rest.groupBy("shingle").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("shingle"), "mixed")
-    rest = materialise(rest.join(mixed, "shingle"), "rest")
-    x, y = (rest.select("shingle", *(F.col(c).alias(f"{k}{c}") for c in ("node", "n", "left", "c"))) for k in "xy")
-    more = x.join(y, "shingle").where((F.col("xc") < F.col("yc")) & in_range("x", "y"))
+    rest = materialise(rest.join(mixed.hint("merge"), "shingle").join(nodes.select("node", "map").hint("merge"), "node"), "rest")
+    release(spark)
+    x, y = (rest.select("shingle", *(F.col(c).alias(f"{k}{c}") for c in ("node", "n", "left", "c", "map"))) for k in "xy")
+    near = _differ("xmap", "ymap") <= _most_own(similarity) * (F.col("xn") + F.col("yn"))
+    more = x.join(y.hint("merge"), (x["shingle"] == y["shingle"]) & (F.col("xc") < F.col("yc")) & in_range("x", "y") & near)
     more = more.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
-    more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    more = materialise(more.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "more")
+    for old in (hubs, mixed, rest):
+        discard(old)
     links = _alike(more, nodes, texts, similarity, words).union(member.select("node", "component"))
     member = connected_components(links)
-    rooted = nodes.select("node", "least").join(member, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
+    rooted = rows.join(member.hint("merge"), "node", "left").select("id", F.coalesce("component", "node").alias("root"))
     rooted = materialise(rooted, "simhash-roots")
-    named = materialise(rooted.groupBy("root").agg(F.min("least").alias("group")), "groups")
-    return rows.select("id", "node").join(rooted.join(named, "root").select("node", "group"), "node").select(F.col("id").alias(id_col), "group")
+    named = materialise(rooted.groupBy("root").agg(F.min("id").alias("group")), "groups")
+    return rooted.join(named.hint("merge"), "root").select(F.col("id").alias(id_col), "group")

@@ -61,3 +61,13 @@ def test_rows_without_an_id_of_their_own(spark):
     assert kept.columns == docs.columns
     got = [(x.doc_id, x.text) for x in kept.collect()]
     assert sorted(got, key=str) == sorted([(None, a), (None, b), (1, d), (0, near), (2, e)], key=str)
+
+
+def test_same_groups_where_nothing_is_broadcast(spark, monkeypatch):
+    from cloakwork.llm import simhash
+
+    monkeypatch.setattr(simhash, "MOST_WANTED", 0)
+    r = random.Random(4)
+    base = [words(r, 120) for _ in range(15)]
+    texts = base + [t + " " + words(r, 5) for t in base[:9]] + [base[0], "", " "]
+    assert groups(spark, texts) == brute(texts[:-2]) | {25: 25, 26: 25}
