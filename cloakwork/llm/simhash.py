@@ -323,8 +323,12 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", wo
     for old in (hubs, mixed, rest):
         discard(old)
     links = _alike(more, nodes, texts, similarity, words).union(member.select("node", "component"))
+    for old in (nodes, pairs, more):
+        discard(old)
     member = connected_components(links)
     rooted = rows.join(member.hint("merge"), "node", "left").select("id", F.coalesce("component", "node").alias("root"))
     rooted = materialise(rooted, "simhash-roots")
+    discard(rows)
+    release(spark)
     named = materialise(rooted.groupBy("root").agg(F.min("id").alias("group")), "groups")
     return rooted.join(named.hint("merge"), "root").select(F.col("id").alias(id_col), "group")
