@@ -12,9 +12,10 @@ import public_tokenizers
 from .ann import nearest
 from .bpe_transducer import bpe_encode
 from .packing import pack_documents
+from .periodic_runs import longest, periodic_runs
 from .quality_mil import held_out, score, train
 from .quality_rules import BOILERPLATE, MOST_MARKS, clean_lines
-from .shared import table
+from .shared import WORD, table
 from .simhash import near_duplicates
 from .suffix_dedup import suffix_dedup
 from .token_files import read_token_files, write_token_files
@@ -85,8 +86,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False, special=True)
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """The contract's texts: of one document in ten, by the crc32 of its id, the words from some place on repeat a few of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    w = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    n = F.size(w)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    changed = F.array_join(F.slice(F.concat(F.slice(w, F.lit(1), a), again), F.lit(1), n), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").rlike(WORD), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_with_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("best", longest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long")
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, exponent.alias("exponent_milli"), F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_token_files, op3_warc, op4_simhash_near_dedup, op5_quality_rules, op6_byte_bpe, op7_quality_classifier, op8_url_filter, url_aliases, op9_nearest_neighbours, op10_packing)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_token_files, op3_warc, op4_simhash_near_dedup, op5_quality_rules, op6_byte_bpe, op7_quality_classifier, op8_url_filter, url_aliases, op9_nearest_neighbours, op10_packing, op13_periodic_runs)
 }
 
 _W = r"[^\x20\x09-\x0D]+"
