@@ -11,11 +11,12 @@ import public_tokenizers
 
 from .ann import nearest
 from .bpe_transducer import bpe_encode
+from .conversation_trie import prefix_trie, started_alike, turn_lists
 from .packing import pack_documents
 from .periodic_runs import longest, periodic_runs
 from .quality_mil import held_out, score, train
 from .quality_rules import BOILERPLATE, MOST_MARKS, clean_lines
-from .shared import WORD, table
+from .shared import WORD, materialise, table
 from .simhash import near_duplicates
 from .suffix_dedup import suffix_dedup
 from .token_files import read_token_files, write_token_files
@@ -86,6 +87,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False, special=True)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = materialise(turn_lists(table(spark, sf_dir, "conversations")), "turns")
+    c = F.col("conv_id")
+    return prefix_trie(started_alike(lists, c - c % 100, F.crc32(c.cast("string").cast("binary")) % 6))
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """The contract's texts: of one document in ten, by the crc32 of its id, the words from some place on repeat a few of them."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -108,9 +115,15 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_token_files, op3_warc, op4_simhash_near_dedup, op5_quality_rules, op6_byte_bpe, op7_quality_classifier, op8_url_filter, url_aliases, op9_nearest_neighbours, op10_packing, op13_periodic_runs)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_token_files, op3_warc, op4_simhash_near_dedup, op5_quality_rules, op6_byte_bpe, op7_quality_classifier, op8_url_filter, url_aliases, op9_nearest_neighbours, op10_packing, op11_conversation_trie, op13_periodic_runs)
 }
 
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of an ASCII text, bit by bit."""
+    bits = f"list_transform(range(8 * length({text})), lambda i: (ascii({text}[i // 8 + 1]) >> CAST(i % 8 AS INTEGER)) & 1)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform({bits}, lambda b: CAST(b AS BIGINT))), lambda c, b: xor(c >> 1, CASE WHEN (xor(c, b) & 1) = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END)), CAST(4294967295 AS BIGINT))"
+
+
 _W = r"[^\x20\x09-\x0D]+"
 _PHRASES = "|".join(BOILERPLATE).replace("'", "''")
 
@@ -163,5 +176,33 @@ SELECT page_id, host, path, rule, coalesce(a, CASE WHEN blocked AND NOT allowed
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT * FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
 p AS (SELECT q.vec_id AS query_id, u.vec_id, sqrt(list_sum(list_transform(list_zip(q.v, u.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score FROM u AS q JOIN u ON q.vec_id <> u.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM p QUALIFY rank <= 10
+""",
+    "op11_conversation_trie": f"""
+WITH t AS (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS i FROM t),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY 1),
+c AS (SELECT n.conv_id, n.conv_id - n.conv_id % 100 AS base, h, least(h, coalesce(b.n, 0)) AS head FROM (SELECT conv_id, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM n) n LEFT JOIN n AS b ON b.conv_id = n.conv_id - n.conv_id % 100),
+r AS (SELECT c.conv_id, i AS d, id, chars FROM c JOIN k ON k.conv_id = base AND i <= h UNION ALL SELECT c.conv_id, head + i - h, id, chars FROM c JOIN k USING (conv_id) WHERE i > h),
+m AS (SELECT conv_id, 0 AS d, '' AS path, 0 AS chars FROM c UNION ALL SELECT conv_id, d, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY d), chars FROM r),
+v AS (SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM m GROUP BY 1),
+kids AS (SELECT left(path, -32) AS path, count(*) AS n FROM v WHERE depth > 0 GROUP BY 1),
+w AS (SELECT v.*, coalesce(n, 0) AS n_children FROM v LEFT JOIN kids USING (path)),
+s AS (SELECT left(path, 32 * a) AS path, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS a FROM w) GROUP BY 1),
+e AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM m JOIN (SELECT conv_id, max(d) AS d FROM m GROUP BY 1) USING (conv_id, d) GROUP BY 1)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256 FROM w JOIN s USING (path) LEFT JOIN e USING (path) LEFT JOIN v AS p ON w.depth > 0 AND p.path = left(w.path, -32)
+""",
+    "op13_periodic_runs": rf"""
+WITH t AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents),
+h AS (SELECT *, len(w) AS n, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM t), g AS (SELECT *, h // 10 AS g, (h // 10) % greatest(n, 1) AS a FROM h),
+d AS (SELECT id, doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM g),
+x AS (SELECT id, i, array_to_string(w[i + 1:i + 6], ' ') AS s FROM (SELECT id, w, unnest(range(CAST(len(w) AS BIGINT) - 5)) AS i FROM d)),
+r AS (SELECT id, s FROM x GROUP BY ALL HAVING count(*) > 1), y AS (SELECT x.* FROM x SEMI JOIN r USING (id, s)),
+p AS (SELECT b.id, a.i, b.i - a.i AS q FROM y AS a JOIN y AS b ON a.id = b.id AND a.s = b.s AND a.i < b.i),
+f AS (SELECT id, q, min(i) AS s, max(i) + 6 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS part FROM p) GROUP BY id, q, part),
+runs AS (SELECT id, s, e, min(q) AS q FROM f WHERE e - s >= greatest(12, 2 * q) GROUP BY 1, 2, 3),
+b AS (SELECT id, count(*) AS n_runs, arg_min({{'s': s, 'n': e - s, 'q': q}}, {{'a': s - e, 'b': s, 'c': q}}) AS best, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY 1),
+gone AS (SELECT DISTINCT id, unnest(range(s + q, e)) AS i FROM runs),
+l AS (SELECT id, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d) ANTI JOIN gone USING (id, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.n AS length, best.q AS period, 1000 * best.n // best.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN b USING (id) LEFT JOIN l USING (id)
 """,
 }
