@@ -12,6 +12,7 @@ import public_tokenizers
 from .ann import nearest
 from .bpe_transducer import bpe_encode
 from .conversation_trie import prefix_trie, started_alike, turn_lists
+from .ngram_join import ngram_groups
 from .packing import pack_documents
 from .periodic_runs import longest, periodic_runs
 from .quality_mil import held_out, score, train
@@ -93,6 +94,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(started_alike(lists, c - c % 100, F.crc32(c.cast("string").cast("binary")) % 6))
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """The contract's texts: of one document in ten, by the crc32 of its id, the words from some place on repeat a few of them."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -115,7 +120,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_token_files, op3_warc, op4_simhash_near_dedup, op5_quality_rules, op6_byte_bpe, op7_quality_classifier, op8_url_filter, url_aliases, op9_nearest_neighbours, op10_packing, op11_conversation_trie, op13_periodic_runs)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_token_files, op3_warc, op4_simhash_near_dedup, op5_quality_rules, op6_byte_bpe, op7_quality_classifier, op8_url_filter, url_aliases, op9_nearest_neighbours, op10_packing, op11_conversation_trie, op12_ngram_jaccard_join, op13_periodic_runs)
 }
 
 def _crc32(text: str) -> str:
