@@ -38,6 +38,23 @@ def materialise(df: DataFrame, what: str = "table") -> DataFrame:
     return again
 
 
+def rename(spark: SparkSession, source: str, target: str, over_empty: bool = False) -> bool:
+    """Give a folder another name in one step; False if there is something under that name (an empty folder may be taken over)."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    where = fs.Path(target)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where.getParent())
+    option = getattr(getattr(fs, "Options$Rename"), "OVERWRITE" if over_empty else "NONE")
+    options = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    options[0] = option
+    try:
+        fs.FileContext.getFileContext(where.toUri() if where.toUri().getScheme() else fs.FileSystem.get(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration()).rename(fs.Path(source), where, options)
+    except Exception as x:
+        if "FileAlreadyExists" in str(x) or "non empty" in str(x) or "non-empty" in str(x):
+            return False
+        raise
+    return True
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by materialise() that nothing reads any more."""
     spark, path = df.sparkSession, df._written_to

@@ -45,10 +45,9 @@ def longest_first(tokens: Column) -> Column:
 
 
 def scrub(text: Column, tokens: Column, by: Column) -> Column:
-    """Each token in turn replaced; `tokens` are in the order of replacement. A null list changes nothing."""
+    """Each token in turn replaced; `tokens` are in the order of replacement. Without a list (null) nothing is known to be clean: null."""
     present = F.filter(tokens, lambda t: F.contains(text, t) | F.contains(by, t))
-    changed = F.aggregate(present, text, lambda acc, t: F.replace(acc, t, by))
-    return F.coalesce(changed, text)
+    return F.aggregate(present, text, lambda acc, t: F.replace(acc, t, by))
 
 
 def is_digits(c: Column) -> Column:

@@ -32,19 +32,22 @@ def _numbered(keys: DataFrame, start: Column | int = 0) -> DataFrame:
     return inside.join(F.broadcast(before), "_part").select("patient_key", (F.col("_in") + F.col("_before") + start).cast("long").alias("patient_no"))
 
 
-def placed(df: DataFrame, group: str, *order: str, into: str) -> DataFrame:
-    """Adds each row's place in its group, from 0, by the columns `order`.
+def placed(df: DataFrame, group: str, *order: str, into: str, counting: Column | None = None) -> DataFrame:
+    """Adds each row's place in its group, from 0, by the columns `order`; with `counting`, how many rows before it this holds for.
 
     Like the numbering of patients: a group with very many rows lies in several ranges, each numbered by itself and shifted
     by the group's counts in those before.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialise(df.repartitionByRange(n, group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    inside = ranged.withColumn("_in", F.row_number().over(W.partitionBy("_part", group).orderBy(*order)))
-    counts = ranged.groupBy(group, "_part").count()
-    before = counts.select(group, "_part", (F.sum("count").over(W.partitionBy(group).orderBy("_part")) - F.col("count")).alias("_before"))
+    one = F.lit(1) if counting is None else F.when(counting, 1).otherwise(0)
+    ranged = materialise(df.repartitionByRange(n, group, *order).withColumns({"_part": F.spark_partition_id(), "_one": one}), "ranges")
+    # row by row, as equal rows have places of their own
+    upto = F.sum("_one").over(W.partitionBy("_part", group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    inside = ranged.withColumn("_in", upto - F.col("_one"))
+    counts = ranged.groupBy(group, "_part").agg(F.sum("_one").alias("_n"))
+    before = counts.select(group, "_part", (F.sum("_n").over(W.partitionBy(group).orderBy("_part")) - F.col("_n")).alias("_before"))
     same = inside[group].eqNullSafe(before[group]) & (inside["_part"] == before["_part"])
-    return inside.join(before.hint("merge"), same).select(*(inside[c] for c in df.columns), (F.col("_in") + F.col("_before") - 1).cast("long").alias(into))
+    return inside.join(before.hint("merge"), same).select(*(inside[c] for c in df.columns), (F.col("_in") + F.col("_before")).cast("long").alias(into))
 
 
 def assign_pseudo_ids(files: DataFrame, width: int = 4) -> DataFrame:
@@ -76,9 +79,13 @@ def attach_pseudo(df: DataFrame, assigned: DataFrame) -> DataFrame:
     return df.join(assigned.select("patient_key", "pseudo_id"), "patient_key", "left")
 
 
-def series_first_header(files: DataFrame) -> DataFrame:
-    """The first header file, in path order, of each patient and folder."""
-    first = files.where("kind = 'dicom'").groupBy("patient_key", "parent").agg(F.min(F.struct("rel_path", "file_id")).alias("x"))
+def series_first_header(files: DataFrame, elements: DataFrame | None = None) -> DataFrame:
+    """The first header file, in path order, of each patient and folder; given the elements, the first that could be read (has any)."""
+    headers = files.where("kind = 'dicom'")
+    if elements is not None:
+        # a file's elements lie together, so that most of its rows fall together before the shuffle
+        headers = headers.join(elements.select("file_id").distinct(), "file_id", "left_semi")
+    first = headers.groupBy("patient_key", "parent").agg(F.min(F.struct("rel_path", "file_id")).alias("x"))
     return first.select("patient_key", "parent", "x.rel_path", "x.file_id")
 
 
@@ -101,7 +108,7 @@ def _header_values(files: DataFrame, elements: DataFrame) -> DataFrame:
     kind = F.when(F.col("keyword") == "PatientName", "name").when(F.col("keyword").isin("PatientID", "AccessionNumber"), "id")
     wanted = elements.where("scope = 'dataset' and size(ancestors) = 0").withColumn("token_kind", kind).where("token_kind is not null")
     wanted = wanted.select("file_id", F.array_join("values", "\\").alias("token"), "token_kind")
-    return series_first_header(files).join(wanted, "file_id").select("patient_key", "token", "token_kind")
+    return series_first_header(files, elements).join(wanted, "file_id").select("patient_key", "token", "token_kind")
 
 
 def harvest(files: DataFrame, reports: DataFrame, elements: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def _first_sample(value: str) -> Column:
 def header_inventory(files: DataFrame, elements: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Fields of one header of each series, top level only; a few hundred groups, summed before the shuffle."""
     top = elements.where((F.col("scope") == "dataset") & (F.size("ancestors") == 0) & ~F.col("vr").isin(BINARY_VRS))
-    rows = series_first_header(files).join(top, "file_id")
+    rows = series_first_header(files, elements).join(top, "file_id")
     name = F.coalesce("keyword", F.format_string("(%04X,%04X)", "group", "element"))
     rows = rows.select(name.alias("name"), "vr", F.array_join("values", "\\").alias("value"), F.struct("rel_path", "group", "element").alias("seq"))
     fields = rows.groupBy("name").agg(F.min(F.struct("seq", "vr"))["vr"].alias("kind"), _first_sample("value").alias("sample"), F.count("*").alias("count"))

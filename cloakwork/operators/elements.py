@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import remappable, salted_uid, scrub
+from ..functions.secret import keyed_uid, secret_table
+from ..functions.text import remappable, scrub
 from ..rules import BLANK_KEYWORDS, CAPTURE_PREFIX, ENCAPSULATED_PREFIX, SCRUB_VRS, Policy
 
 DROPS = ["drop_nested", "drop_overlay", "drop_private", "drop_sequence"]
@@ -65,14 +66,19 @@ def element_action(elements: DataFrame, policy: Policy = Policy(), remove_privat
     return elements.withColumn("action", action)
 
 
-def deid_elements(elements: DataFrame, tokens: DataFrame, policy: Policy = Policy(), remove_private: bool = True, keep_dates: bool = True, uid_fn: Callable[[Column], Column] | None = None) -> DataFrame:
+def deid_elements(elements: DataFrame, tokens: DataFrame, policy: Policy = Policy(), remove_private: bool = True, keep_dates: bool = True, uid_fn: Callable[[Column], Column] | None = None, secret: DataFrame | None = None) -> DataFrame:
     """The remaining elements with values_after and action; tokens as tokens_per_patient() gives them.
 
-    Elements of a patient without pseudonym get a null in place of it.
+    Elements without a patient, or of one without pseudonym, are left out, as nothing is known that could clean them:
+    unassigned() has them. UIDs are replaced by uid_fn, else by a keyed digest under the secret (as secret_table() or
+    kept_secret() give it; by default this application's own).
     """
-    new = uid_fn or salted_uid("")
     judged = element_action(elements, policy, remove_private, keep_dates).where(~F.col("action").isin(DROPS))
-    judged = judged.join(tokens.select("patient_key", "pseudo_id", "tokens"), "patient_key", "left")
+    judged = judged.join(tokens.select("patient_key", "pseudo_id", "tokens").where("pseudo_id is not null and tokens is not null"), "patient_key")
+    columns = judged.columns
+    if uid_fn is None:
+        judged = judged.crossJoin(F.broadcast(secret_table(elements.sparkSession) if secret is None else secret))
+    new = uid_fn or keyed_uid(F.col("_inner"), F.col("_outer"))
     action = F.col("action")
     uids = F.transform("values", lambda v: F.when(remappable(v), new(v)).otherwise(v))
     clean = F.array(scrub(F.get("values", F.lit(0)), F.col("tokens"), F.col("pseudo_id")))
@@ -83,7 +89,14 @@ def deid_elements(elements: DataFrame, tokens: DataFrame, policy: Policy = Polic
         .when(action == "scrub", clean)
         .otherwise(F.col("values"))
     )
-    return judged.withColumn("values_after", after).drop("tokens")
+    return judged.select(*(c for c in columns if c != "tokens"), after.alias("values_after"))
+
+
+def unassigned(rows: DataFrame, tokens: DataFrame, kind: str = "dicom") -> DataFrame:
+    """(file_id, kind, error) of the files with rows that have no pseudonym: they are not in the output."""
+    known = tokens.where("pseudo_id is not null and tokens is not null").select("patient_key")
+    lost = rows.select("file_id", "patient_key").join(known, "patient_key", "left_anti").select("file_id").distinct()
+    return lost.select("file_id", F.lit(kind).alias("kind"), F.lit("no pseudonym").alias("error"))
 
 
 def uid_remap_count(elements: DataFrame) -> DataFrame:

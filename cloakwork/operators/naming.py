@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+from ..functions.tables import materialise
 from ..functions.text import scrub
 from .crosswalk import placed
 
@@ -35,9 +40,72 @@ def image_output_names(files: DataFrame, assigned: DataFrame, instance: DataFram
     return images.withColumn("_name", name).join(folder, "file_id").select("file_id", F.concat_ws("/", "pseudo_id", F.when(F.col("folder") != "", F.col("folder")), F.concat("_name", F.lit(".dcm"))).alias("target"))
 
 
+def _counted(target: Column, k: Column) -> Column:
+    """The k-th name made of a target: _k before the suffix of its last part; names that begin with their only dot have none."""
+    suffix = F.regexp_extract(target, r"[^/](\.[^./]+)$", 1)
+    stem = F.substring(target, F.lit(1), F.char_length(target) - F.char_length(suffix))
+    return F.when(k == 0, target).otherwise(F.concat(stem, F.lit("_"), k, suffix))
+
+
+def _family(target: Column) -> Column:
+    """What a target has in common with all names made of it: the name without any _number before the suffix."""
+    suffix = F.regexp_extract(target, r"[^/](\.[^./]+)$", 1)
+    stem = F.substring(target, F.lit(1), F.char_length(target) - F.char_length(suffix))
+    return F.concat(F.regexp_replace(stem, r"(_\d+)+$", ""), F.lit("/"), suffix)
+
+
+def _jumps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Barred places of targets, sorted by target and place -> the number among its target's files of the first one that jumps over each.
+
+    A bar holds for files from number `since` on. A place that files before them reach is theirs and bars nobody. Two numbers are kept, however
+    many places of one target are barred.
+    """
+    target, jumped = None, 0
+    for batch in batches:
+        targets, numbers = [], []
+        for name, at, since in zip(*(batch[c].to_pylist() for c in ("target", "_at", "_since")), strict=True):
+            if name != target:
+                target, jumped = name, 0
+            if at - jumped >= since:
+                targets.append(name)
+                numbers.append(at - jumped)
+                jumped += 1
+        yield pa.RecordBatch.from_arrays([pa.array(targets, pa.string()), pa.array(numbers, pa.int64())], names=["target", "_v"])
+
+
 def unique_paths(targets: DataFrame) -> DataFrame:
-    """(file_id, target, rel_path) -> adds unique_target: the first of equal targets keeps it, others get _1, _2, … before the suffix."""
-    numbered = F.regexp_replace("target", r"(\.[^./]*)?$", "")
-    suffix = F.regexp_extract("target", r"(\.[^./]*)$", 1)
+    """Adds unique_target: in the order of rel_path and file_id each file gets its target, or the first of target_1, target_2, … that no file before it has.
+
+    Files with one target are numbered first. Names made so can be other files' targets, or be made of those; such
+    families of names are settled in rounds: of all that stand at one name the first stays, and the place is barred for the files of
+    the others' targets that come after it, which move on to the next places. Names only ever go to earlier files, so the rounds end, with what one
+    file after the other would get. Families without such names need no round; a null target stays null. Repeated rows are files of their own.
+    """
+    spark = targets.sparkSession
+    ship(spark)
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [c for c in ("rel_path", "file_id") if c in targets.columns]
-    return placed(targets, "target", *order, into="_k").withColumn("unique_target", F.when(F.col("_k") == 0, F.col("target")).otherwise(F.concat(numbered, F.lit("_"), "_k", suffix))).drop("_k")
+    ranked = materialise(placed(targets, "target", *order, into="_k").withColumn("_family", _family(F.col("target"))), "targets")
+    shape = ranked.where("target is not null").groupBy("_family").agg((F.min("target") < F.max("target")).alias("several"), F.max("_k").alias("most"))
+    open_families = materialise(shape.where("several and most > 0").select("_family"), "families")
+    settled = ranked.join(open_families.hint("merge"), "_family", "left_anti").withColumn("unique_target", _counted(F.col("target"), F.col("_k")))
+    rows = materialise(ranked.join(open_families.hint("merge"), "_family", "left_semi"), "families")
+    place = F.struct(*order, F.col("target").alias("_t"), F.col("_k"))
+    named, bars = rows.withColumn("_at", F.col("_k")), None
+    while True:
+        named = materialise(named.withColumn("unique_target", _counted(F.col("target"), F.col("_at"))), "names")
+        first = named.groupBy("unique_target").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        lost = materialise(named.join(first.hint("merge"), "unique_target").where(place > F.col("_first")).select("target", "_at", "_first"), "lost")
+        if lost.isEmpty():
+            break
+        bars = materialise((lost if bars is None else bars.union(lost)).groupBy("target", "_at").agg(F.min("_first").alias("_first")), "bars")
+        touched = rows.join(bars.select("target").distinct().hint("merge"), "target", "left_semi")
+        both = touched.select("target", *order, F.col("target").alias("_t"), "_k", F.lit(None).cast("long").alias("_at")).union(bars.select("target", "_first.*", "_at"))
+        since = placed(both, "target", *order, "_t", "_k", into="_since", counting=F.col("_at").isNull()).where("_at is not null")
+        jumps = since.select("target", "_at", "_since").repartition(shuffles, "target").sortWithinPartitions("target", "_at").mapInArrow(_jumps, "target string, _v long")
+        # a file's place is its number among its target's files plus the places that were jumped over before it
+        both = jumps.select("target", "_v", F.lit(0).alias("_kind")).union(touched.select("target", "_k", F.lit(1)))
+        moved = placed(both, "target", "_v", "_kind", into="_more", counting=F.col("_kind") == 0).where("_kind = 1").select("target", F.col("_v").alias("_k"), "_more")
+        named = rows.join(moved.hint("merge"), ["target", "_k"], "left").select(*rows.columns, (F.col("_k") + F.coalesce("_more", F.lit(0))).alias("_at"))
+    columns = [*targets.columns, "unique_target"]
+    return settled.select(*columns).union(named.select(*columns))

@@ -16,10 +16,6 @@ def effective_tags(policy: Policy = Policy()) -> tuple[list[str], list[str]]:
     return pseudo, blank
 
 
-def _present(text: Column, tag: str) -> Column:
-    return F.contains(F.lower(text), F.lit(f"<{tag.lower()}"))
-
-
 def pseudonymize(text: Column, pseudo: Column, tags: list[str]) -> Column:
     for tag in tags:
         text = set_tag(text, tag, pseudo)
@@ -31,9 +27,12 @@ def blank(text: Column, tags: list[str]) -> Column:
 
 
 def deid_reports(reports: DataFrame, tokens: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Adds pseudo_id and text_after: tags pseudonymised, tags emptied, then the patient's own tokens replaced anywhere."""
+    """Adds pseudo_id and text_after: tags pseudonymised, tags emptied, then the patient's own tokens replaced anywhere.
+
+    Reports without a patient, or of one without pseudonym, are left out: unassigned() has them.
+    """
     pseudo, blanks = effective_tags(policy)
-    joined = reports.join(tokens.select("patient_key", "pseudo_id", "tokens"), "patient_key", "left")
+    joined = reports.join(tokens.select("patient_key", "pseudo_id", "tokens").where("pseudo_id is not null and tokens is not null"), "patient_key")
     joined = joined.withColumn("_p", pseudonymize(F.col("text"), F.col("pseudo_id"), pseudo))
     joined = joined.withColumn("_b", blank(F.col("_p"), blanks))
     return joined.withColumn("text_after", scrub(F.col("_b"), F.col("tokens"), F.col("pseudo_id"))).drop("_p", "_b", "tokens")
