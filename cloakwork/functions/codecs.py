@@ -22,13 +22,17 @@ def _codec(name: str) -> bool:
     return True
 
 
-def decode_one(data: bytes | None) -> tuple[str | None, str | None]:
-    """(text, declared encoding): the declared one, then gbk, utf-8 and latin-1 are tried in turn."""
+#: Tried in turn after the declared code page; the last fits every file.
+FALLBACK = ("gbk", "utf-8", "latin-1")
+
+
+def decode_one(data: bytes | None, fallback: tuple[str, ...] = FALLBACK) -> tuple[str | None, str | None]:
+    """(text, declared encoding): the declared one, then the others are tried in turn; no text if none fits."""
     if data is None:
         return None, None
     told = _DECLARED.search(data[:200])
     name = told.group(1).decode("ascii", "ignore") if told else "utf-8"
-    for encoding in (name, "gbk", "utf-8", "latin-1"):
+    for encoding in (name, *fallback):
         try:
             return data.decode(encoding), name
         except (LookupError, UnicodeDecodeError):
@@ -48,6 +52,10 @@ def decode_report(content: Column) -> Column:
     return decode(content)
 
 
+def encode_one(text: str | None, encoding: str | None) -> bytes | None:
+    return None if text is None else text.encode(encoding if encoding and _codec(encoding) else "gbk", "xmlcharrefreplace")
+
+
 def encode_report(text: Column, encoding: Column) -> Column:
     """The bytes in the declared encoding (gbk if unknown); what does not fit becomes character references."""
 
@@ -55,7 +63,6 @@ def encode_report(text: Column, encoding: Column) -> Column:
 
     @F.pandas_udf("binary")
     def encode(texts: pd.Series, encodings: pd.Series) -> pd.Series:
-        use = [e if e and _codec(e) else "gbk" for e in encodings]
-        return pd.Series([None if t is None else t.encode(e, "xmlcharrefreplace") for t, e in zip(texts, use, strict=True)], dtype=object)
+        return pd.Series([encode_one(t, e) for t, e in zip(texts, encodings, strict=True)], dtype=object)
 
     return encode(text, encoding)

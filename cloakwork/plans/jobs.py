@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import materialise
-from ..functions.text import salted_uid
-from ..operators.crosswalk import all_tokens, assign_pseudo_ids, build_crosswalk, harvest, tokens_per_patient
-from ..operators.elements import burned_in_flags, deid_elements
+from ..functions.secret import new_secret, secret_table
+from ..operators.crosswalk import all_tokens, assign_pseudo_ids, build_crosswalk, continue_pseudo_ids, harvest, tokens_per_patient
+from ..operators.elements import burned_in_flags, deid_elements, unassigned
 from ..operators.reports import deid_reports
 from ..operators.summary import run_summary
-from ..operators.verify import verify_elements, verify_reports, verify_unreadable
+from ..operators.verify import verify_outputs, verify_unreadable
 from ..rules import Policy
 from ..sources.tree import guard_output, write_outputs
 
@@ -30,32 +30,57 @@ class Run:
     burned_in: DataFrame
     leaks: DataFrame
     summary: DataFrame
+    failures: DataFrame
+    secret: DataFrame
 
 
-def deidentify(files: DataFrame, elements: DataFrame, reports: DataFrame, failures: DataFrame | None = None, policy: Policy = Policy(), keep_dates: bool = True, salt: str = "") -> Run:
+def deidentify(
+    files: DataFrame,
+    elements: DataFrame,
+    reports: DataFrame,
+    failures: DataFrame | None = None,
+    policy: Policy = Policy(),
+    keep_dates: bool = True,
+    secret: DataFrame | None = None,
+    previous: DataFrame | None = None,
+) -> Run:
     """Number patients, collect their identifiers, clean headers and reports, and scan what came out.
 
     All identifiers are collected before anything is cleaned. Cleaning uses a patient's own tokens, the scan
-    those of all patients: names of others in a report are found as leaks on purpose.
+    those of all patients: names of others in a report are found as leaks on purpose. Rows without a patient, or of one that
+    has no files, are not cleaned and not in the output; their files are failures. UIDs depend on the secret: one made for this run,
+    unless it is given, as kept_secret() gives a run that goes on that of the one before. Such a run gives `previous`, the
+    crosswalk before: its patients keep their pseudonyms and known identifiers.
     """
     spark = files.sparkSession
+    secret = secret_table(spark, new_secret()) if secret is None else secret
     failures = failures if failures is not None else spark.createDataFrame([], "file_id string, kind string, error string")
-    assigned = assign_pseudo_ids(files)
-    crosswalk = materialise(build_crosswalk(assigned, harvest(files, reports, elements)), "crosswalk")
+    found = harvest(files, reports, elements)
+    if previous is None:
+        assigned = assign_pseudo_ids(files)
+    else:
+        assigned = materialise(continue_pseudo_ids(files, previous), "assigned")
+        before = [previous.select("patient_key", F.explode(c).alias("token"), F.lit(kind).alias("token_kind")) for c, kind in (("real_names", "name"), ("real_ids", "id"))]
+        found = found.union(before[0]).union(before[1]).distinct()
+    crosswalk = materialise(build_crosswalk(assigned, found), "crosswalk")
     own = tokens_per_patient(crosswalk)
-    clean_elements = materialise(deid_elements(elements, own, policy, keep_dates=keep_dates, uid_fn=salted_uid(salt)), "elements")
+    clean_elements = materialise(deid_elements(elements, own, policy, keep_dates=keep_dates, secret=secret), "elements")
     clean_reports = materialise(deid_reports(reports, own, policy), "reports")
+    failures = materialise(failures.select("file_id", "kind", "error").union(unassigned(elements, own)).union(unassigned(reports, own, "xml")), "failures")
     flags = burned_in_flags(elements)
     known = all_tokens(crosswalk)
-    unreadable = verify_unreadable(failures.where("kind = 'dicom'").withColumn("parse_error", F.col("error")))
+    unreadable = verify_unreadable(failures.where("kind = 'dicom' and not (error <=> 'no pseudonym')").withColumn("parse_error", F.col("error")))
     known = materialise(known, "tokens")
-    leaks = verify_elements(clean_elements, known).union(verify_reports(clean_reports, known)).union(unreadable)
+    leaks = verify_outputs(clean_elements, clean_reports, known).union(unreadable)
     leaks, flags = materialise(leaks, "leaks"), materialise(flags, "flags")
-    return Run(assigned, crosswalk, own, clean_elements, clean_reports, flags, leaks, run_summary(files, failures, flags, leaks))
+    return Run(assigned, crosswalk, own, clean_elements, clean_reports, flags, leaks, run_summary(files, failures, flags, leaks), failures, secret)
 
 
 def write_run(run: Run, source: str, shareable: str, private: str) -> None:
-    guard_output(source, shareable, private, run.summary.sparkSession)
+    """The run's outputs; the secret of its UIDs is kept with the crosswalk in the private folder, where kept_secret() finds it."""
+    spark = run.summary.sparkSession
+    guard_output(source, shareable, private, spark)
     elements = run.elements.drop("values", "patient_key").withColumnRenamed("values_after", "values")
     reports = run.reports.select("file_id", "pseudo_id", "encoding", F.col("text_after").alias("text"))
     write_outputs(elements, reports, run.crosswalk, shareable, private)
+    run.secret.coalesce(1).write.mode("ignore").parquet(f"{private}/secret")

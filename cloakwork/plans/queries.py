@@ -51,9 +51,9 @@ class Bed(Testbed):
     def tokens(self) -> DataFrame:
         return cw.tokens_per_patient(self.crosswalk)
 
-    @property
+    @cached_property
     def deid(self) -> DataFrame:
-        return el.deid_elements(self.elements, self.tokens, uid_fn=SALTED)
+        return materialise(el.deid_elements(self.elements, self.tokens, uid_fn=SALTED), "elements")
 
     @cached_property
     def clean_reports(self) -> DataFrame:
@@ -63,10 +63,6 @@ class Bed(Testbed):
     def fields(self) -> DataFrame:
         return discover.field_inventory(self.files, self.elements, self.reports)
 
-    def leaks(self) -> DataFrame:
-        known = cw.all_tokens(self.crosswalk)
-        return verify.verify_elements(self.deid, known).union(verify.verify_reports(self.clean_reports, known))
-
 
 def query(sql: str | None) -> Callable:
     """Register a function of the test bed under its name, with the SQL body that gives the same rows."""

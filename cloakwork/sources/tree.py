@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codecs import decode_report, encode_report
+from ..functions.tables import new_folder, rename
 from ..schemas import POLICY_JSON
+from .publish import publish
 
 
 def file_kind(ext: Column, magic: Column) -> Column:
@@ -77,26 +81,63 @@ def report_bytes(reports: DataFrame, text: str = "text_after") -> DataFrame:
     return reports.withColumn("content", encode_report(F.col(text), F.col("encoding")))
 
 
-def crosswalk_rows(crosswalk: DataFrame) -> DataFrame:
-    """The rows of the CSV: names and ids sorted and joined by a bar."""
-    joined = lambda c: F.array_join(F.array_sort(c), "|")
+def crosswalk_rows(crosswalk: DataFrame, escape_bars: bool = False) -> DataFrame:
+    """The rows of the CSV: names and ids sorted and joined by a bar; with escape_bars a bar or backslash in one gets a backslash."""
+    escaped = lambda c: F.transform(c, lambda x: F.regexp_replace(x, r"([|\\])", r"\\$1")) if escape_bars else c
+    joined = lambda c: F.array_join(escaped(F.array_sort(c)), "|")
     return crosswalk.select("pseudo_id", F.col("patient_key").alias("folder_name"), joined("real_names").alias("real_names"), joined("real_ids").alias("real_ids"))
 
 
-def write_crosswalk_csv(crosswalk: DataFrame, path: str) -> None:
-    """UTF-8 with header; the byte order mark that spreadsheet programs like is left to an export step."""
-    crosswalk_rows(crosswalk).write.option("header", True).option("emptyValue", "").csv(path)
+CSV = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "encoding": "UTF-8"}
+CSV_COLUMNS = ["pseudo_id", "folder_name", "real_names", "real_ids"]
+MARK = b"\xef\xbb\xbf"
+
 
+def write_crosswalk_csv(crosswalk: DataFrame, path: str, escape_bars: bool = False, replace: bool = False) -> None:
+    """One CSV file at `path`: UTF-8 with byte order mark and header, patients by number.
 
-def parse_crosswalk(rows: DataFrame) -> DataFrame:
-    """CSV rows -> crosswalk; empty pieces are dropped, so tokens with a bar do not survive this form."""
-    pieces = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: x != "")
+    The rows are sorted and written in parts, which are then put together as a stream of bytes beside the target; it takes the target's
+    name in one step. An existing file is only replaced if told so.
+    """
+    spark = crosswalk.sparkSession
+    number = F.expr("try_cast(substring_index(pseudo_id, '_', -1) as bigint)")
+    parts, staged = new_folder(spark, "crosswalk-parts"), f"{path}.staging-{uuid.uuid4().hex}"
+    rows = crosswalk_rows(crosswalk, escape_bars).orderBy(number.asc_nulls_last(), "pseudo_id")
+    rows.write.options(**CSV, emptyValue="", lineSep="\r\n", header=False, compression="none").csv(parts)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    source, target = hadoop.fs.Path(parts), hadoop.fs.Path(staged)
+    out = target.getFileSystem(conf).create(target, False)
+    try:
+        out.write(bytearray(MARK + (",".join(CSV_COLUMNS) + "\r\n").encode()))
+        files = source.getFileSystem(conf)
+        for name in sorted(x.getPath().getName() for x in files.listStatus(source)):
+            if name.startswith("part-"):
+                part = files.open(hadoop.fs.Path(source, name))
+                hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                part.close()
+    finally:
+        out.close()
+    files.delete(source, True)
+    if not rename(spark, staged, path, replace):
+        target.getFileSystem(conf).delete(target, False)
+        raise FileExistsError(path)
+
+
+def parse_crosswalk(rows: DataFrame, escape_bars: bool = False) -> DataFrame:
+    """CSV rows -> crosswalk; empty pieces are dropped. Tokens with a bar come apart unless they were written with escape_bars."""
+    plain = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: x != "")
+    escaped = lambda c: F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"((?:[^|\\]|\\.)+)"), F.lit(1)), lambda x: F.regexp_replace(x, r"\\(.)", "$1"))
+    pieces = escaped if escape_bars else plain
     return rows.select("pseudo_id", F.col("folder_name").alias("patient_key"), pieces(F.col("real_names")).alias("real_names"), pieces(F.col("real_ids")).alias("real_ids"))
 
 
-def read_crosswalk_csv(spark: SparkSession, path: str) -> DataFrame:
-    schema = "pseudo_id string, folder_name string, real_names string, real_ids string"
-    return parse_crosswalk(spark.read.option("header", True).schema(schema).csv(path))
+def crosswalk_csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a file as write_crosswalk_csv() or a spreadsheet program leaves it, with or without mark; values may hold line breaks."""
+    return spark.read.options(**CSV, header=True, multiLine=True, emptyValue="").schema(", ".join(f"{c} string" for c in CSV_COLUMNS)).csv(path).na.fill("")
+
+
+def read_crosswalk_csv(spark: SparkSession, path: str, escape_bars: bool = False) -> DataFrame:
+    return parse_crosswalk(crosswalk_csv_rows(spark, path), escape_bars)
 
 
 def policy_to_json(policies: DataFrame) -> DataFrame:
@@ -143,9 +184,12 @@ def write_outputs(elements: DataFrame, reports: DataFrame, crosswalk: DataFrame,
     """Shareable tables in ranges of pseudonyms, the crosswalk in its own private place; nothing is overwritten.
 
     A patient's rows lie together, so that a reader of one pseudonym skips all other files by their statistics; a patient
-    with very many is split over several files.
+    with very many is split over several files. The shareable tables appear together or not at all: see publish().
     """
-    for df, name in ((elements, "elements"), (reports, "reports")):
-        ranged = df.repartitionByRange("pseudo_id", "file_id").sortWithinPartitions("pseudo_id", "file_id")
-        ranged.write.mode("errorifexists").parquet(f"{shareable}/{name}")
-    crosswalk.write.mode("errorifexists").parquet(f"{private}/crosswalk")
+    def put(staged: str) -> None:
+        for df, name in ((elements, "elements"), (reports, "reports")):
+            ranged = df.repartitionByRange("pseudo_id", "file_id").sortWithinPartitions("pseudo_id", "file_id")
+            ranged.write.mode("errorifexists").parquet(f"{staged}/{name}")
+        crosswalk.write.mode("errorifexists").parquet(f"{private}/crosswalk")
+
+    publish(crosswalk.sparkSession, shareable, put)
