@@ -31,11 +31,16 @@ def deid_reports(reports: DataFrame, tokens: DataFrame, policy: Policy = Policy(
 
     Reports without a patient, or of one without pseudonym, are left out: unassigned() has them.
     """
-    pseudo, blanks = effective_tags(policy)
     joined = reports.join(tokens.select("patient_key", "pseudo_id", "tokens").where("pseudo_id is not null and tokens is not null"), "patient_key")
+    return cleaned(joined, policy).drop("tokens")
+
+
+def cleaned(joined: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """Adds text_after to reports (text) that carry their pseudo_id and tokens."""
+    pseudo, blanks = effective_tags(policy)
     joined = joined.withColumn("_p", pseudonymize(F.col("text"), F.col("pseudo_id"), pseudo))
     joined = joined.withColumn("_b", blank(F.col("_p"), blanks))
-    return joined.withColumn("text_after", scrub(F.col("_b"), F.col("tokens"), F.col("pseudo_id"))).drop("_p", "_b", "tokens")
+    return joined.withColumn("text_after", scrub(F.col("_b"), F.col("tokens"), F.col("pseudo_id"))).drop("_p", "_b")
 
 
 def report_changes(reports: DataFrame, assigned: DataFrame, policy: Policy = Policy()) -> DataFrame:

@@ -10,13 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..functions.tables import materialise, shared_dir
+from ..functions.secret import pads, secret_table
+from ..functions.tables import materialise, new_folder, shared_dir
 from ..operators import crosswalk as cw
 from ..operators import discover, naming, preview, summary, verify
 from ..operators import elements as el
 from ..operators import reports as rp
 from ..rules import BLANK_TAGS, KEEP, KEEP_TAGS, PSEUDO_TAGS, REMOVE, Policy
+from ..sources import report_files as report_source
 from ..sources import tree
+from ..streaming.reports import latest_reports, write_reports_stream
+from ..streaming.reports import stream_reports as stream_clean
 from ..streaming.stream import latest_crosswalk, run_available, stream_assign, stream_deid
 from .jobs import deidentify
 from .oracle import _in, _scrubbed, _set, _uid, with_views
@@ -117,12 +121,16 @@ def write_reports(bed: Bed) -> DataFrame:
 
 @query("SELECT pseudo_id, patient_key AS folder_name, array_to_string(real_names, '|') AS real_names, array_to_string(real_ids, '|') AS real_ids FROM crosswalk")
 def crosswalk_csv_write(bed: Bed) -> DataFrame:
-    return tree.crosswalk_rows(bed.crosswalk)
+    path = f"{new_folder(bed.spark, 'crosswalk')}.csv"
+    tree.write_crosswalk_csv(bed.crosswalk, path)
+    return tree.crosswalk_csv_rows(bed.spark, path)
 
 
 @query("SELECT patient_key, pseudo_id, array_to_string(real_names, ';') AS real_names, array_to_string(real_ids, ';') AS real_ids, (SELECT CAST(max(patient_no) AS BIGINT) FROM assigned) AS top FROM crosswalk")
 def crosswalk_csv_read(bed: Bed) -> DataFrame:
-    back = tree.parse_crosswalk(tree.crosswalk_rows(bed.crosswalk))
+    path = f"{new_folder(bed.spark, 'crosswalk')}.csv"
+    tree.write_crosswalk_csv(bed.crosswalk, path, escape_bars=True)
+    back = tree.read_crosswalk_csv(bed.spark, path, escape_bars=True)
     rows = back.select("patient_key", "pseudo_id", F.array_join("real_names", ";").alias("real_names"), F.array_join("real_ids", ";").alias("real_ids"))
     return rows.crossJoin(F.broadcast(cw.highest_number(back)))
 
@@ -136,6 +144,22 @@ def policy_json(bed: Bed) -> DataFrame:
     return back.select(F.get("keep_xml", F.lit(0)).alias("patient_key"), F.array_join("keep", ",").alias("keep"), "keep_dates")
 
 
+_PAGES = r"""SELECT doc_id, enc AS encoding, '<?xml version="1.0" encoding="' || enc || '"?><Report>' || CASE k WHEN 0 THEN t WHEN 1 THEN regexp_replace(t, '[^\x01-\xFF]', '?'GLOBAL) WHEN 2 THEN regexp_replace(t, '[^\x20-\x7E]', '张'GLOBAL) ELSE regexp_replace(t, '[^\x20-\x7E]', '李'GLOBAL) END || '</Report>' AS text
+  FROM (SELECT doc_id, doc_id % 4 AS k, coalesce(text, '') AS t, CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'iso-8859-1' WHEN 2 THEN 'gbk' ELSE 'gb2312' END AS enc FROM {documents})"""
+
+
+@query(_PAGES.replace("GLOBAL", ", 'g'").replace("{documents}", "documents"))
+def report_files(bed: Bed) -> DataFrame:
+    """Every document as a file in one of four code pages, written and read again."""
+    report_source.register(bed.spark)
+    folder = new_folder(bed.spark, "report-files")
+    pages = bed.spark.sql(_PAGES.replace("GLOBAL", "").replace("\\", "\\\\"), documents=bed.table("documents"))
+    name = F.concat(F.lit("d"), (F.col("doc_id") % 10).cast("string"), F.lit("/r"), F.col("doc_id").cast("string"), F.lit(".xml"))
+    pages.select(name.alias("rel_path"), "encoding", "text").write.format("report_files").mode("append").save(folder)
+    back = bed.spark.read.format("report_files").option("partitionBytes", 4 << 20).load(folder)
+    return back.select(F.regexp_extract("rel_path", r"(\d+)\.xml$", 1).cast("long").alias("doc_id"), "encoding", "text")
+
+
 @query("SELECT pseudo_id, count(*) AS n, count(DISTINCT file_id) AS n_files FROM deid GROUP BY 1")
 def write_deid_elements(bed: Bed) -> DataFrame:
     out = f"{shared_dir(bed.spark)}/deid-{uuid.uuid4().hex}"
@@ -203,6 +227,14 @@ def deid_elements_policy(bed: Bed) -> DataFrame:
     return el.deid_elements(bed.elements, bed.tokens, POLICY, uid_fn=SALTED).select(*place(), "pseudo_id", "action", flat("values_after").alias("value"))
 
 
+@query("SELECT DISTINCT file_id, 'dicom' AS kind, 'no pseudonym' AS error FROM elements JOIN assigned USING (patient_key) WHERE patient_no % 5 = 0")
+def unassigned_files(bed: Bed) -> DataFrame:
+    """Files that come out nowhere, if every fifth patient had no pseudonym."""
+    some = bed.tokens.where("cast(substring_index(pseudo_id, '_', -1) as bigint) % 5 <> 0")
+    out = el.deid_elements(bed.elements, some, uid_fn=SALTED).select("file_id").distinct()
+    return el.unassigned(bed.elements, some).join(out, "file_id", "left_anti")
+
+
 @query('SELECT file_id, "group" AS grp, element AS elem, keyword FROM elements WHERE NOT ("group" BETWEEN 20480 AND 20735 OR "group" BETWEEN 24576 AND 24831)')
 def drop_overlay_curve(bed: Bed) -> DataFrame:
     return bed.elements.where(~el.is_overlay(F.col("group"))).select("file_id", F.col("group").alias("grp"), F.col("element").alias("elem"), "keyword")
@@ -456,6 +488,13 @@ def series_first_header(bed: Bed) -> DataFrame:
     return cw.series_first_header(bed.files)
 
 
+@query("SELECT patient_key, parent, min(rel_path) AS rel_path, arg_min(file_id, rel_path) AS file_id FROM files WHERE kind = 'dicom' AND length % 3 <> 0 GROUP BY ALL")
+def series_first_readable_header(bed: Bed) -> DataFrame:
+    """The same, if every third header could not be read."""
+    readable = bed.elements.join(bed.files.where("length % 3 <> 0").select("file_id"), "file_id", "left_semi")
+    return cw.series_first_header(bed.files, readable)
+
+
 @query("SELECT file_id, pseudo_id || '_' || CAST(row_number() OVER (PARTITION BY pseudo_id ORDER BY rel_path) - 1 AS VARCHAR) || '.xml' AS target FROM files JOIN assigned USING (patient_key) WHERE kind = 'xml'")
 def report_output_names(bed: Bed) -> DataFrame:
     return naming.report_output_names(bed.files, bed.assigned)
@@ -478,6 +517,20 @@ def unique_paths(bed: Bed) -> DataFrame:
     return naming.unique_paths(targets).select("file_id", "target", "unique_target")
 
 
+_MADE = """SELECT file_id, rel_path, c_name || '/S' || CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '_1' WHEN 2 THEN '_2' ELSE '' END || CASE o_orderkey % 5 WHEN 4 THEN '_1' ELSE '' END || '.dcm' AS target FROM (SELECT 'F' || CAST(o_orderkey AS STRING) AS file_id, c_name || '/' || CAST(o_orderkey AS STRING) AS rel_path, c_name, o_orderkey FROM {orders} JOIN {customer} ON o_custkey = c_custkey)"""
+_NEXT = "list_filter(range(len(taken) + 1), lambda i: NOT list_contains(taken, CASE i WHEN 0 THEN target ELSE regexp_replace(target, '\\.dcm$', '') || '_' || CAST(i AS VARCHAR) || '.dcm' END))[1]"
+
+
+@query(f"""WITH RECURSIVE made AS ({_MADE.replace("{", "").replace("}", "")}), seq AS (SELECT *, split_part(target, '/', 1) AS who, row_number() OVER (PARTITION BY split_part(target, '/', 1) ORDER BY rel_path) AS k FROM made),
+  step(who, k, file_id, target, name, taken) AS (SELECT who, k, file_id, target, target, [target] FROM seq WHERE k = 1
+    UNION ALL SELECT who, k, file_id, target, name, list_append(taken, name) FROM (SELECT *, CASE i WHEN 0 THEN target ELSE regexp_replace(target, '\.dcm$', '') || '_' || CAST(i AS VARCHAR) || '.dcm' END AS name FROM
+      (SELECT n.who, n.k, n.file_id, n.target, taken, {_NEXT.replace("target", "n.target")} AS i FROM step JOIN seq n ON n.who = step.who AND n.k = step.k + 1)))
+  SELECT file_id, target, name AS unique_target FROM step""")
+def unique_paths_generated(bed: Bed) -> DataFrame:
+    """Targets among which there are names as they are made for others."""
+    return naming.unique_paths(bed.view(_MADE)).select("file_id", "target", "unique_target")
+
+
 # Sorts and limits
 
 
@@ -595,6 +648,20 @@ def uid_remap(bed: Bed) -> DataFrame:
     return el.uid_map(bed.elements, SALTED)
 
 
+SECRET = b"a fixed secret, as the query must give the same again"
+
+
+@query(f"""SELECT old_uid, '2.25.1' || lpad(CAST(CAST('0x' || substr(d, 1, 15) AS BIGINT) AS VARCHAR), 19, '0') || lpad(CAST(CAST('0x' || substr(d, 16, 15) AS BIGINT) AS VARCHAR), 19, '0') AS new_uid FROM
+  (SELECT old_uid, sha256({"unhex('" + pads(SECRET)[1].hex() + "')"} || unhex(sha256({"unhex('" + pads(SECRET)[0].hex() + "')"} || encode(old_uid)))) AS d FROM (SELECT DISTINCT unnest("values") AS old_uid FROM elements WHERE vr = 'UI')
+   WHERE old_uid <> '' AND old_uid <> '1.2.840.10008' AND NOT starts_with(old_uid, '1.2.840.10008.'))""")
+def uid_remap_keyed(bed: Bed) -> DataFrame:
+    """New identifiers under a secret, as a run makes them."""
+    uids = bed.elements.where("vr = 'UI'")
+    out = el.deid_elements(uids, bed.tokens, remove_private=False, secret=secret_table(bed.spark, SECRET)).where("action = 'remap'")
+    both = out.select(F.explode(F.arrays_zip("values", "values_after")).alias("x")).select(F.col("x.values").alias("old_uid"), F.col("x.values_after").alias("new_uid"))
+    return both.where(fx.remappable(F.col("old_uid"))).distinct()
+
+
 _NUMBERED = "SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' 1381234' || lpad(CAST(doc_id % 10000 AS STRING), 4, '0') || '.' WHEN 1 THEN ' id 11010119900101' || lpad(CAST(doc_id % 1000 AS STRING), 3, '0') || 'X!' WHEN 2 THEN ' x13812345678' ELSE '' END AS text FROM {documents}"
 
 
@@ -659,6 +726,22 @@ def stream_deid_elements(bed: Bed) -> DataFrame:
     return bed.spark.read.parquet(f"{root}/out").select(*place(), "pseudo_id", flat("values_after").alias("value"))
 
 
+@query("SELECT file_id, pseudo_id, text FROM clean_reports")
+def stream_reports(bed: Bed) -> DataFrame:
+    """Reports and tokens as streams in two pieces: of every second patient the pseudonym, and of all one token in three, comes with the second."""
+    root, spark = new_folder(bed.spark, "stream"), bed.spark
+    tokens = bed.tokens.select("patient_key", "pseudo_id", F.explode(F.concat("tokens", F.array(F.lit(None)))).alias("token"))
+    late = (F.pmod(F.xxhash64("patient_key"), F.lit(2)) == 0) | (F.pmod(F.xxhash64("token"), F.lit(3)) == 0)
+    tokens, pages = materialise(tokens, "tokens"), bed.reports.select("patient_key", "file_id", "encoding", "text")
+    later = F.pmod(F.xxhash64("file_id"), F.lit(3)) == 0
+    for own_tokens, own_pages in ((tokens.where(~late), pages.where(~later)), (tokens.where(late), pages.where(later))):
+        own_tokens.write.mode("append").parquet(f"{root}/tokens")
+        own_pages.write.mode("append").parquet(f"{root}/reports")
+        arriving = [spark.readStream.schema(df.schema).parquet(f"{root}/{n}") for df, n in ((pages, "reports"), (tokens, "tokens"))]
+        write_reports_stream(stream_clean(*arriving), f"{root}/out", f"{root}/state").awaitTermination()
+    return latest_reports(spark, f"{root}/out").select("file_id", "pseudo_id", F.col("text_after").alias("text"))
+
+
 @query("SELECT patient_key, printf('Patient_%04d', row_number() OVER (ORDER BY patient_key)) AS pseudo_id FROM (SELECT DISTINCT 'User' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS patient_key FROM events)")
 def stream_assign_patients(bed: Bed) -> DataFrame:
     root = f"{shared_dir(bed.spark)}/stream-{uuid.uuid4().hex}"
