@@ -38,6 +38,36 @@ def set_tag(text: Column, tag: str, value: Column) -> Column:
     return F.regexp_replace(text, F.lit(tag_pattern(tag)), F.concat(F.lit("$1"), safe, F.lit("$3")))
 
 
+def present_tags(text: Column, tags: list[str]) -> Column:
+    """Those of the tags, in lower case and in their order, that are opened anywhere in the text, in any case; one scan for all."""
+    opened = F.regexp_extract_all(text, F.lit(r"<([A-Za-z_]\w*)"), F.lit(1))
+    return F.array_intersect(F.array(*(F.lit(t.lower()) for t in tags)), F.transform(opened, F.lower))
+
+
+def plain_tag(tag: str) -> bool:
+    """Whether the tag is a word, as present_tags() sees it."""
+    return re.fullmatch(r"[A-Za-z_]\w*", tag, re.ASCII) is not None
+
+
+def _pattern_of(tag: Column) -> Column:
+    return F.concat(F.lit("(?is)(<"), tag, F.lit(r"\b[^>]*>)(.*?)(</"), tag, F.lit(">)"))
+
+
+def set_tags(text: Column, tags: list[str], value: Column) -> Column:
+    """set_tag() for one tag after the other; only those that the text has cost a pass of their own."""
+    if not tags or not all(map(plain_tag, tags)):
+        for tag in tags:
+            text = set_tag(text, tag, value)
+        return text
+    by = F.concat(F.lit("$1"), F.regexp_replace(value, r"([\\$])", r"\\$1"), F.lit("$3"))
+    return F.aggregate(present_tags(text, tags), text, lambda acc, t: F.regexp_replace(acc, _pattern_of(t), by))
+
+
+def values_of_tags(text: Column, tags: list[str]) -> Column:
+    """tag_values() of all the tags together; they must be plain."""
+    return F.flatten(F.transform(present_tags(text, tags), lambda t: F.regexp_extract_all(text, _pattern_of(t), F.lit(2))))
+
+
 def longest_first(tokens: Column) -> Column:
     """Tokens by falling length, ties by code point."""
     keyed = F.transform(tokens, lambda t: F.struct((-F.char_length(t)).alias("n"), t.alias("t")))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.tables import materialise
-from ..functions.text import is_digits, longest_first, strip, tag_values
+from ..functions.text import is_digits, longest_first, strip, values_of_tags
 from ..rules import ID_TAGS, LEAST_NUMBER, LEAST_TOKEN, NAME_TAGS, TEXT_TAGS
 
 
@@ -97,10 +97,10 @@ def stem_pieces(files: DataFrame) -> DataFrame:
 
 
 def _report_tags(reports: DataFrame) -> DataFrame:
-    def values(tags: list[str], kind: str) -> list[Column]:
-        return [F.transform(tag_values(F.col("text"), t), lambda v: F.struct(v.alias("token"), F.lit(kind).alias("token_kind"))) for t in tags]
+    def values(tags: list[str], kind: str) -> Column:
+        return F.transform(values_of_tags(F.col("text"), tags), lambda v: F.struct(v.alias("token"), F.lit(kind).alias("token_kind")))
 
-    every = F.concat(*values(NAME_TAGS, "name"), *values(TEXT_TAGS, "name"), *values(ID_TAGS, "id"))
+    every = F.concat(values([*NAME_TAGS, *TEXT_TAGS], "name"), values(ID_TAGS, "id"))
     return reports.select("patient_key", F.explode(every).alias("x")).select("patient_key", "x.token", "x.token_kind")
 
 

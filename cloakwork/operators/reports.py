@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import scrub, set_tag, tag_values
+from ..functions.text import scrub, set_tag, set_tags, tag_values
 from ..rules import BLANK_TAGS, PSEUDO_TAGS, Policy
 
 
@@ -17,9 +17,7 @@ def effective_tags(policy: Policy = Policy()) -> tuple[list[str], list[str]]:
 
 
 def pseudonymize(text: Column, pseudo: Column, tags: list[str]) -> Column:
-    for tag in tags:
-        text = set_tag(text, tag, pseudo)
-    return text
+    return set_tags(text, tags, pseudo)
 
 
 def blank(text: Column, tags: list[str]) -> Column:
