@@ -34,6 +34,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def make_folder(spark: SparkSession, folder: str) -> None:
+    """So that a folder nothing is written to can be read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """The table with columns of these names renamed, for an operator that needs the names itself, and how to rename them back."""
+    taken, moved = set(df.columns) | set(names), {}
+    for c in df.columns:
+        if c in names:
+            other = f"{c}_own"
+            while other in taken:
+                other += "_"
+            taken.add(other)
+            moved[c] = other
+    return df.withColumnsRenamed(moved), {other: c for c, other in moved.items()}
+
+
 def put(folder: str, name: str, data: bytes, attempt: int) -> str:
     """A whole file or none: written under another name first; attempts of a task write the same bytes."""
     files, root = FileSystem.from_uri(folder)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialise, new_folder, put, release, ship
+from .shared import make_folder, materialise, new_folder, put, release, ship
 from .tokens import encoder
 
 MAGIC = b"HTOK1\n"
@@ -194,6 +194,7 @@ def write_token_files(df: DataFrame, path: str, folder: str | None = None, id_co
     release(spark)
     lengths = code_lengths(id_counts(rows, size, dtype), longest)
     folder = folder or new_folder(spark, "token-files")
+    make_folder(spark, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt = TaskContext.get().taskAttemptId()
