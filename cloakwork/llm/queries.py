@@ -38,8 +38,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, _ = write_warc(table(spark, sf_dir, "pages"))
-    records = read_warc(spark, folder).where("kind in ('response', 'revisit')")
+    folder, files = write_warc(table(spark, sf_dir, "pages"))
+    records = read_warc(spark, folder, files=files).where("kind in ('response', 'revisit')")
     return records.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, new_folder, put, ship
+from .shared import make_folder, materialise, new_folder, put, ship
 
 VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
@@ -33,6 +33,8 @@ _END = re.compile(re.escape(END))
 _MEMBER = b"\x1f\x8b\x08"
 _MEMBERS = re.compile(re.escape(_MEMBER))
 WINDOW, PIECE = 4 << 20, 1 << 16
+#: A header of this length without an end is none.
+MOST_HEADER = 16 << 20
 #: Stores that tasks open themselves, to read archives in ranges; of others Spark hands over whole files.
 OPENED = ("", "file", "hdfs", "s3", "gs")
 _NUMBER = re.compile(r"-?[0-9]{1,18}").fullmatch
@@ -55,8 +57,21 @@ def record_bytes(kind: str, row_id: int | None, uri: str, payload: bytes, sha1:
         fields["X-Row-Id"] = row_id
     if kind == "revisit":
         fields |= {"WARC-Profile": REVISIT, "X-Refers-To-Row-Id": refers_to, "X-Payload-Length": len(payload)}
+    fields["Content-Length"] = len(block)
+    fields["X-Header-Digest"] = header_digest({k.lower(): str(v).encode().strip().decode() for k, v in fields.items()})
     head = "\r\n".join(f"{k}: {v}" for k, v in fields.items())
-    return b"".join([VERSION, b"\r\n", head.encode(), f"\r\nContent-Length: {len(block)}".encode(), END, block, END])
+    return b"".join([VERSION, b"\r\n", head.encode(), END, block, END])
+
+
+def header_digest(fields: dict[str, str]) -> str:
+    """The digest of all fields but itself, whatever their order."""
+    return "sha1:" + digest("\n".join(f"{k}:{v}" for k, v in sorted(fields.items()) if k != "x-header-digest").encode("utf-8", "surrogateescape"))
+
+
+def same_sha1(told: str, data: bytes) -> bool:
+    """Whether a field's SHA-1 (after its label, in base32 or hex, in any case) is that of the data."""
+    value = told.partition(":")[2].strip()
+    return value.lower() == hashlib.sha1(data).hexdigest() if len(value) == 40 else value.upper() == digest(data)
 
 
 #: Extension fields that hold numbers.
@@ -83,9 +98,9 @@ class Ranged:
             self.base, self.data = at, self.read(at, min(max(n, WINDOW), self.size - at))
         return self.data[at - self.base : at - self.base + n]
 
-    def search(self, pattern: re.Pattern, at: int, width: int) -> int:
-        """Where a match of `width` bytes begins, or -1."""
-        while at < self.size:
+    def search(self, pattern: re.Pattern, at: int, width: int, until: int | None = None) -> int:
+        """Where a match of `width` bytes begins (before `until`), or -1."""
+        while at < (self.size if until is None else min(until, self.size)):
             piece = self.get(at, WINDOW)
             if found := pattern.search(piece):
                 return at + found.start()
@@ -108,19 +123,22 @@ class Inflated:
     """
 
     def __init__(self, raw: Ranged, at: int) -> None:
-        self.raw, self.pos, self.inflate, self.data, self.base, self.hurt, self.over = raw, at, zlib.decompressobj(31), bytearray(), 0, "", False
+        self.raw, self.start, self.pos, self.inflate, self.data, self.base, self.hurt, self.over = raw, at, at, zlib.decompressobj(31), bytearray(), 0, "", False
+        self.failing: bool | None = None
 
     def _more(self) -> bool:
         if self.over:
             return False
         piece, before = self.raw.get(self.pos, PIECE), self.inflate.copy()
-        if not piece:
-            self.over, self.hurt = True, "member cut off"
-            return False
         try:
-            self.data += self.inflate.decompress(piece)
-            self.pos += len(piece) - len(self.inflate.unused_data)
+            # a piece of blanks is a thousand times as long inflated: so much at once, at most
+            more = self.inflate.decompress(piece, WINDOW)
+            if not piece and not more:
+                self.over, self.hurt = True, "member cut off"
+                return False
+            self.data += more
             self.over = self.inflate.eof
+            self.pos += len(piece) - len(self.inflate.unused_data if self.over else self.inflate.unconsumed_tail)
         except zlib.error:
             self.over, self.hurt = True, "member"
             try:  # what comes before the damage
@@ -139,14 +157,28 @@ class Inflated:
         self._reach(at + n)
         return bytes(self.data[at - self.base : at - self.base + n])
 
-    def search(self, pattern: re.Pattern, at: int, width: int) -> int:
+    def search(self, pattern: re.Pattern, at: int, width: int, until: int | None = None) -> int:
+        """Where a match begins (before `until`), or -1; without `until` what was searched is forgotten."""
         while True:
             if found := pattern.search(self.data, at - self.base):
                 return self.base + found.start()
             at = max(at, self.base + len(self.data) - width + 1)
+            if until is None:
+                self.forget(at)
+            elif at >= until:
+                return -1
             if not self._more():
                 return -1
 
+    def fails(self) -> bool:
+        """Whether the member's own checks fail: inflated once more to its end, holding none of it."""
+        if self.failing is None:
+            other = Inflated(self.raw, self.start)
+            while other._more():
+                other.data.clear()
+            self.failing = other.hurt == "member"
+        return self.failing
+
     def ended(self, at: int) -> bool:
         self._reach(at + 1)
         return self.base + len(self.data) <= at
@@ -160,15 +192,22 @@ def parse_record(source: Ranged | Inflated, at: int) -> tuple[dict, bytes, int]:
     """Fields (names in lower case), block and end of the record at `at`; Damaged if any check fails."""
     if not _VERSION_LINE.match(source.get(at, VERSION_BYTES)):
         raise Damaged("no version line")
-    stop = source.search(_END, at, len(END))
+    stop = source.search(_END, at, len(END), at + MOST_HEADER)
     if stop < 0:
         raise Damaged("no end of the header")
-    fields = {}
+    fields, name = {}, None
     for line in source.get(at, stop - at).split(b"\r\n")[1:]:
         key, colon, value = line.partition(b":")
+        if line[:1] in (b" ", b"\t") and name is not None:  # the line before goes on
+            fields[name] += " " + line.strip().decode("utf-8", "surrogateescape")
+            continue
         if not colon:
             raise Damaged("broken header")
-        fields[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        name = key.strip().lower().decode("latin-1")
+        fields[name] = value.strip().decode("utf-8", "surrogateescape")
+    if "x-header-digest" in fields and fields["x-header-digest"] != header_digest(fields):
+        raise Damaged("header digest")
+    fields = {k: v.encode("utf-8", "surrogateescape").decode("utf-8", "replace") for k, v in fields.items()}
     length = fields.get("content-length", "")
     if not _NUMBER(length) or length.startswith("-"):
         raise Damaged("no content length")
@@ -179,22 +218,24 @@ def parse_record(source: Ranged | Inflated, at: int) -> tuple[dict, bytes, int]:
     if source.get(end, 4) != END:
         raise Damaged("no end mark")
     block = source.get(begin, end - begin)
-    if has_digest(fields) and fields["warc-block-digest"][5:] != digest(block):
+    told = fields.get("warc-block-digest", "")
+    if told.lower().startswith("sha1:") and not same_sha1(told, block):
         raise Damaged("block digest")
     return fields, block, end + 4
 
 
-def has_digest(fields: dict) -> bool:
-    return fields.get("warc-block-digest", "").startswith("sha1:")
+def has_digests(fields: dict) -> bool:
+    """Whether a record that was read has shown by itself that its header and its block are sound."""
+    return fields.get("warc-block-digest", "").lower().startswith("sha1:") and "x-header-digest" in fields
 
 
 def _inside(source: Inflated) -> Iterator[tuple[dict | None, bytes | str]]:
     """(fields, block) of each sound record of a member, and (None, reason) of each gap in its content.
 
-    Where the member's own checks fail, only a digest shows that a record is sound; records without one
-    therefore wait for its end.
+    Where the member's own checks fail, only digests of header and block show that a record is sound; at the first record without them
+    the member is therefore inflated to its end once more, and if it fails such records are gaps.
     """
-    at, reason, waiting = 0, "", []
+    at, reason = 0, ""
     while not source.ended(at):
         try:
             fields, block, end = parse_record(source, at)
@@ -205,14 +246,15 @@ def _inside(source: Inflated) -> Iterator[tuple[dict | None, bytes | str]]:
                 break
             source.forget(at)
             continue
-        found = [(None, reason)] * bool(reason) + [(fields, block)]
-        if waiting or not has_digest(fields):
-            waiting += found
-        else:
-            yield from found
-        at, reason = end, ""
+        if not has_digests(fields) and source.fails():
+            fields, reason = None, reason or "unverified"
+        if fields is not None:
+            if reason:
+                yield None, reason
+            yield fields, block
+            reason = ""
+        at = end
         source.forget(at)
-    yield from (x for x in waiting if source.hurt != "member" or x[0] and has_digest(x[0]))
     if reason:
         yield None, reason
 
@@ -299,13 +341,15 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     copies = materialise(copies.select("same", "first"), "warc-copies")  # so that Spark can split a payload of many rows
     rows = rows.join(copies, "same", "left").drop("same")
     folder = folder or new_folder(spark, "warc")
+    make_folder(spark, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # attempts of a task may see other rows, so each has files of its own, and the index names those of the one that counts
         task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         held, size, count, number = [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            path = put(folder, f"{task:06d}-{number:06d}.warc.gz", b"".join(held), attempt)
+            path = put(folder, f"{task:06d}-{attempt}-{number:06d}.warc.gz", b"".join(held), attempt)
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
 
         for batch in batches:
@@ -324,10 +368,11 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     return folder, materialise(rows.mapInArrow(write, "path string, records long, bytes long"), "warc-index")
 
 
-def read_warc(spark: SparkSession, folder: str, with_payload: bool = False, glob: str = "*.warc*") -> DataFrame:
+def read_warc(spark: SparkSession, folder: str, with_payload: bool = False, glob: str = "*.warc*", files: DataFrame | None = None) -> DataFrame:
     """A row for each sound record and each gap of the archives in `folder` (kind: the record's type, or gap).
 
-    A payload whose digest does not match its field makes the record a gap with that reason. Spark lists the
+    A payload whose digest does not match its field makes the record a gap with that reason. `files` is the table that write_warc() gives:
+    then only the archives that it names are read, and not what stopped attempts have left. Without it Spark lists the
     archives; each is read by one task, in ranges, which holds a window of it and one record. An archive cut off in the middle
     gives a gap at its end; an empty one gives no row.
     """
@@ -345,8 +390,8 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = False, glob
                     else:
                         kind, told = fields.get("warc-type", ""), fields.get("warc-payload-digest", "")
                         body = block.partition(END)[2] if fields.get("content-type", "").startswith("application/http") else block
-                        sha1 = told.removeprefix("sha1:") or digest(body)
-                        if kind == "response" and told and sha1 != digest(body):
+                        sha1 = told.partition(":")[2] if told and kind == "revisit" else digest(body)
+                        if kind == "response" and told.lower().startswith("sha1:") and not same_sha1(told, body):
                             row, body = (path, start, end - start, "gap", "payload digest", None, None, None, None, None), None
                         else:
                             number = lambda k: int(fields[k]) if k in fields else None  # noqa: B023, E731
@@ -360,8 +405,13 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = False, glob
                 if rows:
                     yield _rows(rows, names, with_payload)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", *["content"] * (not opened))
-    return files.mapInArrow(read, RECORD + ", payload binary" * with_payload)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", *["content"] * (not opened))
+    if files is not None and opened:
+        found = files.select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    elif files is not None:
+        last = lambda c: F.substring_index(c, "/", -1)
+        found = found.join(files.select(last("path").alias("_name")), last("path") == F.col("_name"), "left_semi")
+    return found.mapInArrow(read, RECORD + ", payload binary" * with_payload)
 
 
 def _open(path: str) -> Ranged:
