@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANK, whole_text
+from .shared import BLANK, aside, whole_text
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -152,14 +152,19 @@ def line_fails(line: Column, by_share: bool = False) -> Column:
     return (letters == 0) | (marks * 100 > letters * MOST_MARKS) | links | (phrase & (words <= 30)) | filler
 
 
+#: Columns of the steps between.
+OWN = ("lines", "_t", "_trim", "_words", "_hash", "_win", "_again", "_sorted", "_at", "_judged")
+
+
 def clean_lines(df: DataFrame, text: str = "text", most_lost: float = 0.3, least_words: int = 20, most_repeated: int = 30, by_share: bool = False) -> DataFrame:
     """Adds the counts, base_failed, clean_text (the text without the lines that fail), lost_chars, total_chars and kept to `df`.
 
     base_failed: fewer than `least_words` words, or over `most_repeated` percent of the words in repeated
     8-word windows. kept: not base_failed, and at most the share `most_lost` of the characters of lines
     with a word was removed. A null or empty text
-    fails the base. Ties and repeated rows are judged alike; extra columns are carried along.
+    fails the base. Ties and repeated rows are judged alike; extra columns are carried along, but those named like a result are replaced.
     """
+    df, back = aside(df, *(c for c in OWN if c != text))
     df = text_counts(df, text)
     judged = F.transform(F.split(whole_text(text), "\n"), lambda x: F.struct(x.alias("line"), x.rlike(WORD_START).alias("word"), (x.rlike(WORD_START) & line_fails(x, by_share)).alias("fails")))
     df = df.withColumn("_judged", judged)
@@ -168,7 +173,7 @@ def clean_lines(df: DataFrame, text: str = "text", most_lost: float = 0.3, least
     df = df.withColumns({"clean_text": F.array_join(passing, "\n"), "total_chars": size(F.filter("_judged", lambda x: x["word"])), "lost_chars": size(F.filter("_judged", lambda x: x["fails"]))})
     df = df.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
     lost = F.col("lost_chars") > F.col("total_chars") * F.lit(most_lost)
-    return df.withColumn("kept", ~F.col("base_failed") & ~lost).drop("_judged", "lines")
+    return df.withColumn("kept", ~F.col("base_failed") & ~lost).drop("_judged", "lines").withColumnsRenamed(back)
 
 
 def kept_only(judged: DataFrame) -> DataFrame:
@@ -177,4 +182,5 @@ def kept_only(judged: DataFrame) -> DataFrame:
     The row number stops Spark from moving the filter below the counts, where their expressions would be
     written out many times over.
     """
-    return judged.withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0").drop("_row")
+    judged, back = aside(judged, "_row")
+    return judged.withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0").drop("_row").withColumnsRenamed(back)
