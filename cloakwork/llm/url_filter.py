@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialise
+from .shared import aside, materialise
 
 #: Rule lists up to this length are matched inside the row; longer ones by an equi-join on host suffixes.
 INLINE_RULES = 200
@@ -125,13 +125,14 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: D
     would be passed on. All else is allowed. Of equally long rules an allow wins, then the first by host and path. A null or malformed url has an empty host and path, fits no rule
     and has no aliases. Rows are neither merged nor lost; columns of the same names are replaced.
     """
-    pages = pages.drop(*[c for c in ("host", "path", "rule", "verdict", "_action", "_key") if c in pages.columns])
+    pages = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c in pages.columns and c not in (url, html)])
+    pages, back = aside(pages, *(c for c in ("_action", "_key", "_passed", "_best") if c not in (url, html)))
     judged = match_rules(pages, rules, url)
     edges = [page_links(pages, url, html)] if html else []
     edges += [redirects.select("a", "b")] if redirects is not None else []
     own = F.coalesce(F.col("_action"), F.lit("allow"))
     if not edges:
-        return judged.withColumn("verdict", own).drop("_action")
+        return judged.withColumn("verdict", own).drop("_action").withColumnsRenamed(back)
     links = edges[0].union(edges[1]) if len(edges) > 1 else edges[0]
     member = connected_components(links.select(url_key(F.col("a")).alias("a"), url_key(F.col("b")).alias("b")))
     decided = match_rules(member, rules, "node").where("_action is not null")
@@ -142,4 +143,4 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: D
     # broadcast only if all of it is small
     passed = F.broadcast(passed) if size <= MOST_BROADCAST else passed.hint("merge")
     judged = judged.withColumn("_key", url_key(F.col(url))).join(passed, "_key", "left")
-    return judged.withColumn("verdict", F.coalesce("_action", "_passed", F.lit("allow"))).drop("_action", "_key", "_passed")
+    return judged.withColumn("verdict", F.coalesce("_action", "_passed", F.lit("allow"))).drop("_action", "_key", "_passed").withColumnsRenamed(back)
