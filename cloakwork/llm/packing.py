@@ -84,14 +84,17 @@ def pack(pieces: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFra
     """
     groups = max(1, -(-pieces.count() // group))
     columns = pieces.columns
+    own = "_group"
+    while own in columns:
+        own += "_"
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("lot", kind="stable", ignore_index=True)
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=(pdf["_group"].to_numpy() << 32) + bins, offset=offsets)[[*columns, "sequence_id", "offset"]]
+        return pdf.assign(sequence_id=(pdf[own].to_numpy() << 32) + bins, offset=offsets)[[*columns, "sequence_id", "offset"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    return pieces.withColumn("_group", F.pmod("lot", F.lit(groups))).groupBy("_group").applyInPandas(place, schema)
+    return pieces.withColumn(own, F.pmod("lot", F.lit(groups))).groupBy(own).applyInPandas(place, schema)
 
 
 def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", end: int = 2, capacity: int = 4096, with_ids: bool = True, special: bool = False) -> DataFrame:

@@ -248,4 +248,4 @@ def score(docs: DataFrame, model: Attention | float, text: str = "text", into: s
             parts = [passages(batch.iloc[at : at + 1000].tolist()) for at in range(0, len(batch), 1000)]
             yield pd.Series(np.concatenate([model.scores(x, owner) for x, owner in parts]))
 
-    return docs.withColumn("_scored", scored(F.col(text))).drop(into).withColumnRenamed("_scored", into)
+    return docs.select(*(c for c in docs.columns if c != into), scored(F.col(text)).alias(into))
