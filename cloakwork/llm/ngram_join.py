@@ -149,7 +149,8 @@ def trie_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, order: _Ord
     """
     sized = pairs.join(nodes.select("node", "n", "copy").hint("merge"), "node")
     sized = materialise(sized, "sized")
-    probes = sized.groupBy("probe").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    # written first, so that Spark can split a probe of many candidates
+    probes = materialise(sized.groupBy("probe").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")), "probes")
     dealt = sized.join(probes.hint("merge"), "probe").select("probe", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node")
     dealt = materialise(dealt, "dealt")
     copies = sized.select("copy").union(sized.select(F.col("probe").alias("node")).distinct().join(nodes.select("node", "copy").hint("merge"), "node").select("copy"))
@@ -161,7 +162,7 @@ def trie_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, order: _Ord
     shuffles = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = kinds(own, 0).union(kinds(dealt, 1)).repartition(shuffles, "probe", "block").sortWithinPartitions("probe", "block", "kind")
     found = materialise(rows.mapInArrow(_walks(part, whole), "a long, b long"), "links")
-    for old in (sized, dealt, wanted, sets):
+    for old in (sized, probes, dealt, wanted, sets):
         discard(old)
     release(pairs.sparkSession)
     return found
