@@ -105,10 +105,15 @@ def _report_tags(reports: DataFrame) -> DataFrame:
 
 
 def _header_values(files: DataFrame, elements: DataFrame) -> DataFrame:
+    """The names and ids in the first readable header of each patient and folder: of series_first_header(), but reading the elements once."""
+    top = (F.col("scope") == "dataset") & (F.size("ancestors") == 0)
     kind = F.when(F.col("keyword") == "PatientName", "name").when(F.col("keyword").isin("PatientID", "AccessionNumber"), "id")
-    wanted = elements.where("scope = 'dataset' and size(ancestors) = 0").withColumn("token_kind", kind).where("token_kind is not null")
-    wanted = wanted.select("file_id", F.array_join("values", "\\").alias("token"), "token_kind")
-    return series_first_header(files, elements).join(wanted, "file_id").select("patient_key", "token", "token_kind")
+    found = F.when(top & kind.isNotNull(), F.struct(F.array_join("values", "\\").alias("token"), kind.alias("token_kind")))
+    # a file's elements lie together, so that they fall together before the shuffle
+    headers = elements.groupBy("file_id").agg(F.collect_set(found).alias("found"))
+    read = files.where("kind = 'dicom'").select("patient_key", "parent", "rel_path", "file_id").join(headers, "file_id")
+    first = read.groupBy("patient_key", "parent").agg(F.min_by("found", F.struct("rel_path", "file_id")).alias("found"))
+    return first.select("patient_key", F.explode("found").alias("x")).select("patient_key", "x.token", "x.token_kind")
 
 
 def harvest(files: DataFrame, reports: DataFrame, elements: DataFrame) -> DataFrame:

@@ -523,7 +523,7 @@ _NEXT = "list_filter(range(len(taken) + 1), lambda i: NOT list_contains(taken, C
 
 @query(f"""WITH RECURSIVE made AS ({_MADE.replace("{", "").replace("}", "")}), seq AS (SELECT *, split_part(target, '/', 1) AS who, row_number() OVER (PARTITION BY split_part(target, '/', 1) ORDER BY rel_path) AS k FROM made),
   step(who, k, file_id, target, name, taken) AS (SELECT who, k, file_id, target, target, [target] FROM seq WHERE k = 1
-    UNION ALL SELECT who, k, file_id, target, name, list_append(taken, name) FROM (SELECT *, CASE i WHEN 0 THEN target ELSE regexp_replace(target, '\.dcm$', '') || '_' || CAST(i AS VARCHAR) || '.dcm' END AS name FROM
+    UNION ALL SELECT who, k, file_id, target, name, list_append(taken, name) FROM (SELECT *, CASE i WHEN 0 THEN target ELSE regexp_replace(target, '\\.dcm$', '') || '_' || CAST(i AS VARCHAR) || '.dcm' END AS name FROM
       (SELECT n.who, n.k, n.file_id, n.target, taken, {_NEXT.replace("target", "n.target")} AS i FROM step JOIN seq n ON n.who = step.who AND n.k = step.k + 1)))
   SELECT file_id, target, name AS unique_target FROM step""")
 def unique_paths_generated(bed: Bed) -> DataFrame:
