@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -241,25 +241,29 @@ def block_rows(tree: RadixTree, first: bytes, last: bytes, width: int = WIDTH) -
         stack[-1][4].add(s)
 
 
-def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tries(most_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sorted conversations -> the trie nodes of their blocks."""
-    tree, first, last, n, size = RadixTree(), None, b"", 0, 0
 
-    def told() -> pa.RecordBatch:
-        columns = zip(*block_rows(tree, first, last), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, TYPES, strict=True)], names=COLUMNS)
+    def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, first, last, n, size = RadixTree(), None, b"", 0, 0
 
-    for batch in batches:
-        for conv, ids, chars in zip(*(batch[c].to_pylist() for c in ("conv_id", "ids", "chars")), strict=True):
-            if n >= BLOCK_ROWS or size >= BLOCK_BYTES:
-                yield told()
-                tree, first, n, size = RadixTree(), None, 0, 0
-            last = b"".join(ids)
-            first = last if first is None else first
-            tree.put(last, conv, chars)
-            n, size = n + 1, size + len(last)
-    if n:
-        yield told()
+        def told() -> pa.RecordBatch:
+            columns = zip(*block_rows(tree, first, last), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, TYPES, strict=True)], names=COLUMNS)
+
+        for batch in batches:
+            for conv, ids, chars in zip(*(batch[c].to_pylist() for c in ("conv_id", "ids", "chars")), strict=True):
+                if n >= most_rows or size >= BLOCK_BYTES:
+                    yield told()
+                    tree, first, n, size = RadixTree(), None, 0, 0
+                last = b"".join(ids)
+                first = last if first is None else first
+                tree.put(last, conv, chars)
+                n, size = n + 1, size + len(last)
+        if n:
+            yield told()
+
+    return tries
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +317,7 @@ def _subtree_sums(opened: DataFrame) -> DataFrame:
     return whole
 
 
-def prefix_trie(lists: DataFrame) -> DataFrame:
+def prefix_trie(lists: DataFrame, most_rows: int = BLOCK_ROWS) -> DataFrame:
     """(conv_id, turns) with distinct conv_ids -> one row per node of their trie: conv_id (the smallest member), depth,
     parent_conv_id, n_convs, n_children, n_leaves, saved_tokens and ends_sha256.
 
@@ -321,13 +325,13 @@ def prefix_trie(lists: DataFrame) -> DataFrame:
     the subtree each node's (n_convs - 1) times the code points of its last text; ends_sha256 is the digest of the ascending
     decimal ids, joined by commas, of the conversations that end there. Turnless conversations end at the root; without any conversation there
     is no node. However many conversations share turns or are equal, they are sorted, dealt out in ranges and
-    counted block by block; a list of ids is hashed piece by piece.
+    counted block by block (of at most most_rows conversations); a list of ids is hashed piece by piece.
     """
     ship(lists.sparkSession)
     shuffles = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = lists.select("conv_id", F.col("turns.id").alias("ids"), F.col("turns.chars").alias("chars"))
     ranged = keys.repartitionByRange(shuffles, "ids", "conv_id").sortWithinPartitions("ids", "conv_id")
-    rows = materialise(ranged.mapInArrow(_tries, SCHEMA), "trie-rows")
+    rows = materialise(ranged.mapInArrow(_tries(most_rows), SCHEMA), "trie-rows")
     closed, parts = rows.where("not open"), rows.where("open")
     merged = parts.groupBy("node").agg(F.min("parent").alias("parent"), F.min("depth").alias("depth"), F.min("conv_id").alias("conv_id"), *(F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")), F.max("chars").alias("chars"))
     merged = materialise(merged, "trie-open")

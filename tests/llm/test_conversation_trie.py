@@ -53,8 +53,7 @@ def test_radix_tree_keeps_every_key_in_order():
 
 
 @pytest.mark.parametrize("rows", [1, 7, 100_000])
-def test_blocks_meet(spark, monkeypatch, rows):
-    monkeypatch.setattr(ct, "BLOCK_ROWS", rows)
+def test_blocks_meet(spark, rows):
     r = random.Random(rows)
     said = [(role, text) for role in ("user", "assistant", "") for text in ("", "a", "bb", "é" * 5)]
     convs = {c: [r.choice(said[: r.choice([2, 12])]) for _ in range(r.choice([0, 1, 1, 2, 3, 8, 30]))] for c in range(-20, 120)}
@@ -65,7 +64,7 @@ def test_blocks_meet(spark, monkeypatch, rows):
     r.shuffle(turns)
     lists = ct.turn_lists(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, depth string"))
     lists = lists.union(spark.createDataFrame([(c, []) for c, t in convs.items() if not t], lists.schema))
-    got = sorted(map(tuple, ct.prefix_trie(lists).collect()), key=repr)
+    got = sorted(map(tuple, ct.prefix_trie(lists, rows).collect()), key=repr)
     assert got == brute({c: [(t, len(t[1])) for t in ts] for c, ts in convs.items()})
 
 
