@@ -22,6 +22,8 @@ from ..sources import tree
 from ..streaming.reports import latest_reports, write_reports_stream
 from ..streaming.reports import stream_reports as stream_clean
 from ..streaming.stream import latest_crosswalk, run_available, stream_assign, stream_deid
+from ..streaming.verify import leaks_so_far
+from ..streaming.verify import stream_verify as scan_stream
 from .jobs import deidentify
 from .oracle import _in, _scrubbed, _set, _uid, with_views
 from .testbed import Testbed
@@ -742,6 +744,20 @@ def stream_reports(bed: Bed) -> DataFrame:
     return latest_reports(spark, f"{root}/out").select("file_id", "pseudo_id", F.col("text_after").alias("text"))
 
 
+@query("SELECT file_id, kind, token, detail FROM token_leaks UNION ALL SELECT * FROM pattern_leaks")
+def stream_verify(bed: Bed) -> DataFrame:
+    """The scan of the reports as a stream of texts and tokens in two pieces, so that some tokens come after texts that hold them."""
+    root, spark = new_folder(bed.spark, "stream"), bed.spark
+    none = F.lit(None).cast("string")
+    texts = bed.clean_reports.select("file_id", none.alias("tag"), F.col("text_after").alias("text"), none.alias("token"))
+    rows = materialise(texts.union(cw.all_tokens(bed.crosswalk).select(none, none, none, "token")), "arriving")
+    first = F.pmod(F.xxhash64(F.coalesce("file_id", "token")), F.lit(2)) == 0
+    for part in (rows.where(first), rows.where(~first)):
+        part.write.mode("append").parquet(f"{root}/arriving")
+        scan_stream(spark.readStream.schema(rows.schema).parquet(f"{root}/arriving"), f"{root}/scan", f"{root}/state").awaitTermination()
+    return leaks_so_far(spark, f"{root}/scan")
+
+
 @query("SELECT patient_key, printf('Patient_%04d', row_number() OVER (ORDER BY patient_key)) AS pseudo_id FROM (SELECT DISTINCT 'User' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS patient_key FROM events)")
 def stream_assign_patients(bed: Bed) -> DataFrame:
     root = f"{shared_dir(bed.spark)}/stream-{uuid.uuid4().hex}"
