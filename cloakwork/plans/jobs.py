@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import materialise
-from ..functions.secret import new_secret, secret_table
+from ..functions.secret import hmac_sha256, new_secret, secret_table
 from ..operators.crosswalk import all_tokens, assign_pseudo_ids, build_crosswalk, continue_pseudo_ids, harvest, tokens_per_patient
 from ..operators.elements import burned_in_flags, deid_elements, unassigned
 from ..operators.reports import deid_reports
@@ -76,11 +76,30 @@ def deidentify(
     return Run(assigned, crosswalk, own, clean_elements, clean_reports, flags, leaks, run_summary(files, failures, flags, leaks), failures, secret)
 
 
+def opaque_ids(df: DataFrame, secret: DataFrame, column: str = "file_id") -> DataFrame:
+    """The column replaced by 32 hex digits that only depend on it and the secret."""
+    columns = df.columns
+    keyed = df.crossJoin(F.broadcast(secret)).withColumn(column, F.substring(hmac_sha256(F.col(column), F.col("_inner"), F.col("_outer")), 1, 32))
+    return keyed.select(*columns)
+
+
+def shared_rows(elements: DataFrame, reports: DataFrame, secret: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cleaned rows as they may be shared: no original values, keys of patients or ids of files."""
+    elements = elements.drop("values", "patient_key").withColumnRenamed("values_after", "values")
+    reports = reports.select("file_id", "pseudo_id", "encoding", F.col("text_after").alias("text"))
+    return opaque_ids(elements, secret), opaque_ids(reports, secret)
+
+
 def write_run(run: Run, source: str, shareable: str, private: str) -> None:
-    """The run's outputs; the secret of its UIDs is kept with the crosswalk in the private folder, where kept_secret() finds it."""
+    """The run's outputs; the secret of its UIDs is kept with the crosswalk in the private folder, where kept_secret() finds it.
+
+    File ids may be paths with names in them: the shareable tables have a keyed digest instead, and the private folder the table of both.
+    """
     spark = run.summary.sparkSession
     guard_output(source, shareable, private, spark)
-    elements = run.elements.drop("values", "patient_key").withColumnRenamed("values_after", "values")
-    reports = run.reports.select("file_id", "pseudo_id", "encoding", F.col("text_after").alias("text"))
+    elements, reports = shared_rows(run.elements, run.reports, run.secret)
+    names = run.elements.select("file_id").union(run.reports.select("file_id")).distinct()
+    with_names = opaque_ids(names.withColumn("shared_id", F.col("file_id")), run.secret, "shared_id")
     write_outputs(elements, reports, run.crosswalk, shareable, private)
+    with_names.write.mode("errorifexists").parquet(f"{private}/files")
     run.secret.coalesce(1).write.mode("ignore").parquet(f"{private}/secret")

@@ -58,7 +58,7 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     read = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     rel = F.substring(plain_path(F.col("path")), F.char_length(plain_path(F.lit(base))) + 1, F.char_length("path"))
     rel = F.regexp_replace(rel, "/$", "")
-    listing = read().select(F.col("path").alias("file_id"), rel.alias("rel_path"), "length")
+    listing = read().select(F.col("path").alias("file_id"), rel.alias("rel_path"), "length", F.col("modificationTime").alias("modified"))
     files = file_inventory(listing)
     bare = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"[^.](\.[^.]+)$", 1) == ""
     magic = read().where(bare).select(F.col("path").alias("file_id"), (F.substring("content", 129, 4) == F.lit(b"DICM")).alias("_magic"))
