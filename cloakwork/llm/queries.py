@@ -195,6 +195,16 @@ w AS (SELECT v.*, coalesce(n, 0) AS n_children FROM v LEFT JOIN kids USING (path
 s AS (SELECT left(path, 32 * a) AS path, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS a FROM w) GROUP BY 1),
 e AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM m JOIN (SELECT conv_id, max(d) AS d FROM m GROUP BY 1) USING (conv_id, d) GROUP BY 1)
 SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256 FROM w JOIN s USING (path) LEFT JOIN e USING (path) LEFT JOIN v AS p ON w.depth > 0 AND p.path = left(w.path, -32)
+""",
+    "op12_ngram_jaccard_join": rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS same FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * same >= 85 * (nx.n + ny.n - same)),
+e AS (SELECT x AS a, y AS b FROM l UNION SELECT y, x FROM l),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id FROM t LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY 1) USING (doc_id)
 """,
     "op13_periodic_runs": rf"""
 WITH t AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents),
