@@ -9,63 +9,62 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Header keywords that are emptied.
-BLANK_KEYWORDS = """
-PatientBirthDate PatientBirthTime PatientBirthName PatientMotherBirthName PatientAddress PatientTelephoneNumbers
-PatientTelecomInformation OtherPatientIDs OtherPatientNames OtherPatientIDsSequence IssuerOfPatientID MilitaryRank
-BranchOfService MedicalRecordLocator CountryOfResidence RegionOfResidence PatientReligiousPreference PatientComments
-EthnicGroup Occupation AdditionalPatientHistory InstitutionName InstitutionAddress InstitutionalDepartmentName
-InstitutionCodeSequence ReferringPhysicianName ReferringPhysicianAddress ReferringPhysicianTelephoneNumbers
-PhysiciansOfRecord PerformingPhysicianName NameOfPhysiciansReadingStudy OperatorsName RequestingPhysician
-RequestingService ScheduledPerformingPhysicianName StudyID AccessionNumber AdmissionID IssuerOfAdmissionID
-ServiceEpisodeID PerformedProcedureStepID RequestedProcedureID ScheduledProcedureStepID CurrentPatientLocation
-PatientTransportArrangements PatientInsurancePlanCodeSequence InsurancePlanIdentification OrderCallbackPhoneNumber
-OrderEnteredBy OrderEntererLocation NamesOfIntendedRecipientsOfResults HumanPerformersName HumanPerformersOrganization
-VerifyingObserverName ContentCreatorName
-""".split()
+BLANK_KEYWORDS = [
+    "PatientBirthDate", "PatientBirthTime", "PatientBirthName", "PatientMotherBirthName", "PatientAddress", "PatientTelephoneNumbers",
+    "PatientTelecomInformation", "OtherPatientIDs", "OtherPatientNames", "OtherPatientIDsSequence", "IssuerOfPatientID", "MilitaryRank",
+    "BranchOfService", "MedicalRecordLocator", "CountryOfResidence", "RegionOfResidence", "PatientReligiousPreference", "PatientComments", "EthnicGroup",
+    "Occupation", "AdditionalPatientHistory", "InstitutionName", "InstitutionAddress", "InstitutionalDepartmentName", "InstitutionCodeSequence",
+    "ReferringPhysicianName", "ReferringPhysicianAddress", "ReferringPhysicianTelephoneNumbers", "PhysiciansOfRecord", "PerformingPhysicianName",
+    "NameOfPhysiciansReadingStudy", "OperatorsName", "RequestingPhysician", "RequestingService", "ScheduledPerformingPhysicianName", "StudyID",
+    "AccessionNumber", "AdmissionID", "IssuerOfAdmissionID", "ServiceEpisodeID", "PerformedProcedureStepID", "RequestedProcedureID",
+    "ScheduledProcedureStepID", "CurrentPatientLocation", "PatientTransportArrangements", "PatientInsurancePlanCodeSequence",
+    "InsurancePlanIdentification", "OrderCallbackPhoneNumber", "OrderEnteredBy", "OrderEntererLocation", "NamesOfIntendedRecipientsOfResults",
+    "HumanPerformersName", "HumanPerformersOrganization", "VerifyingObserverName", "ContentCreatorName",
+]
 
 # Header keywords known to be harmless.
-KEEP_KEYWORDS = """
-StationName DeviceSerialNumber Manufacturer ManufacturerModelName SoftwareVersions ProtocolName SeriesDescription
-StudyDescription BodyPartExamined PatientSex PatientAge PatientWeight PatientSize Modality
-""".split()
+KEEP_KEYWORDS = [
+    "StationName", "DeviceSerialNumber", "Manufacturer", "ManufacturerModelName", "SoftwareVersions", "ProtocolName", "SeriesDescription",
+    "StudyDescription", "BodyPartExamined", "PatientSex", "PatientAge", "PatientWeight", "PatientSize", "Modality",
+]
 
 # Report tags whose content becomes the pseudonym.
-PSEUDO_TAGS = "PatientName PatientNameC PatientFN PatientFNC PatientSN PatientSNC PatientID".split()
+PSEUDO_TAGS = ["PatientName", "PatientNameC", "PatientFN", "PatientFNC", "PatientSN", "PatientSNC", "PatientID"]
 
 # Report tags that are emptied, in this order.
-BLANK_TAGS = """
-PatientUID PatientBirthday OutPatientNo InPatientNo CaseNO Patient_tel patient_cellphone Patient_Address patient_idcard
-AccessionNumber StudyInstanceUID StudyID ReportingPhysician ReferringPhysician PreReferringPhysician ReportPhysician
-shenqingYiShi Operator OperatorCode CREATED_BY ReportDoctor ExamDoctor AuditDoctor VerifyDoctor ApplyDoctor
-RequestDoctor OperatorName TechnicianName HospitalName Hospital Department Ward BedNo BedNumber department bingqu
-chuanghao laiyuan InsuranceType FactPrice VIP
-""".split()
+BLANK_TAGS = [
+    "PatientUID", "PatientBirthday", "OutPatientNo", "InPatientNo", "CaseNO", "Patient_tel", "patient_cellphone", "Patient_Address", "patient_idcard",
+    "AccessionNumber", "StudyInstanceUID", "StudyID", "ReportingPhysician", "ReferringPhysician", "PreReferringPhysician", "ReportPhysician",
+    "shenqingYiShi", "Operator", "OperatorCode", "CREATED_BY", "ReportDoctor", "ExamDoctor", "AuditDoctor", "VerifyDoctor", "ApplyDoctor",
+    "RequestDoctor", "OperatorName", "TechnicianName", "HospitalName", "Hospital", "Department", "Ward", "BedNo", "BedNumber", "department", "bingqu",
+    "chuanghao", "laiyuan", "InsuranceType", "FactPrice", "VIP",
+]
 
 # Report tags whose content is collected as names, as ids, and as free text that counts as names.
-NAME_TAGS = "PatientName PatientNameC PatientFN PatientFNC PatientSN PatientSNC".split()
-ID_TAGS = """
-PatientID OutPatientNo InPatientNo CaseNO StudyInstanceUID patient_idcard Patient_tel patient_cellphone AccessionNumber
-PatientUID
-""".split()
-TEXT_TAGS = """
-Patient_Address ReportingPhysician ReferringPhysician PreReferringPhysician ReportPhysician shenqingYiShi Operator
-CREATED_BY ReportDoctor ExamDoctor AuditDoctor HospitalName
-""".split()
+NAME_TAGS = ["PatientName", "PatientNameC", "PatientFN", "PatientFNC", "PatientSN", "PatientSNC"]
+ID_TAGS = [
+    "PatientID", "OutPatientNo", "InPatientNo", "CaseNO", "StudyInstanceUID", "patient_idcard", "Patient_tel", "patient_cellphone", "AccessionNumber",
+    "PatientUID",
+]
+TEXT_TAGS = [
+    "Patient_Address", "ReportingPhysician", "ReferringPhysician", "PreReferringPhysician", "ReportPhysician", "shenqingYiShi", "Operator", "CREATED_BY",
+    "ReportDoctor", "ExamDoctor", "AuditDoctor", "HospitalName",
+]
 
 # Report tags known to be harmless.
-KEEP_TAGS = """
-PatientSex PatientAge Patient_Stature PATIENT_WEIGHT StudyDate SeriesDate SeriesTime StudyTime WriteDateTime
-ReferringDate Modality SeriesDescription StudyDescription BodyPartExamined StationName nudi linchuangzhenduan
-Lishibingshi Report StudyClass0 StudyClass1 StudyClass2 SeriesNumber StudyNo ImageNumber Image_x0020_Count studytimes
-INFOTYPE ReportStatus Pathology fusion StudyComponentType WorkFlow
-""".split()
+KEEP_TAGS = [
+    "PatientSex", "PatientAge", "Patient_Stature", "PATIENT_WEIGHT", "StudyDate", "SeriesDate", "SeriesTime", "StudyTime", "WriteDateTime",
+    "ReferringDate", "Modality", "SeriesDescription", "StudyDescription", "BodyPartExamined", "StationName", "nudi", "linchuangzhenduan", "Lishibingshi",
+    "Report", "StudyClass0", "StudyClass1", "StudyClass2", "SeriesNumber", "StudyNo", "ImageNumber", "Image_x0020_Count", "studytimes", "INFOTYPE",
+    "ReportStatus", "Pathology", "fusion", "StudyComponentType", "WorkFlow",
+]
 
 # Header keywords shown before and after.
-DISPLAY_KEYWORDS = """
-PatientName PatientID PatientBirthDate PatientSex PatientAge PatientWeight PatientSize InstitutionName
-InstitutionAddress StationName ReferringPhysicianName PerformingPhysicianName OperatorsName AccessionNumber StudyID
-StudyDate SeriesDate Modality StudyDescription SeriesDescription StudyInstanceUID SeriesInstanceUID SOPInstanceUID
-""".split()
+DISPLAY_KEYWORDS = [
+    "PatientName", "PatientID", "PatientBirthDate", "PatientSex", "PatientAge", "PatientWeight", "PatientSize", "InstitutionName", "InstitutionAddress",
+    "StationName", "ReferringPhysicianName", "PerformingPhysicianName", "OperatorsName", "AccessionNumber", "StudyID", "StudyDate", "SeriesDate",
+    "Modality", "StudyDescription", "SeriesDescription", "StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID",
+]
 
 # Kinds of value representations, roots and prefixes of identifiers.
 TEXT_VRS = ["LO", "SH", "ST", "LT", "UT", "UC", "PN"]
