@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .html_tags import attribute, is_tag, let, opening_tags
 from .shared import aside, materialise
 
 #: Rule lists up to this length are matched inside the row; longer ones by an equi-join on host suffixes.
@@ -78,42 +79,49 @@ def resolved(target: Column, base: Column) -> Column:
     return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), target).when(root != "", full)
 
 
-def unescaped(attribute: Column) -> Column:
-    """An attribute's value with the character references that urls hold replaced."""
-    for written, meant in ENTITIES.items():
-        attribute = F.regexp_replace(attribute, F.lit(written), F.lit(meant))
-    return attribute
-
+def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(a, b): each page's url and the targets of its canonical links and of its refresh tags.
 
-#: References to the characters that are written so in attributes; the ampersand last.
-ENTITIES = {"(?i)&(?:quot|#34|#x22);": '"', "(?i)&(?:apos|#39|#x27);": "'", "(?i)&(?:lt|#60|#x3c);": "<", "(?i)&(?:gt|#62|#x3e);": ">", "(?i)&(?:#47|#x2f|sol);": "/", "(?i)&(?:#58|#x3a|colon);": ":", "(?i)&(?:amp|#38|#x26);": "&"}
+    Relative targets are resolved by the page's first base element with a target, if it has one, or else its url.
+    Tags in comments, scripts and quoted values do not count; of an attribute given twice the first does.
+    """
+    def links(tags: Column, a: Column) -> Column:
+        hrefs = F.filter(F.transform(F.filter(tags, lambda t: is_tag(t, "base")), lambda t: attribute(t, "href")), lambda h: h.isNotNull())
+        base = let(_cleaned(F.get(hrefs, F.lit(0))), lambda h: F.when(h != "", F.coalesce(resolved(h, a), a)).otherwise(a))
+        rel = lambda t: F.split(F.lower(attribute(t, "rel")), r"[\t\n\f\r ]+")
+        canonical = F.filter(tags, lambda t: is_tag(t, "link") & F.array_contains(rel(t), "canonical"))
+        refresh = F.filter(tags, lambda t: is_tag(t, "meta") & (F.trim(F.lower(attribute(t, "http-equiv"))) == "refresh"))
+        after = lambda t: F.regexp_extract(attribute(t, "content"), r"(?is)^\s*[0-9.]+(?:\s*[;,]|\s)\s*(?:url\s*=\s*)?(.*)", 1)
+        quoted = lambda x: F.when(x.rlike("^[\"']"), F.regexp_extract(x, "(?s)^([\"'])(.*?)(?:\\1|$)", 2)).otherwise(x)
+        targets = F.concat(F.transform(canonical, lambda t: attribute(t, "href")), F.transform(refresh, lambda t: let(after(t), quoted)))
+        targets = F.filter(F.transform(targets, _cleaned), lambda b: b != "")
+        return let(base, lambda base: F.filter(F.transform(targets, lambda b: resolved(b, base)), lambda b: F.contains(b, F.lit("://"))))
 
+    # a page without these words in plain or referenced letters has no such tag
+    linked = pages.where(F.col(url).isNotNull() & F.col(html).rlike(r"(?i)canonical|http-equiv|rel\s*=[^>]*&"))
+    return linked.select(F.col(url).alias("a"), F.explode(let(opening_tags(F.col(html), ["link", "meta", "base"]), lambda tags: links(tags, F.col(url)))).alias("b"))
 
-def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): each page's url and the targets of its canonical link and of its immediate refresh.
 
-    Relative targets are resolved by the page's base element, if it has one, or else its url.
-    """
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(?:link|meta|base)\b[^>]*>"), F.lit(0))
-    bases = F.filter(tags, lambda t: t.rlike(r"(?is)^<base\b.*\bhref\s*="))
-    base = F.regexp_extract(F.get(bases, F.lit(0)), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    canonical = F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b"))
-    refresh = F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"))
-    targets = F.concat(
-        F.transform(canonical, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)),
-        F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)),
-    )
-    linked = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("a"), F.coalesce(base, F.lit("")).alias("base"), F.explode(targets).alias("b"))
-    linked = linked.where("a is not null and b <> ''").withColumns({"b": unescaped(F.col("b")), "base": unescaped(F.col("base"))})
-    linked = linked.withColumn("base", F.when(F.col("base") == "", F.col("a")).otherwise(F.coalesce(resolved(F.col("base"), F.col("a")), F.col("a"))))
-    return linked.select("a", resolved(F.col("b"), F.col("base")).alias("b")).where("b like '%://%'")
+def _cleaned(target: Column) -> Column:
+    """Without blanks and control characters at its ends and line breaks and tabs inside, which urls do not have."""
+    return F.regexp_replace(target, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
 
 
 def url_key(url: Column) -> Column:
-    """What aliases are compared by: the url without its fragment, scheme and host in lower case."""
-    scheme = F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1))
+    """What aliases are compared by: the url without fragment and its scheme's own port, scheme and host in lower case,
+    an empty path as /, blanks as %20; null for what has no ://."""
+    scheme, host = F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1)), url_host(url)
     rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.concat(scheme, F.lit("://"), url_host(url), rest)
+    host = F.when(scheme == "http", F.regexp_replace(host, ":(?:80)?$", "")).when(scheme == "https", F.regexp_replace(host, ":(?:443)?$", "")).otherwise(host)
+    rest = F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))
+    return F.when(F.contains(url, F.lit("://")), F.concat(scheme, F.lit("://"), host, F.replace(rest, F.lit(" "), F.lit("%20"))))
+
+
+def _forms(node: Column) -> Column:
+    """A key as it is and with its scheme's port written out, for rules that name the port."""
+    plain = ~url_host(node).rlike(":[0-9]*$")
+    port = F.when(plain & F.startswith(node, F.lit("http://")), ":80").when(plain & F.startswith(node, F.lit("https://")), ":443")
+    return F.array_compact(F.array(node, F.concat(F.regexp_extract(node, "(?s)^[^:]*://[^/]*", 0), port, F.regexp_extract(node, "(?s)^[^:]*://[^/]*(.*)", 1))))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None, url: str = "url", html: str | None = "html") -> DataFrame:
@@ -134,8 +142,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: D
     if not edges:
         return judged.withColumn("verdict", own).drop("_action").withColumnsRenamed(back)
     links = edges[0].union(edges[1]) if len(edges) > 1 else edges[0]
-    member = connected_components(links.select(url_key(F.col("a")).alias("a"), url_key(F.col("b")).alias("b")))
-    decided = match_rules(member, rules, "node").where("_action is not null")
+    links = links.select(url_key(F.col("a")).alias("a"), url_key(F.col("b")).alias("b")).where("a is not null and b is not null")
+    member = connected_components(links)
+    decided = match_rules(member.withColumn("form", F.explode(_forms(F.col("node")))), rules, "form").where("_action is not null")
     groups = decided.groupBy("component").agg(F.bool_or(F.col("_action") == "block").alias("b"), F.bool_or(F.col("_action") == "allow").alias("a"))
     passed = member.join(groups.where("b and not a").hint("merge"), "component").select(F.col("node").alias("_key"), F.lit("block").alias("_passed"))
     passed = materialise(passed, "passed-on")
