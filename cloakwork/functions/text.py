@@ -75,9 +75,11 @@ def longest_first(tokens: Column) -> Column:
 
 
 def scrub(text: Column, tokens: Column, by: Column) -> Column:
-    """Each token in turn replaced; `tokens` are in the order of replacement. Without a list (null) nothing is known to be clean: null."""
-    present = F.filter(tokens, lambda t: F.contains(text, t) | F.contains(by, t))
-    return F.aggregate(present, text, lambda acc, t: F.replace(acc, t, by))
+    """Each token in turn replaced; `tokens` are in the order of replacement. Without a list (null) nothing is known to be clean: null.
+
+    A token that a replacement makes with what lies beside it is replaced too, if its turn is still to come.
+    """
+    return F.aggregate(tokens, text, lambda acc, t: F.when(t.isNull(), acc).otherwise(F.replace(acc, t, by)))
 
 
 def is_digits(c: Column) -> Column:

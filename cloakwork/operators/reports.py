@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.automaton import scrub_many
 from ..functions.text import scrub, set_tag, set_tags, tag_values
 from ..rules import BLANK_TAGS, PSEUDO_TAGS, Policy
 
@@ -24,21 +25,22 @@ def blank(text: Column, tags: list[str]) -> Column:
     return pseudonymize(text, F.lit(""), tags)
 
 
-def deid_reports(reports: DataFrame, tokens: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def deid_reports(reports: DataFrame, tokens: DataFrame, policy: Policy = Policy(), many: bool = False) -> DataFrame:
     """Adds pseudo_id and text_after: tags pseudonymised, tags emptied, then the patient's own tokens replaced anywhere.
 
-    Reports without a patient, or of one without pseudonym, are left out: unassigned() has them.
+    Reports without a patient, or of one without pseudonym, are left out: unassigned() has them. With `many` the tokens are
+    looked for by an automaton, which pays from some hundred tokens a patient on (many_tokens()); the rows are the same.
     """
     joined = reports.join(tokens.select("patient_key", "pseudo_id", "tokens").where("pseudo_id is not null and tokens is not null"), "patient_key")
-    return cleaned(joined, policy).drop("tokens")
+    return cleaned(joined, policy, many).drop("tokens")
 
 
-def cleaned(joined: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def cleaned(joined: DataFrame, policy: Policy = Policy(), many: bool = False) -> DataFrame:
     """Adds text_after to reports (text) that carry their pseudo_id and tokens."""
     pseudo, blanks = effective_tags(policy)
     joined = joined.withColumn("_p", pseudonymize(F.col("text"), F.col("pseudo_id"), pseudo))
     joined = joined.withColumn("_b", blank(F.col("_p"), blanks))
-    return joined.withColumn("text_after", scrub(F.col("_b"), F.col("tokens"), F.col("pseudo_id"))).drop("_p", "_b")
+    return joined.withColumn("text_after", (scrub_many if many else scrub)(F.col("_b"), F.col("tokens"), F.col("pseudo_id"))).drop("_p", "_b")
 
 
 def report_changes(reports: DataFrame, assigned: DataFrame, policy: Policy = Policy()) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.secret import kept_secret
+from ..functions.automaton import many_tokens
 from ..functions.tables import materialise
 from ..operators.crosswalk import all_tokens, build_crosswalk, continue_pseudo_ids, harvest, tokens_per_patient
 from ..operators.elements import deid_elements
@@ -94,7 +95,7 @@ def update(files: DataFrame, elements: DataFrame, reports: DataFrame, shareable:
     again = of(files, states.where("state = 'same'").select("file_id")).join(touched, "patient_key", "left_semi").select("file_id")
     written = materialise(arrived.union(again).distinct(), "written")
     clean_elements = materialise(deid_elements(of(elements, written), own, policy, keep_dates=keep_dates, secret=secret), "elements")
-    clean_reports = materialise(deid_reports(of(reports, written), own, policy), "reports")
+    clean_reports = materialise(deid_reports(of(reports, written), own, policy, many_tokens(own)), "reports")
     kept = before.join(written, "file_id", "left_anti").join(states.where("state = 'same'"), "file_id", "left_semi")
     fresh_tokens = tokens.select("token").join(all_tokens(previous).select("token"), "token", "left_anti")
     old_elements, old_reports = (current_rows(spark, shareable, kept, what) for what in ("elements", "reports"))

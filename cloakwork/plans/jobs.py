@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.automaton import many_tokens
 from ..functions.tables import materialise
 from ..functions.secret import hmac_sha256, new_secret, secret_table
 from ..operators.crosswalk import all_tokens, assign_pseudo_ids, build_crosswalk, continue_pseudo_ids, harvest, tokens_per_patient
@@ -65,7 +66,7 @@ def deidentify(
     crosswalk = materialise(build_crosswalk(assigned, found), "crosswalk")
     own = tokens_per_patient(crosswalk)
     clean_elements = materialise(deid_elements(elements, own, policy, keep_dates=keep_dates, secret=secret), "elements")
-    clean_reports = materialise(deid_reports(reports, own, policy), "reports")
+    clean_reports = materialise(deid_reports(reports, own, policy, many_tokens(own)), "reports")
     failures = materialise(failures.select("file_id", "kind", "error").union(unassigned(elements, own)).union(unassigned(reports, own, "xml")), "failures")
     flags = burned_in_flags(elements)
     known = all_tokens(crosswalk)

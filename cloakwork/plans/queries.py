@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions.secret import pads, secret_table
+from ..functions.automaton import scrub_many
 from ..functions.tables import materialise, new_folder, shared_dir
 from ..operators import crosswalk as cw
 from ..operators import discover, naming, policies, preview, summary, verify
@@ -638,6 +639,12 @@ def scrub_tokens_text(bed: Bed) -> DataFrame:
     return joined.select("file_id", fx.scrub(F.col("text"), F.col("tokens"), F.col("pseudo_id")).alias("text"))
 
 
+@query(f"SELECT file_id, {_scrubbed('text', 'pseudo_id')} AS text FROM reports JOIN own USING (patient_key)")
+def scrub_many_tokens(bed: Bed) -> DataFrame:
+    joined = bed.reports.join(bed.tokens, "patient_key")
+    return joined.select("file_id", scrub_many(F.col("text"), F.col("tokens"), F.col("pseudo_id")).alias("text"))
+
+
 @query(f"SELECT {PLACE_SQL}, array_to_string(values_after, '\\') AS value FROM deid WHERE action = 'scrub'")
 def scrub_tokens_elements(bed: Bed) -> DataFrame:
     return bed.deid.where("action = 'scrub'").select(*place(), flat("values_after").alias("value"))
