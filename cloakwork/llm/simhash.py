@@ -10,7 +10,8 @@ meeting at values one bit away), which is exact. Sides that grow with the input
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -142,6 +143,9 @@ MOST_COMMON = 200_000
 MOST_WANTED = 1_000_000
 #: Bits of the map of a set's hashes.
 MAP = 1024
+#: hub_rounds(): so many hubs a shingle at first, GROWTH times as many in each round after, at shingles that have over GROWTH times as many sets.
+HUBS = 8
+GROWTH = 4
 
 
 def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
@@ -242,6 +246,60 @@ def _near_prints(nodes: DataFrame) -> DataFrame:
     return links.union(same)
 
 
+def mixed_rows(rest: DataFrame, member: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of `rest` at shingles where unlike components meet, with the component (c) and the map."""
+    named = rest.join(member.hint("merge"), "node", "left").select(*rest.columns, F.coalesce("component", "node").alias("c"))
+    named = materialise(named, "named")
+    mixed = materialise(named.groupBy("shingle").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("shingle"), "mixed")
+    found = materialise(named.join(mixed.hint("merge"), "shingle").join(nodes.select("node", "map").hint("merge"), "node"), "rest")
+    for old in (named, mixed):
+        discard(old)
+    return found
+
+
+def hub_rounds(rest: DataFrame, nodes: DataFrame, member: DataFrame, pairs: DataFrame, links: Callable[[DataFrame], DataFrame], near: Column) -> tuple[DataFrame, list[DataFrame], Column]:
+    """Compare the sets of large groups with more and more hubs, so that few pairs of unlike components are left.
+
+    rest: (shingle, k, node, n, left), k sets at each shingle; member: (node, component); pairs: (a, b) that need no comparison any more.
+    links: candidate pairs (a, b, probe) -> links (a, b); near: what two rows x and y must fulfil. A set that has a share s of a group for
+    neighbours falls in with it after about 1 / s hubs, so only sets with few neighbours are ever compared with many.
+    Returns the new members, the tables of all pairs compared, and the number of hubs a row's shingle has had: a row whose turn() is
+    below it has met all others there.
+    """
+    compared, tried, hubs, bar = [pairs], 0, HUBS, F.lit(0)
+    most = rest.agg(F.max("k")).first()[0] or 0
+    while most > GROWTH * hubs:
+        large = mixed_rows(rest.where(F.col("k") > GROWTH * hubs), member, nodes)
+        if large.isEmpty():
+            discard(large)
+            break
+        x, y = (large.select(*(F.col(c).alias(f"{s}{c}") for c in large.columns), turn().alias(f"{s}turn")) for s in "xy")
+        y = y.where((F.col("yturn") >= tried) & (F.col("yturn") < hubs))
+        more = x.join(y.hint("merge"), (F.col("xshingle") == F.col("yshingle")) & (F.col("xc") != F.col("yc")) & near)
+        more = more.groupBy(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).agg(F.max("xnode").alias("probe"))
+        more = materialise(more.join(known_pairs(compared).hint("merge"), ["a", "b"], "left_anti"), "hub-pairs")
+        discard(large)
+        if not more.isEmpty():
+            then, found = member, links(more)
+            member = materialise(connected_components(found.union(then.select("node", "component"))), "members")
+            for old in (then, found):
+                discard(old)
+            release(rest.sparkSession)
+        compared.append(more)
+        bar = F.when(F.col("k") > GROWTH * hubs, hubs).otherwise(bar)
+        tried, hubs = hubs, GROWTH * hubs
+    return member, compared, bar
+
+
+def known_pairs(compared: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, (x.select("a", "b") for x in compared))
+
+
+def turn() -> Column:
+    """When a set is a hub at a shingle: spread evenly from 0 to k - 1, in the same order at all shingles."""
+    return F.shiftrightunsigned(F.shiftrightunsigned(F.xxhash64("node"), 33) * F.col("k"), 31)
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id_col, group): documents linked, over any number of steps, by a Jaccard similarity of their shingle sets of at least that.
 
@@ -251,7 +309,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", wo
     similarity 0.8 differ in about ten of 64 bits, where no such bound rules anything out. So shingles also have one
     order, common ones last; of two sets of that similarity J, the first n - ceil(J n) + 1 shingles of each have
     one in common (prefix filtering), so sets meet at those. At each such shingle all are compared with the two that a hash
-    puts first. Components of these links need no further comparison inside; then the pairs of different
+    puts first. Components of these links need no further comparison inside; where many sets of different components still meet,
+    they are compared with more hubs (hub_rounds()). Then the pairs of different
     components that meet anywhere, and whose sizes, places and maps allow the similarity, are compared. No pair is left out.
     group is the least id; null and empty texts are one group.
     """
@@ -309,21 +368,22 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", wo
     member = materialise(connected_components(_alike(pairs, nodes, texts, similarity, words)), "members")
     release(spark)
     # with up to three sets, all have met
-    rest = meets.where("k > 3").join(hubs.hint("merge"), "shingle").where("node <> first.node and node <> last.node").join(member.hint("merge"), "node", "left")
-    rest = materialise(rest.select("shingle", "node", "n", "left", F.coalesce("component", "node").alias("c")), "rest")
-    discard(meets)
-    mixed = materialise(rest.groupBy("shingle").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("shingle"), "mixed")
-    rest = materialise(rest.join(mixed.hint("merge"), "shingle").join(nodes.select("node", "map").hint("merge"), "node"), "rest")
+    rest = meets.where("k > 3").join(hubs.hint("merge"), "shingle").where("node <> first.node and node <> last.node")
+    rest = materialise(rest.select("shingle", "k", "node", "n", "left"), "rest")
+    for old in (meets, hubs):
+        discard(old)
+    near = in_range("x", "y") & (_differ("xmap", "ymap") <= _most_own(similarity) * (F.col("xn") + F.col("yn")))
+    member, compared, bar = hub_rounds(rest, nodes, member, pairs, lambda more: _alike(more.select("a", "b"), nodes, texts, similarity, words), near)
+    left = mixed_rows(rest.where(turn() >= bar), member, nodes)
     release(spark)
-    x, y = (rest.select("shingle", *(F.col(c).alias(f"{k}{c}") for c in ("node", "n", "left", "c", "map"))) for k in "xy")
-    near = _differ("xmap", "ymap") <= _most_own(similarity) * (F.col("xn") + F.col("yn"))
-    more = x.join(y.hint("merge"), (x["shingle"] == y["shingle"]) & (F.col("xc") < F.col("yc")) & in_range("x", "y") & near)
+    x, y = (left.select(*(F.col(c).alias(f"{k}{c}") for c in ("shingle", "node", "n", "left", "c", "map"))) for k in "xy")
+    more = x.join(y.hint("merge"), (F.col("xshingle") == F.col("yshingle")) & (F.col("xc") < F.col("yc")) & near)
     more = more.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
-    more = materialise(more.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "more")
-    for old in (hubs, mixed, rest):
+    more = materialise(more.join(known_pairs(compared).hint("merge"), ["a", "b"], "left_anti"), "more")
+    for old in (rest, left, *compared):
         discard(old)
     links = _alike(more, nodes, texts, similarity, words).union(member.select("node", "component"))
-    for old in (nodes, pairs, more):
+    for old in (nodes, more):
         discard(old)
     member = connected_components(links)
     rooted = rows.join(member.hint("merge"), "node", "left").select("id", F.coalesce("component", "node").alias("root"))
