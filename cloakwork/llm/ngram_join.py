@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import discard, materialise, release, ship
-from .simhash import MOST_WANTED, _common_shingles, _differ, _lists, _map, _most_own, _node, shingle_set
+from .simhash import MOST_WANTED, _common_shingles, _differ, _lists, _map, _most_own, _node, hub_rounds, known_pairs, mixed_rows, shingle_set, turn
 
 #: Shingles of the candidates that are put into one trie, about.
 BLOCK = 1 << 18
@@ -168,6 +168,11 @@ def trie_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, order: _Ord
     return found
 
 
+def _towards(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of which one is the probe -> (probe, node)."""
+    return pairs.select("probe", F.when(F.col("probe") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"))
+
+
 def _size_class(n: Column, similarity: float) -> Column:
     """Sets of that similarity are in the same class or in neighbouring ones."""
     return F.floor(F.log(n.cast("double")) / F.lit(-np.log(similarity - 1e-9))).cast("int")
@@ -180,7 +185,8 @@ def ngram_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", word
     Jaccard similarity of part / whole or more, compared in whole numbers, exact up to collisions of 64-bit hashes. Null, empty and blank
     texts have no shingles and are linked with nothing: component_id is their own id. Equal sets fall together first. Sets that meet at
     a shingle of their prefixes are first joined with two of them, the same ones at most shingles of a group; inside the
-    components of these links nothing more needs comparing. Then all pairs of unlike components that still meet, and whose sizes, places and bit maps
+    components of these links nothing more needs comparing; where many sets of unlike components still meet, they are joined with more hubs
+    (hub_rounds()). Then all pairs of unlike components that still meet, and whose sizes, places and bit maps
     allow the similarity, are joined. So a group of k copies costs candidates in proportion to k, and no link between components is lost.
     Null ids name a component only if all its ids are null; repeated ids are rows of their own; other columns are not looked at.
     """
@@ -223,24 +229,25 @@ def ngram_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", word
     pairs = pairs.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.max("other").alias("probe"))
     pairs = materialise(pairs, "pairs")
     release(spark)
-    towards = pairs.select("probe", F.when(F.col("probe") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"))
-    member = materialise(connected_components(trie_links(towards, nodes, texts, order, words, part, whole)), "members")
+    member = materialise(connected_components(trie_links(_towards(pairs), nodes, texts, order, words, part, whole)), "members")
     release(spark)
     # with up to three sets, all have met
-    rest = meets.where("k > 3").join(hubs.hint("merge"), "shingle").where("node <> first.node and node <> last.node").join(member.hint("merge"), "node", "left")
-    rest = materialise(rest.select("shingle", "node", "n", "left", F.coalesce("component", "node").alias("c")), "rest")
-    discard(meets)
-    mixed = materialise(rest.groupBy("shingle").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("shingle"), "mixed")
-    rest = rest.join(mixed.hint("merge"), "shingle").join(nodes.select("node", "map").hint("merge"), "node")
-    rest = materialise(rest.withColumn("size", _size_class(F.col("n"), similarity)), "rest")
+    rest = meets.where("k > 3").join(hubs.hint("merge"), "shingle").where("node <> first.node and node <> last.node")
+    rest = materialise(rest.select("shingle", "k", "node", "n", "left"), "rest")
+    for old in (meets, hubs):
+        discard(old)
+    near = in_range("x", "y") & (_differ("xmap", "ymap") <= _most_own(similarity) * (F.col("xn") + F.col("yn")))
+    walked = lambda more: trie_links(_towards(more), nodes, texts, order, words, part, whole)
+    member, compared, bar = hub_rounds(rest, nodes, member, pairs, walked, near)
+    left = mixed_rows(rest.where(turn() >= bar), member, nodes)
     release(spark)
-    x, y = (rest.select(*(F.col(c).alias(f"{k}{c}") for c in ("shingle", "node", "n", "left", "c", "map", "size"))) for k in "xy")
+    sized = left.withColumn("size", _size_class(F.col("n"), similarity))
+    x, y = (sized.select(*(F.col(c).alias(f"{k}{c}") for c in ("shingle", "node", "n", "left", "c", "map", "size"))) for k in "xy")
     y = y.withColumn("ysize", F.explode(F.array(F.col("ysize") - 1, F.col("ysize"), F.col("ysize") + 1)))
-    close = _differ("xmap", "ymap") <= _most_own(similarity) * (F.col("xn") + F.col("yn"))
-    more = x.join(y.hint("merge"), (F.col("xshingle") == F.col("yshingle")) & (F.col("xsize") == F.col("ysize")) & (F.col("xc") < F.col("yc")) & in_range("x", "y") & close)
+    more = x.join(y.hint("merge"), (F.col("xshingle") == F.col("yshingle")) & (F.col("xsize") == F.col("ysize")) & (F.col("xc") < F.col("yc")) & near)
     more = more.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
-    more = materialise(more.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "more")
-    for old in (hubs, mixed, rest, pairs):
+    more = materialise(more.join(known_pairs(compared).hint("merge"), ["a", "b"], "left_anti"), "more")
+    for old in (rest, left, *compared):
         discard(old)
     links = trie_links(more.select(F.col("a").alias("probe"), F.col("b").alias("node")), nodes, texts, order, words, part, whole).union(member.select("node", "component"))
     for old in (nodes, more):
