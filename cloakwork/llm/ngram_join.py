@@ -22,6 +22,8 @@ from .simhash import MOST_WANTED, _common_shingles, _differ, _lists, _map, _most
 
 #: Shingles of the candidates that are put into one trie, about.
 BLOCK = 1 << 18
+#: So many times as many hubs in each round of hub_rounds(): walks through tries make a pair cheap, and a round is many jobs.
+GROWTH = 8
 
 
 def least_overlap(n: int, m: int, part: int, whole: int) -> int:
@@ -129,40 +131,50 @@ class _Order:
         return shingles[np.argsort(np.where(self.common[at] == shingles, -self.often[at], 0), kind="stable")]
 
 
-def _wanted_sets(wanted: DataFrame, texts: DataFrame, order: _Order, words: int) -> DataFrame:
-    """(node, shingles) of the texts with these hashes (copy), each once, in the global order."""
+def _wanted_sets(sized: DataFrame, texts: DataFrame, order: _Order, words: int) -> DataFrame:
+    """(node, shingles) of the texts whose hashes (copy) are named, each once, in the global order."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingle_set(t, words) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(list(map(_node, own)), pa.int64()), _lists([order(s) for s in own])], names=["node", "shingles"])
 
-    few = F.broadcast(wanted) if wanted.count() <= MOST_WANTED else wanted.hint("merge")
+    wanted = named = sized.select("copy").distinct()
+    if sized.count() > MOST_WANTED:
+        wanted = materialise(named, "wanted")
+    few = F.broadcast(wanted) if wanted is named or wanted.count() <= MOST_WANTED else wanted.hint("merge")
     made = texts.join(few, "copy", "left_semi").dropDuplicates(["copy"]).select("text").mapInArrow(shingles, "node long, shingles array<long>")
-    return materialise(made, "sets")
+    made = materialise(made, "sets")
+    if wanted is not named:
+        discard(wanted)
+    return made
 
 
 def trie_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, order: _Order, words: int, part: int, whole: int) -> DataFrame:
     """Of the candidate pairs (probe, node), distinct, the links (a, b) that the tries find.
 
-    The candidates of one probe are dealt into blocks by their number of shingles, and the probe goes to each of its blocks.
+    The candidates of one probe are dealt into blocks by their number of shingles, and the probe (kind 0) goes to each of its blocks.
     """
-    sized = pairs.join(nodes.select("node", "n", "copy").hint("merge"), "node")
-    sized = materialise(sized, "sized")
-    # written first, so that Spark can split a probe of many candidates
-    probes = materialise(sized.groupBy("probe").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")), "probes")
-    dealt = sized.join(probes.hint("merge"), "probe").select("probe", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node")
-    dealt = materialise(dealt, "dealt")
-    copies = sized.select("copy").union(sized.select(F.col("probe").alias("node")).distinct().join(nodes.select("node", "copy").hint("merge"), "node").select("copy"))
-    wanted = materialise(copies.distinct(), "wanted")
-    sets = _wanted_sets(wanted, texts, order, words)
+    ends = pairs.select("probe", "node", F.lit(1).alias("kind")).union(pairs.select("probe", F.col("probe").alias("node"), F.lit(0)).distinct())
+    sized = materialise(ends.join(nodes.select("node", "n", "copy").hint("merge"), "node"), "sized")
+    blocks = F.ceil(F.sum(F.col("n") * F.col("kind")) / BLOCK)
+    # written first, so that Spark can split a probe of many candidates; most often there is none of several blocks
+    large = materialise(sized.groupBy("probe").agg(blocks.alias("blocks")).where("blocks > 1"), "large-probes")
+    if large.isEmpty():
+        dealt, used = sized.withColumn("block", F.lit(0).cast("long")), [sized, large]
+    else:
+        blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+        block = F.when(F.col("kind") == 1, F.array(F.pmod(F.xxhash64("node"), blocks))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
+        dealt = sized.join(large.hint("merge"), "probe", "left").select("probe", "node", "kind", F.explode(block).alias("block"))
+        dealt = materialise(dealt, "dealt")
+        used = [sized, large, dealt]
+    sets = _wanted_sets(sized, texts, order, words)
     release(pairs.sparkSession)
-    kinds = lambda df, k: df.join(sets.hint("merge"), "node").select("probe", "block", F.lit(k).alias("kind"), "node", "shingles")
-    own = dealt.select("probe", "block", F.col("probe").alias("node")).distinct()
+    rows = dealt.join(sets.hint("merge"), "node").select("probe", "block", "kind", "node", "shingles")
     shuffles = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = kinds(own, 0).union(kinds(dealt, 1)).repartition(shuffles, "probe", "block").sortWithinPartitions("probe", "block", "kind")
+    rows = rows.repartition(shuffles, "probe", "block").sortWithinPartitions("probe", "block", "kind")
     found = materialise(rows.mapInArrow(_walks(part, whole), "a long, b long"), "links")
-    for old in (sized, probes, dealt, wanted, sets):
+    for old in (*used, sets):
         discard(old)
     release(pairs.sparkSession)
     return found
@@ -229,7 +241,7 @@ def ngram_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", word
     pairs = pairs.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.max("other").alias("probe"))
     pairs = materialise(pairs, "pairs")
     release(spark)
-    member = materialise(connected_components(trie_links(_towards(pairs), nodes, texts, order, words, part, whole)), "members")
+    member = connected_components(trie_links(_towards(pairs), nodes, texts, order, words, part, whole), written=True)
     release(spark)
     # with up to three sets, all have met
     rest = meets.where("k > 3").join(hubs.hint("merge"), "shingle").where("node <> first.node and node <> last.node")
@@ -238,7 +250,7 @@ def ngram_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", word
         discard(old)
     near = in_range("x", "y") & (_differ("xmap", "ymap") <= _most_own(similarity) * (F.col("xn") + F.col("yn")))
     walked = lambda more: trie_links(_towards(more), nodes, texts, order, words, part, whole)
-    member, compared, bar = hub_rounds(rest, nodes, member, pairs, walked, near)
+    member, compared, bar = hub_rounds(rest, nodes, member, pairs, walked, near, GROWTH)
     left = mixed_rows(rest.where(turn() >= bar), member, nodes)
     release(spark)
     sized = left.withColumn("size", _size_class(F.col("n"), similarity))
@@ -249,10 +261,10 @@ def ngram_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", word
     more = materialise(more.join(known_pairs(compared).hint("merge"), ["a", "b"], "left_anti"), "more")
     for old in (rest, left, *compared):
         discard(old)
-    links = trie_links(more.select(F.col("a").alias("probe"), F.col("b").alias("node")), nodes, texts, order, words, part, whole).union(member.select("node", "component"))
+    links = trie_links(more.select(F.col("a").alias("probe"), F.col("b").alias("node")), nodes, texts, order, words, part, whole).union(member)
     for old in (nodes, more):
         discard(old)
-    member = connected_components(links)
+    member = connected_components(links, written=True)
     rooted = rows.where("n > 0").join(member.hint("merge"), "node", "left").select("id", "n", F.coalesce("component", "node").alias("root"))
     rooted = materialise(rooted, "ngram-roots")
     release(spark)

@@ -143,7 +143,7 @@ MOST_COMMON = 200_000
 MOST_WANTED = 1_000_000
 #: Bits of the map of a set's hashes.
 MAP = 1024
-#: hub_rounds(): so many hubs a shingle at first, GROWTH times as many in each round after, at shingles that have over GROWTH times as many sets.
+#: hub_rounds(): so many hubs a shingle at first, at shingles that have over GROWTH times as many sets; in each round after, GROWTH times as many, if no other growth is given.
 HUBS = 8
 GROWTH = 4
 
@@ -257,11 +257,11 @@ def mixed_rows(rest: DataFrame, member: DataFrame, nodes: DataFrame) -> DataFram
     return found
 
 
-def hub_rounds(rest: DataFrame, nodes: DataFrame, member: DataFrame, pairs: DataFrame, links: Callable[[DataFrame], DataFrame], near: Column) -> tuple[DataFrame, list[DataFrame], Column]:
+def hub_rounds(rest: DataFrame, nodes: DataFrame, member: DataFrame, pairs: DataFrame, links: Callable[[DataFrame], DataFrame], near: Column, growth: int = GROWTH) -> tuple[DataFrame, list[DataFrame], Column]:
     """Compare the sets of large groups with more and more hubs, so that few pairs of unlike components are left.
 
     rest: (shingle, k, node, n, left), k sets at each shingle; member: (node, component); pairs: (a, b) that need no comparison any more.
-    links: candidate pairs (a, b, probe) -> links (a, b); near: what two rows x and y must fulfil. A set that has a share s of a group for
+    links: candidate pairs (a, b, probe) -> links (a, b), written and without repeats; growth: so many times as many hubs in each round; near: what two rows x and y must fulfil. A set that has a share s of a group for
     neighbours falls in with it after about 1 / s hubs, so only sets with few neighbours are ever compared with many.
     Returns the new members, the tables of all pairs compared, and the number of hubs a row's shingle has had: a row whose turn() is
     below it has met all others there.
@@ -281,13 +281,13 @@ def hub_rounds(rest: DataFrame, nodes: DataFrame, member: DataFrame, pairs: Data
         discard(large)
         if not more.isEmpty():
             then, found = member, links(more)
-            member = materialise(connected_components(found.union(then.select("node", "component"))), "members")
+            member = connected_components(found.union(then), written=True)
             for old in (then, found):
                 discard(old)
             release(rest.sparkSession)
         compared.append(more)
         bar = F.when(F.col("k") > GROWTH * hubs, hubs).otherwise(bar)
-        tried, hubs = hubs, GROWTH * hubs
+        tried, hubs = hubs, growth * hubs
     return member, compared, bar
 
 
@@ -365,7 +365,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", wo
     pairs = pairs.union(_near_prints(nodes)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialise(pairs.distinct(), "pairs")
     release(spark)
-    member = materialise(connected_components(_alike(pairs, nodes, texts, similarity, words)), "members")
+    member = connected_components(_alike(pairs, nodes, texts, similarity, words), written=True)
     release(spark)
     # with up to three sets, all have met
     rest = meets.where("k > 3").join(hubs.hint("merge"), "shingle").where("node <> first.node and node <> last.node")
@@ -382,10 +382,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", wo
     more = materialise(more.join(known_pairs(compared).hint("merge"), ["a", "b"], "left_anti"), "more")
     for old in (rest, left, *compared):
         discard(old)
-    links = _alike(more, nodes, texts, similarity, words).union(member.select("node", "component"))
+    links = _alike(more, nodes, texts, similarity, words).union(member)
     for old in (nodes, more):
         discard(old)
-    member = connected_components(links)
+    member = connected_components(links, written=True)
     rooted = rows.join(member.hint("merge"), "node", "left").select("id", F.coalesce("component", "node").alias("root"))
     rooted = materialise(rooted, "simhash-roots")
     discard(rows)
