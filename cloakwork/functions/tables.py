@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -60,3 +61,9 @@ def discard(df: DataFrame) -> None:
     spark, path = df.sparkSession, df._written_to
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs whose results were written: it does so as the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from ..functions.shipping import ship as ship
 from ..functions.tables import discard as discard
 from ..functions.tables import materialise as materialise
 from ..functions.tables import new_folder as new_folder
+from ..functions.tables import release as release
 from ..functions.tables import shared_dir as shared_dir
 
 #: White space as the contracts define it: blank and \t \n \v \f \r.
@@ -28,12 +27,6 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs whose results were written: it does so as the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def make_folder(spark: SparkSession, folder: str) -> None:
     """So that a folder nothing is written to can be read."""
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
