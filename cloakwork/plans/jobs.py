@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.automaton import many_tokens
-from ..functions.tables import materialise
+from ..functions.tables import materialise, release
 from ..functions.secret import hmac_sha256, new_secret, secret_table
 from ..operators.crosswalk import all_tokens, assign_pseudo_ids, build_crosswalk, continue_pseudo_ids, harvest, tokens_per_patient
 from ..operators.elements import burned_in_flags, deid_elements, unassigned
@@ -54,6 +54,13 @@ def deidentify(
     crosswalk before: its patients keep their pseudonyms and known identifiers.
     """
     spark = files.sparkSession
+
+    def put(df: DataFrame, what: str) -> DataFrame:
+        """Written, and the shuffle files of it gone before the next step."""
+        df = materialise(df, what)
+        release(spark)
+        return df
+
     secret = secret_table(spark, new_secret()) if secret is None else secret
     failures = failures if failures is not None else spark.createDataFrame([], "file_id string, kind string, error string")
     found = harvest(files, reports, elements)
@@ -63,17 +70,14 @@ def deidentify(
         assigned = materialise(continue_pseudo_ids(files, previous), "assigned")
         before = [previous.select("patient_key", F.explode(c).alias("token"), F.lit(kind).alias("token_kind")) for c, kind in (("real_names", "name"), ("real_ids", "id"))]
         found = found.union(before[0]).union(before[1]).distinct()
-    crosswalk = materialise(build_crosswalk(assigned, found), "crosswalk")
+    crosswalk = put(build_crosswalk(assigned, found), "crosswalk")
     own = tokens_per_patient(crosswalk)
-    clean_elements = materialise(deid_elements(elements, own, policy, keep_dates=keep_dates, secret=secret), "elements")
-    clean_reports = materialise(deid_reports(reports, own, policy, many_tokens(own)), "reports")
-    failures = materialise(failures.select("file_id", "kind", "error").union(unassigned(elements, own)).union(unassigned(reports, own, "xml")), "failures")
-    flags = burned_in_flags(elements)
-    known = all_tokens(crosswalk)
+    clean_elements = put(deid_elements(elements, own, policy, keep_dates=keep_dates, secret=secret), "elements")
+    clean_reports = put(deid_reports(reports, own, policy, many_tokens(own)), "reports")
+    failures = put(failures.select("file_id", "kind", "error").union(unassigned(elements, own)).union(unassigned(reports, own, "xml")), "failures")
+    flags = put(burned_in_flags(elements), "flags")
     unreadable = verify_unreadable(failures.where("kind = 'dicom' and not (error <=> 'no pseudonym')").withColumn("parse_error", F.col("error")))
-    known = materialise(known, "tokens")
-    leaks = verify_outputs(clean_elements, clean_reports, known).union(unreadable)
-    leaks, flags = materialise(leaks, "leaks"), materialise(flags, "flags")
+    leaks = put(verify_outputs(clean_elements, clean_reports, all_tokens(crosswalk)).union(unreadable), "leaks")
     return Run(assigned, crosswalk, own, clean_elements, clean_reports, flags, leaks, run_summary(files, failures, flags, leaks), failures, secret)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 from ..functions.secret import pads, secret_table
 from ..functions.automaton import scrub_many
-from ..functions.tables import materialise, new_folder, shared_dir
+from ..functions.tables import materialise, new_folder, release, shared_dir
 from ..operators import crosswalk as cw
 from ..operators import discover, naming, policies, preview, summary, verify
 from ..operators import elements as el
@@ -39,6 +39,12 @@ POLICY = Policy.of(extra_remove_dicom=["ProtocolName"], keep_dicom=["accessionnu
 class Bed(Testbed):
     """The test bed with the tables that most queries start from."""
 
+    def put(self, df: DataFrame, what: str) -> DataFrame:
+        """Written, and the shuffle files of it gone before the next step."""
+        df = materialise(df, what)
+        release(self.spark)
+        return df
+
     @property
     def files(self) -> DataFrame:
         return tree.classify_files(tree.file_inventory(self.listing), F.col("magic")).drop("magic")
@@ -53,7 +59,7 @@ class Bed(Testbed):
 
     @cached_property
     def crosswalk(self) -> DataFrame:
-        return materialise(cw.build_crosswalk(self.assigned, self.harvested), "crosswalk")
+        return self.put(cw.build_crosswalk(self.assigned, self.harvested), "crosswalk")
 
     @property
     def tokens(self) -> DataFrame:
@@ -61,11 +67,11 @@ class Bed(Testbed):
 
     @cached_property
     def deid(self) -> DataFrame:
-        return materialise(el.deid_elements(self.elements, self.tokens, uid_fn=SALTED), "elements")
+        return self.put(el.deid_elements(self.elements, self.tokens, uid_fn=SALTED), "elements")
 
     @cached_property
     def clean_reports(self) -> DataFrame:
-        return materialise(rp.deid_reports(self.reports, self.tokens), "reports")
+        return self.put(rp.deid_reports(self.reports, self.tokens), "reports")
 
     @property
     def fields(self) -> DataFrame:
