@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from cloakwork.functions.tables import shared_dir
 from cloakwork.plans.incremental import update
 from cloakwork.plans.jobs import deidentify
@@ -29,3 +31,11 @@ def test_cleaned_tables_of_an_update_go(spark, tmp_path):
     before = top() if os.path.isdir(shared_dir(spark).removeprefix("file://")) else set()
     done = update(*tables(spark, {"p/a.xml": "<Report>of p</Report>", "p/s/1.dcm": None}, {}), str(tmp_path / "share"), str(tmp_path / "private"))
     assert done.written.count() == 2 and done.leaks.count() == 0 and top() == before
+
+
+@pytest.mark.parametrize("name", ["coverage_summary"])
+def test_tables_of_the_scan_go_from_queries(spark, name):
+    import __spark_entry__
+
+    before = left(spark)
+    assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0 and left(spark) == before
