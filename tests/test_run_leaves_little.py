@@ -33,7 +33,7 @@ def test_cleaned_tables_of_an_update_go(spark, tmp_path):
     assert done.written.count() == 2 and done.leaks.count() == 0 and top() == before
 
 
-@pytest.mark.parametrize("name", ["coverage_summary"])
+@pytest.mark.parametrize("name", ["coverage_summary", "run_report_md"])
 def test_tables_of_the_scan_go_from_queries(spark, name):
     import __spark_entry__
 
